@@ -30,9 +30,14 @@ def is_blank(text: Column) -> Column:
     return strip(text) == ""
 
 
+def lstrip(text: Column) -> Column:
+    """Remove leading whitespace of any kind."""
+    return F.ltrim(text, F.lit(WHITESPACE_CHARS))
+
+
 def indent_of(line: Column) -> Column:
     """Number of leading whitespace characters."""
-    return F.length(line) - F.length(F.regexp_replace(line, f"^{WHITESPACE}+", ""))
+    return F.length(line) - F.length(lstrip(line))
 
 
 def lines_of(text: Column) -> Column:

@@ -48,10 +48,8 @@ def number_rows(
     )
     before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    same = F.lit(True)
-    for column in [*by, "_part"]:
-        same = same & placed[column].eqNullSafe(runs[column])
-    return placed.join(runs, same).select(
-        *[placed[c] for c in df.columns],
-        (F.col("_pos") - F.col("_first") + F.col("_before") + 1).alias(name),
+    same = [placed[c].eqNullSafe(F.col(f"_run_{c}")) for c in [*by, "_part"]]
+    renamed = runs.withColumnsRenamed({c: f"_run_{c}" for c in [*by, "_part"]})
+    return placed.join(renamed, same).select(
+        *df.columns, (F.col("_pos") - F.col("_first") + F.col("_before") + 1).alias(name)
     )
