@@ -1 +1,264 @@
-"""Placeholder."""
+"""Retrieval: A6, J2-J4, K1-K4, T3-T5, U3, U4, A7, J5, W3, W4, U6, A14, X1, C3."""
+
+from pyspark.sql import functions as F
+
+from checks import views as v
+from checks.registry import query
+from checks.views import sql
+from vulnlake.functions.vectors import cosine, embed_hashed
+from vulnlake.operators import bm25, cache as ca, retrieval as rt, vectors as vc
+from vulnlake.operators.ranking import top_k
+from vulnlake.plans.retrieve import retrieve
+from vulnlake.streaming.stream_cache import batch_cache
+
+
+@query(sql("SELECT term, chunk_id, tf, len::BIGINT AS length, round(gain, 6) AS impact FROM gain JOIN tf USING (term, chunk_id) JOIN lengths USING (chunk_id)", "gain"))
+def bm25_index(spark, d):
+    index = bm25.build_bm25(v.chunks(spark, d))
+    impact = F.round(F.col("idf") * F.col("gain"), 6)
+    return index.postings.join(index.terms, "term").select(
+        "term", "chunk_id", "tf", F.col("length").cast("bigint").alias("length"), impact.alias("impact")
+    )
+
+
+@query(sql("SELECT n, round(avgdl, 6) AS avgdl, (SELECT round(avg(idf), 6) FROM raw_idf) AS avg_idf FROM corpus", "raw_idf"))
+def bm25_corpus_stats(spark, d):
+    stats = bm25.build_bm25(v.chunks(spark, d)).corpus_stats
+    return stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf"))
+
+
+TURNS = """
+WITH chunks AS (SELECT conv_id * 1000 + turn AS chunk_id, text AS content FROM conversations WHERE role = 'assistant'),
+queries AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user'),
+{tables},
+pairs AS (SELECT q.query_id, c.chunk_id FROM queries q JOIN chunks c ON c.chunk_id = q.query_id + 1)
+SELECT query_id, chunk_id, round(coalesce(sum(qtf * gain), 0), 6) AS score
+FROM pairs LEFT JOIN query_terms USING (query_id) LEFT JOIN gain USING (chunk_id, term) GROUP BY ALL"""
+
+
+@query(TURNS.format(tables=",\n".join(f"{n} AS MATERIALIZED ({v.SQL[n]})" for n in ("tf", "lengths", "corpus", "raw_idf", "idf", "gain", "query_terms"))))
+def bm25_score(spark, d):
+    """Every user turn scored against the answer that follows it."""
+    turns = v.table(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    answers = turns.where(F.col("role") == "assistant").select(F.col("id").alias("chunk_id"), F.col("text").alias("content"))
+    asked = turns.where(F.col("role") == "user").select(F.col("id").alias("query_id"), "text")
+    pairs = asked.select("query_id", (F.col("query_id") + 1).alias("chunk_id")).join(answers.select("chunk_id"), "chunk_id")
+    return bm25.bm25_score(pairs, asked, bm25.build_bm25(answers))
+
+
+@query(sql("SELECT query_id, chunk_id, score, rank FROM bm25", "bm25"))
+def bm25_top_k(spark, d):
+    best = bm25.bm25_topk(v.queries(spark, d), bm25.build_bm25(v.chunks(spark, d)))
+    return best.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(sql("""
+SELECT query_id, md5(string_agg(content, repeat(chr(10), 2) ORDER BY rank)) AS digest, sum(length(content))::BIGINT AS chars
+FROM bm25 JOIN chunks USING (chunk_id) GROUP BY query_id""", "bm25"))
+def assemble_context(spark, d):
+    chunks, queries = v.chunks(spark, d), v.queries(spark, d)
+    best = bm25.bm25_topk(queries, bm25.build_bm25(chunks)).join(chunks.select("chunk_id", "content"), "chunk_id")
+    context = rt.assemble_context(queries.select("query_id"), best)
+    chars = F.length("context") - 2  # two hits, one blank line between them
+    return context.select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"), chars.cast("bigint").alias("chars"))
+
+
+def knn(spark, d, k=12):
+    e = v.vectors(spark, d)
+    return vc.vector_topk(
+        e.select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("chunk_id"), "embedding"), k
+    )
+
+
+@query(sql("""
+SELECT vec_id, round(list_dot_product(v, m) / sqrt(list_dot_product(v, v) * list_dot_product(m, m)), 6) AS similarity
+FROM vectors JOIN (SELECT label, list(mean ORDER BY i) AS m FROM (SELECT label, i, avg(v[i]) AS mean FROM vectors, range(1, 65) t(i) GROUP BY ALL) GROUP BY label) USING (label)""", "vectors"))
+def cosine_similarity(spark, d):
+    """Each vector against the mean of its label."""
+    e = v.vectors(spark, d)
+    means = (
+        e.select("label", F.posexplode("embedding").alias("i", "x"))
+        .groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+        .groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda s: s["mean"]).alias("m"))
+    )
+    return e.join(means, "label").select("vec_id", F.round(cosine(F.col("embedding"), F.col("m")), 6).alias("similarity"))
+
+
+@query(sql("SELECT query_id, chunk_id, score, rank FROM nearest", "nearest"))
+def vector_candidates(spark, d):
+    return knn(spark, d).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query()
+def vector_candidates_approximate(spark, d):
+    """Nearest clusters only; recall is tested against the exact form."""
+    e = v.vectors(spark, d)
+    return vc.vector_topk(
+        e.select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("chunk_id"), "embedding"), 4, probes=2
+    )
+
+
+@query("""
+SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events QUALIFY rank <= 5""")
+def top_k_per_query(spark, d):
+    best = top_k(v.table(spark, d, "events"), ["user_id"], [F.desc("value"), F.col("event_id")], 5)
+    return best.select("user_id", "event_id", "value", F.col("rank").cast("bigint").alias("rank"))
+
+
+def _mmr_step(n: int) -> str:
+    """SQL of pick ``n``: best gain among the candidates not picked before."""
+    before = " UNION ALL ".join(f"SELECT query_id, chunk_id FROM p{i}" for i in range(1, n))
+    return f"""
+s{n} AS (SELECT query_id, chunk_id FROM ({before})),
+g{n} AS (SELECT c.query_id, c.chunk_id, c.rank, c.score, round(0.5 * c.score - 0.5 * max(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))), 6) AS gain
+  FROM nearest c JOIN s{n} s ON s.query_id = c.query_id JOIN vectors a ON a.vec_id = c.chunk_id JOIN vectors b ON b.vec_id = s.chunk_id
+  WHERE NOT EXISTS (SELECT 1 FROM s{n} x WHERE x.query_id = c.query_id AND x.chunk_id = c.chunk_id) GROUP BY c.query_id, c.chunk_id, c.rank, c.score),
+p{n} AS MATERIALIZED (SELECT query_id, chunk_id, score FROM g{n} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, rank) = 1)"""
+
+
+MMR = ", p1 AS (SELECT query_id, chunk_id, score FROM nearest WHERE rank = 1)," + ",".join(_mmr_step(n) for n in (2, 3, 4))
+MMR += "\n" + " UNION ALL ".join(f"SELECT query_id, chunk_id, score, {n} AS rank FROM p{n}" for n in (1, 2, 3, 4))
+
+
+@query(sql("", "nearest") + MMR)
+def mmr(spark, d):
+    e = v.vectors(spark, d)
+    candidates = knn(spark, d).join(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
+    return vc.mmr(candidates).select("query_id", "chunk_id", "score", "rank")
+
+
+@query("""
+SELECT doc_id, bucket, count(*)::DOUBLE AS n FROM (
+  SELECT doc_id, CAST(CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS INTEGER) AS bucket FROM (
+    SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS term FROM documents)) GROUP BY ALL""")
+def embed_tokens(spark, d):
+    docs = v.table(spark, d, "documents").select("doc_id", embed_hashed(F.col("text")).alias("e"))
+    return docs.select("doc_id", F.posexplode("e").alias("bucket", "x")).where(F.col("x") > 0).select(
+        "doc_id", "bucket", F.col("x").cast("double").alias("n")
+    )
+
+
+# Hybrid inputs: one to six vector rows per query, and twelve keyword rows whose contents
+# repeat those of the vector side and each other.
+HYBRID = """,
+vec AS (SELECT n.query_id, n.chunk_id, 'label ' || n.label || ' ' || (n.chunk_id % 7) AS content, n.rank FROM nearest n WHERE n.rank <= 1 + n.query_id % 6),
+word AS (SELECT c.query_id, c.chunk_id, 'label ' || c.label || ' ' || (c.chunk_id % 7) AS content,
+    row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS rank FROM nearest c),
+fresh AS (SELECT * FROM word w WHERE NOT EXISTS (SELECT 1 FROM vec x WHERE x.query_id = w.query_id AND x.content = w.content)
+  QUALIFY row_number() OVER (PARTITION BY query_id, content ORDER BY rank, chunk_id) = 1)"""
+
+
+def hybrid_inputs(spark, d):
+    e = v.vectors(spark, d).select(F.col("vec_id").alias("chunk_id"), "label")
+    near = knn(spark, d).join(e, "chunk_id").withColumn(
+        "content", F.concat(F.lit("label "), v.text_of("label"), F.lit(" "), v.text_of(F.col("chunk_id") % 7))
+    )
+    near = near.select("query_id", "chunk_id", "content", F.col("rank").cast("bigint").alias("rank"))
+    return near.where(F.col("rank") <= 1 + F.col("query_id") % 6), near.withColumn("rank", 13 - F.col("rank"))
+
+
+@query(sql("", "nearest") + HYBRID + " SELECT query_id, chunk_id, content, rank FROM fresh")
+def hybrid_dedupe(spark, d):
+    vector, words = hybrid_inputs(spark, d)
+    return rt.hybrid_dedupe(vector, words)
+
+
+@query(sql("", "nearest") + HYBRID + """,
+merged AS (SELECT *, 'vector' AS found_by FROM vec UNION ALL SELECT *, 'bm25' FROM fresh WHERE query_id IN (SELECT query_id FROM vec GROUP BY 1 HAVING count(*) < 4))
+SELECT query_id, chunk_id, found_by, row_number() OVER (PARTITION BY query_id ORDER BY found_by DESC, rank, chunk_id) AS rank FROM merged""")
+def union_retrieved(spark, d):
+    vector, words = hybrid_inputs(spark, d)
+    both = rt.union_retrieved(vector, words)
+    return both.select("query_id", "chunk_id", "found_by", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("""
+SELECT source AS query_id, min(doc_id) AS chunk_id, md5(text) AS digest FROM documents GROUP BY source, text""")
+def distinct_content(spark, d):
+    docs = v.table(spark, d, "documents").select(
+        F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("doc_id").alias("rank")
+    )
+    return rt.distinct_content(docs).select("query_id", "chunk_id", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query(sql("""
+, t AS (SELECT q.query_id, b.chunk_id, list_distinct(list_filter(regexp_split_to_array(lower(q.text), '\\s+'), lambda x: x <> '')) AS a,
+    list_distinct(list_filter(regexp_split_to_array(lower(c.content), '\\s+'), lambda x: x <> '')) AS b
+  FROM bm25 b JOIN queries q USING (query_id) JOIN chunks c USING (chunk_id))
+SELECT query_id, chunk_id, round(len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS score,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM t""", "bm25"))
+def rerank_top_k(spark, d):
+    """BM25 hits rescored by token overlap."""
+    chunks, queries = v.chunks(spark, d), v.queries(spark, d)
+    hits = bm25.bm25_topk(queries, bm25.build_bm25(chunks)).join(chunks.select("chunk_id", "content"), "chunk_id")
+    pairs = hits.join(queries.withColumnRenamed("text", "query"), "query_id")
+    return rt.rerank(pairs).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+# The cache holds the newest hundred vectors.
+CACHE = ", cache AS (SELECT vec_id AS seq, label, v FROM vectors ORDER BY vec_id DESC LIMIT 100)"
+HITS = CACHE + """,
+sims AS (SELECT k.vec_id, c.seq, list_dot_product(k.v, c.v) / sqrt(list_dot_product(k.v, k.v) * list_dot_product(c.v, c.v)) AS s FROM vectors k, cache c),
+hits AS (SELECT vec_id, seq, round(s, 6) AS similarity FROM sims WHERE s >= 0.85 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY seq) = 1)"""
+
+
+def cache_of(spark, d):
+    return v.vectors(spark, d).select(
+        F.col("vec_id").alias("seq"), F.concat(F.lit("k"), v.text_of("vec_id")).alias("key"),
+        v.text_of("label").alias("result"), F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+
+
+@query(sql("", "vectors") + HITS + """
+SELECT k.vec_id, coalesce(h.seq, -1) AS hit_seq, coalesce(h.similarity, 0) AS similarity FROM vectors k LEFT JOIN hits h USING (vec_id)""")
+def cache_lookup(spark, d):
+    keys = v.vectors(spark, d).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    hits, misses = ca.cache_lookup(keys, cache_of(spark, d))
+    return hits.select("vec_id", "hit_seq", F.round("similarity", 6).alias("similarity")).unionByName(
+        misses.select("vec_id", F.lit(-1).cast("bigint").alias("hit_seq"), F.lit(0.0).alias("similarity"))
+    )
+
+
+@query(sql("SELECT vec_id AS seq, 'k' || vec_id AS key FROM vectors ORDER BY vec_id DESC LIMIT 100", "vectors"))
+def fifo_retain(spark, d):
+    return ca.fifo_retain(cache_of(spark, d)).select("seq", "key")
+
+
+@query("""
+SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 20""")
+def fifo_retain_per_key(spark, d):
+    events = v.table(spark, d, "events").withColumn("seq", F.col("event_id"))
+    return ca.fifo_retain(events, 20, ("user_id",)).select("user_id", "event_id")
+
+
+@query(sql("", "vectors") + """,
+fresh AS (SELECT 'k' || (vec_id * 3 // 2) AS key, min(vec_id) AS first, max_by(label, vec_id) AS result FROM vectors GROUP BY 1),
+old AS (SELECT vec_id AS seq, 'k' || vec_id AS key, label AS result FROM vectors),
+added AS (SELECT (SELECT max(vec_id) FROM vectors) + row_number() OVER (ORDER BY first) AS seq, key, result FROM fresh WHERE key NOT IN (SELECT key FROM old))
+SELECT seq, key, CAST(result AS VARCHAR) AS result FROM (
+  SELECT seq, key, coalesce(f.result, old.result) AS result FROM old LEFT JOIN fresh f USING (key) UNION ALL SELECT * FROM added) ORDER BY seq DESC LIMIT 100""")
+def cache_append(spark, d):
+    fresh = cache_of(spark, d).select(
+        F.concat(F.lit("k"), v.text_of(F.floor(F.col("seq") * 3 / 2))).alias("key"), "embedding", "result", F.col("seq").alias("arrival")
+    )
+    return ca.cache_append(cache_of(spark, d), fresh).select("seq", "key", "result")
+
+
+@query("SELECT true AS cache_enabled, count(*) AS cache_size, 100 AS max_size, 0.85::DOUBLE AS similarity_threshold FROM embeddings")
+def cache_stats(spark, d):
+    return ca.cache_stats(cache_of(spark, d))
+
+
+@query()
+def stream_cache_batch(spark, d):
+    """Each hit depends on all earlier misses, which SQL cannot express; tested."""
+    e = v.vectors(spark, d).select(v.text_of("label").alias("type"), F.col("vec_id").alias("seq"), "embedding")
+    return batch_cache(e)
+
+
+@query()
+def hybrid_retrieval(spark, d):
+    """Whole retrieval for the benchmark texts; its steps have their own SQL twins."""
+    chunks = v.chunks(spark, d).withColumn("embedding", embed_hashed(F.col("content")))
+    found = retrieve(v.queries(spark, d), chunks, bm25.build_bm25(chunks), min_docs=6, use_reranking=True)
+    return found.select("query_id", "chunk_id", "rank")
