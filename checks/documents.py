@@ -203,4 +203,4 @@ def index_stats(spark, d):
 @query()
 def ingest_corpus(spark, d):
     """Uses the splitter, so rows only; the vectors have their own query."""
-    return ingest(labelled(spark, d)).select("chunk_id", "source", "doc_type", F.length("content").alias("length"))
+    return ingest(labelled(spark, d)).select("doc_id", "source", "doc_type", F.length("content").alias("length"))

@@ -86,10 +86,10 @@ def remediation_record(spark, d):
 
 
 @query(sql("""
-SELECT finding_id, md5(CASE WHEN finding_id % 4 = 0 THEN 'cached ' || finding_id ELSE answer END) AS digest, finding_id % 4 = 0 AS from_cache FROM responses""", "responses"))
+SELECT finding_id, md5(CASE WHEN turn = 0 THEN 'cached ' || finding_id ELSE answer END) AS digest, turn = 0 AS from_cache FROM responses""", "responses"))
 def attach_responses(spark, d):
     answers = v.responses(spark, d)
-    hits = answers.where(F.col("finding_id") % 4 == 0).select("finding_id", F.concat(F.lit("cached "), v.text_of("finding_id")).alias("result"))
+    hits = answers.where(F.col("turn") == 0).select("finding_id", F.concat(F.lit("cached "), v.text_of("finding_id")).alias("result"))
     return rm.attach_responses(answers.select("finding_id"), answers, hits).select("finding_id", digest("answer").alias("digest"), "from_cache")
 
 

@@ -138,10 +138,10 @@ def embed_tokens(spark, d):
     )
 
 
-# Hybrid inputs: one to six vector rows per query, and twelve keyword rows whose contents
-# repeat those of the vector side and each other.
+# Hybrid inputs: the vector rows above a similarity, and twelve keyword rows per query whose
+# contents repeat those of the vector side and each other.
 HYBRID = """,
-vec AS (SELECT n.query_id, n.chunk_id, 'label ' || n.label || ' ' || (n.chunk_id % 7) AS content, n.rank FROM nearest n WHERE n.rank <= 1 + n.query_id % 6),
+vec AS (SELECT n.query_id, n.chunk_id, 'label ' || n.label || ' ' || (n.chunk_id % 7) AS content, n.rank FROM nearest n WHERE n.score >= 0.33),
 word AS (SELECT c.query_id, c.chunk_id, 'label ' || c.label || ' ' || (c.chunk_id % 7) AS content,
     row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS rank FROM nearest c),
 fresh AS (SELECT * FROM word w WHERE NOT EXISTS (SELECT 1 FROM vec x WHERE x.query_id = w.query_id AND x.content = w.content)
@@ -153,8 +153,8 @@ def hybrid_inputs(spark, d):
     near = knn(spark, d).join(e, "chunk_id").withColumn(
         "content", F.concat(F.lit("label "), v.text_of("label"), F.lit(" "), v.text_of(F.col("chunk_id") % 7))
     )
-    near = near.select("query_id", "chunk_id", "content", F.col("rank").cast("bigint").alias("rank"))
-    return near.where(F.col("rank") <= 1 + F.col("query_id") % 6), near.withColumn("rank", 13 - F.col("rank"))
+    near = near.select("query_id", "chunk_id", "content", "score", F.col("rank").cast("bigint").alias("rank"))
+    return near.where(F.col("score") >= 0.33).drop("score"), near.withColumn("rank", 13 - F.col("rank")).drop("score")
 
 
 @query(sql("", "nearest") + HYBRID + " SELECT query_id, chunk_id, content, rank FROM fresh")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -22,6 +23,24 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
+def ratio_at_least(a: str, b: str, threshold: float) -> float | None:
+    """Matcher ratio, or None below ``threshold``; its cheap upper bounds are tried first."""
+    matcher = SequenceMatcher(None, a, b)
+    if matcher.real_quick_ratio() < threshold or matcher.quick_ratio() < threshold:
+        return None
+    ratio = matcher.ratio()
+    return ratio if ratio >= threshold else None
+
+
+def sequence_ratio_above(threshold: float) -> Callable[[Column, Column], Column]:
+    """:func:`sequence_ratio` for callers that need only values of ``threshold`` or more."""
+
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([ratio_at_least(x, y, threshold) for x, y in zip(a, b)], dtype="float64")
+
+    return F.pandas_udf(score, T.DoubleType())
+
+
 def ratio_bound(a: Column, b: Column) -> Column:
     """Upper bound of :func:`sequence_ratio` from the lengths alone."""
     total = F.length(a) + F.length(b)

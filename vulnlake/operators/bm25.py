@@ -118,7 +118,7 @@ def bm25_topk(
 
     1. the rarest terms of a query (about ``seed_postings`` postings, always at least
        one term) name some chunks; their full scores give a lower limit for the k-th
-       best score;
+       best score (used only when positive);
     2. the terms whose best possible contributions together stay below that limit
        cannot carry a chunk alone, so only postings of the other terms are read;
     3. of those chunks, the ones whose partial score plus the best case of the left-out
@@ -156,7 +156,8 @@ def bm25_topk(
         top_k(seed_scores, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
         .groupBy("query_id")
         .agg(F.count("*").alias("_n"), F.min("score").alias("_kth"))
-        .select("query_id", F.when(F.col("_n") == k, F.col("_kth") - _SLACK).alias("limit"))
+        .where((F.col("_n") == k) & (F.col("_kth") > _SLACK))
+        .select("query_id", (F.col("_kth") - _SLACK).alias("limit"))
     )
     cut = weighted.join(limits, "query_id", "left").select(
         "query_id", "term", "weight", "best", "limit",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.domain import FUZZY_THRESHOLD, SEARCH_RADIUS
-from vulnlake.functions.similarity import ratio_bound, sequence_ratio
+from vulnlake.functions.similarity import ratio_bound, sequence_ratio_above
 from vulnlake.functions.text import indent_of, is_blank, lines_of, lstrip, strip
 from vulnlake.operators.ranking import number_rows, top_k
 
@@ -167,14 +167,17 @@ def locate_fuzzy(
     files: DataFrame,
     radius: int = SEARCH_RADIUS,
     threshold: float = FUZZY_THRESHOLD,
-    similarity: Callable[[Column, Column], Column] = sequence_ratio,
+    similarity: Callable[[Column, Column], Column] | None = None,
     bound: Callable[[Column, Column], Column] | None = ratio_bound,
 ) -> DataFrame:
     """For fixes without an exact place, the most similar window at or above
     ``threshold``, the earliest of equals -> ``start, n_lines, ratio``.
 
-    ``bound`` caps the similarity cheaply, so most windows never reach the matcher.
+    ``similarity`` is the stdlib matcher unless given. ``bound`` caps the similarity
+    cheaply, so most windows never reach it.
     """
+    if similarity is None:
+        similarity = sequence_ratio_above(threshold)
     missed = _exact(_candidates(fixes, files, radius)).where(F.col("start").isNull())
     pairs = missed.select(
         "fix_id", "path", "line", "n_lines",

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.domain import FUZZY_THRESHOLD, SEARCH_RADIUS
 from vulnlake.functions.paths import relative_to
+from vulnlake.functions.similarity import ratio_at_least
 from vulnlake.operators.locating import patchable
 
 PATCH_SCHEMA = (
@@ -38,8 +38,8 @@ class _File:
         self.imports: set[str] = set()
         self.applied = self.failed = 0
 
-    def place(self, line: int, snippet: str) -> tuple[int | None, float]:
-        """Index where the snippet stands near 1-based ``line``, and the best ratio."""
+    def place(self, line: int, snippet: str) -> int | None:
+        """Index where the snippet stands near 1-based ``line``."""
         height = snippet.count("\n") + 1
         target = line - 1
         stop = min(target + SEARCH_RADIUS, len(self.lines) - height) + 1
@@ -48,14 +48,14 @@ class _File:
         wanted = _plain(snippet)
         for i, text in zip(spots, texts):
             if wanted and _plain(text) == wanted:
-                return i, 1.0
+                return i
         best, where = 0.0, None
         bare = snippet.strip()
         for i, text in zip(spots, texts):
-            ratio = SequenceMatcher(None, bare, text.strip()).ratio()
-            if ratio > best:
+            ratio = ratio_at_least(bare, text.strip(), FUZZY_THRESHOLD)
+            if ratio is not None and ratio > best:
                 best, where = ratio, i
-        return (where if best >= FUZZY_THRESHOLD else None), best
+        return where
 
     def reach(self, start: int, height: int) -> int:
         """End of the replaced lines: a matched def or class goes with its whole block."""
@@ -79,10 +79,10 @@ class _File:
         code = [r for r in rows if not _is_import(r)]
         solid = [i for i, r in enumerate(code) if r.strip()]
         code = code[solid[0]:solid[-1] + 1] if solid else [""]
-        start, best = self.place(line, snippet)
+        start = self.place(line, snippet)
         if start is None:
             self.failed += 1
-            return f"no match near line {line}, best similarity {best:.2f} of {FUZZY_THRESHOLD:.2f}"
+            return f"no match of similarity {FUZZY_THRESHOLD} or more near line {line}"
         end = self.reach(start, snippet.count("\n") + 1)
         base = next((_depth(r) for r in self.lines[start:end] if r.strip()), 0)
         least = min((_depth(r) for r in code if r.strip()), default=0)

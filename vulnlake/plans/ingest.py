@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vulnlake.domain import CHUNK_OVERLAP, CHUNK_SIZE
 from vulnlake.functions.vectors import embed_hashed
 from vulnlake.operators.corpus import chunk_recursive, needs_splitting, union_chunks
+from vulnlake.session import stage
 
 
 def ingest(
@@ -19,17 +20,14 @@ def ingest(
     index_prechunked: bool = True,
     embedder: Callable[[Column], Column] = embed_hashed,
 ) -> DataFrame:
-    """Documents (from ``load_corpus``) -> chunks with id and embedding.
+    """Documents (from ``load_corpus``) -> chunk table with id and embedding.
 
-    The chunk id is a hash of source, content and place, so it does not depend on how
-    the input was partitioned. Store the result with ``write_index``; ``build_bm25`` and
-    ``index_stats`` read it.
+    The result is a staged table: numbering rows and writing them once fixes their ids,
+    needs no shuffle, and equal chunks stay separate rows. Store it with ``write_index``;
+    ``build_bm25`` and ``index_stats`` read it.
     """
     ready, rest = needs_splitting(documents)
     fresh = chunk_recursive(rest, size, overlap)
     chunks = union_chunks(ready, fresh, index_prechunked)
-    place = F.col("seq") if "seq" in chunks.columns else F.lit(0)
-    columns = [c for c in ("source", "h1", "h2", "h3", "cwe_id", "vulnerability_id") if c in chunks.columns]
-    parts = [F.coalesce(c, F.lit("")) for c in (*columns, "content")]
-    chunk_id = F.sha2(F.concat_ws("\x1f", *parts, F.coalesce(place, F.lit(0)).cast("string")), 256)
-    return chunks.withColumn("chunk_id", chunk_id).withColumn("embedding", embedder(F.col("content")))
+    numbered = chunks.withColumn("chunk_id", F.monotonically_increasing_id())
+    return stage(numbered.withColumn("embedding", embedder(F.col("content"))), "chunks")

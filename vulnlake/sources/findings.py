@@ -13,16 +13,15 @@ from vulnlake.sources.schemas import CODE_FINDING, DEPENDENCY_FINDING, REPORT, S
 
 
 def _read_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Multi-line JSON files -> (good rows, ``path, error`` of the unreadable)."""
-    raw = (
-        spark.read.schema(f"{schema}, _corrupt string")
-        .option("multiLine", "true")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(path)
-        .withColumn("path", plain_path(F.col("_metadata.file_path")))
+    """Files with one JSON document each -> (good rows, ``path, error`` of the unreadable)."""
+    options = {"columnNameOfCorruptRecord": "_corrupt"}
+    raw = spark.read.text(path, wholetext=True).select(
+        plain_path(F.col("_metadata.file_path")).alias("path"),
+        F.from_json("value", f"{schema}, _corrupt string", options).alias("_json"),
     )
-    bad = raw.where(F.col("_corrupt").isNotNull()).select("path", F.lit("invalid JSON").alias("error"))
-    return raw.where(F.col("_corrupt").isNull()).drop("_corrupt"), bad
+    broken = F.col("_json._corrupt").isNotNull()
+    bad = raw.where(broken).select("path", F.lit("invalid JSON").alias("error"))
+    return raw.where(~broken).select("path", "_json.*").drop("_corrupt"), bad
 
 
 def read_scanner_output(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
