@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 # --- Fixed values ------------------------------------------------------------
 # Unicode whitespace as a regex class and as a character list for trimming.
-WHITESPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WHITESPACE = r"(?U:[\s\x1c\x1d\x1e\x1f])"
 WHITESPACE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -52,7 +52,9 @@ def any_lines_of(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased whitespace tokens; no empty ones."""
-    return F.filter(F.split(F.lower(text), f"{WHITESPACE}+"), lambda t: t != "")
+    bare = strip(F.lower(text))
+    none = F.array().cast("array<string>")
+    return F.when(bare == "", none).otherwise(F.split(bare, f"{WHITESPACE}+"))
 
 
 def unescape_newlines(text: Column) -> Column:

@@ -24,20 +24,28 @@ def version_key(version: Column) -> Column:
     ``1.0`` and ``1.0.0`` get the same key. Local labels are ignored. Text that is not
     a version, or has more than eight parts or an oversize number, gives null.
     """
-    ver = F.lower(version)
-    release = F.regexp_extract(ver, _VERSION, 2)
+    # One regex pass: the groups, separated by a bar, in a fixed order.
+    groups = F.split(
+        F.regexp_replace(F.lower(version), _VERSION, "$1|$2|$3|$4|$5|$6|$7|$8|$9"), r"\|", -1
+    )
+    is_version = F.lower(version).rlike(_VERSION)
+
+    def group(i: int) -> Column:
+        return F.get(groups, F.lit(i - 1))
+
+    release = group(2)
     numbers = F.transform(F.split(release, r"\."), lambda part: part.try_cast("int"))
     padded = F.slice(F.concat(numbers, F.array_repeat(F.lit(0), RELEASE_WIDTH)), 1, RELEASE_WIDTH)
 
-    def number(group: int, default: int = 0) -> Column:
-        return F.coalesce(F.regexp_extract(ver, _VERSION, group).try_cast("int"), F.lit(default))
+    def number(i: int) -> Column:
+        return F.coalesce(group(i).try_cast("int"), F.lit(0))
 
-    label = F.regexp_extract(ver, _VERSION, 3)
-    dash_post = F.regexp_extract(ver, _VERSION, 5) != ""
+    label = group(3)
+    dash_post = group(5) != ""
     is_post_label = label.isin("post", "rev", "r")
-    has_post = dash_post | is_post_label | (F.regexp_extract(ver, _VERSION, 6) != "")
+    has_post = dash_post | is_post_label | (group(6) != "")
     is_dev_label = label == "dev"
-    has_dev = is_dev_label | (F.regexp_extract(ver, _VERSION, 8) != "")
+    has_dev = is_dev_label | (group(8) != "")
     pre = (
         F.when(label.isin("a", "alpha"), PHASE_ALPHA)
         .when(label.isin("b", "beta"), PHASE_BETA)
@@ -65,7 +73,7 @@ def version_key(version: Column) -> Column:
         F.array(phase, F.when(pre.isNotNull(), number(4)).otherwise(0), post, dev),
     )
     valid = (
-        (release != "")
+        is_version
         & known
         & (F.size(numbers) <= RELEASE_WIDTH)
         & ~F.exists(numbers, lambda n: n.isNull())

@@ -33,6 +33,27 @@ class Index:
     corpus_stats: DataFrame
 
 
+def _term_counts(words: DataFrame) -> DataFrame:
+    """``chunk_id, length, term, tf`` from a token array per chunk.
+
+    The tokens are sorted and cut into runs inside the row, so counting does not shuffle
+    the corpus token by token.
+    """
+    ordered = words.select("chunk_id", F.sort_array("_words").alias("_s"))
+    places = F.when(F.size("_s") > 0, F.sequence(F.lit(0), F.size("_s") - 1))
+    runs = ordered.withColumn(
+        "_starts", F.filter(places, lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
+    )
+    counted = F.transform(
+        "_starts",
+        lambda at, j: F.struct(
+            F.get("_s", at).alias("term"),
+            (F.coalesce(F.get("_starts", j + 1), F.size("_s")) - at).cast("bigint").alias("tf"),
+        ),
+    )
+    return runs.select("chunk_id", F.size("_s").alias("length"), F.inline(counted))
+
+
 def build_bm25(
     chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "content", durable: bool = True
 ) -> Index:
@@ -45,15 +66,15 @@ def build_bm25(
     words = chunks.select(
         F.col(chunk_id).alias("chunk_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_words")
     )
-    counted = (
-        words.select("chunk_id", F.size("_words").alias("length"), F.explode("_words").alias("term"))
-        .groupBy("chunk_id", "length", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    doc_stats = words.select("chunk_id", F.size("_words").alias("length"))
+    counted = _term_counts(words)
+    sizes = chunks.agg(F.count("*").alias("n"))
     if durable:
         counted = stage(counted, "bm25-postings")
-    n = chunks.agg(F.count("*")).scalar()
-    avgdl = F.try_divide(counted.agg(F.sum("tf")).scalar(), n)
+    sizes = sizes.withColumn("avgdl", F.try_divide(counted.agg(F.sum("tf")).scalar(), "n"))
+    if durable:
+        sizes = stage(sizes, "bm25-corpus")
+    n, avgdl = sizes.select("n").scalar(), sizes.select("avgdl").scalar()
     damping = F.lit(BM25_K1) * (1 - BM25_B + BM25_B * F.try_divide("length", avgdl))
     postings = counted.select(
         "term", "chunk_id", "tf", "length",
@@ -66,10 +87,7 @@ def build_bm25(
     terms = raw.select("term", "df", idf.alias("idf"), "top_gain")
     if durable:
         terms = stage(terms, "bm25-terms")
-    corpus_stats = raw.agg(F.avg("_idf").alias("avg_idf")).select(
-        n.alias("n"), avgdl.alias("avgdl"), "avg_idf"
-    )
-    doc_stats = words.select("chunk_id", F.size("_words").alias("length"))
+    corpus_stats = sizes.withColumn("avg_idf", avg_idf)
     return Index(postings, terms, doc_stats, corpus_stats)
 
 
@@ -108,7 +126,8 @@ def bm25_topk(
     index: Index,
     k: int = BM25_TOP_K,
     pad_zero: bool = True,
-    seed_postings: int = 500,
+    seed_postings: int = 200,
+    light_share: float = 0.5,
 ) -> DataFrame:
     """K3: exact ``k`` best chunks per query -> ``query_id, chunk_id, score, rank``.
 
@@ -119,8 +138,8 @@ def bm25_topk(
     1. the rarest terms of a query (about ``seed_postings`` postings, always at least
        one term) name some chunks; their full scores give a lower limit for the k-th
        best score (used only when positive);
-    2. the terms whose best possible contributions together stay below that limit
-       cannot carry a chunk alone, so only postings of the other terms are read;
+    2. terms whose best possible contributions together stay below ``light_share`` of
+       that limit cannot carry a chunk, so only postings of the other terms are read;
     3. of those chunks, the ones whose partial score plus the best case of the left-out
        terms reaches the limit get their full score.
 
@@ -161,7 +180,7 @@ def bm25_topk(
     )
     cut = weighted.join(limits, "query_id", "left").select(
         "query_id", "term", "weight", "best", "limit",
-        F.coalesce(F.col("below") < F.col("limit"), F.lit(False)).alias("light"),
+        F.coalesce(F.col("below") < light_share * F.col("limit"), F.lit(False)).alias("light"),
     )
     cut = stage(cut, "bm25-cut")
     heavy = cut.where(~F.col("light")).select("query_id", "term", "weight")
@@ -179,6 +198,7 @@ def bm25_topk(
         .where(reachable)
         .select("query_id", "chunk_id", "part")
     )
+    partial = stage(partial, "bm25-survivors")
     rest = (
         partial.select("query_id", "chunk_id")
         .join(light, "query_id")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vulnlake.domain import CACHE_SIZE, CACHE_THRESHOLD
-from vulnlake.functions.vectors import cosine
 from vulnlake.operators.ranking import top_k
 
 
@@ -39,33 +41,43 @@ def cache_lookup(
 
     Returns (hits, misses): the key rows with ``hit_seq, hit_key, result, similarity``,
     and the key rows without a hit. The cache holds at most ``max_size`` entries by
-    contract (W4 is applied first), so it travels as one array value and the test runs
-    inside each key's row: no join, no pairs. A missing or zero vector never hits.
+    contract (W4 is applied first), so it travels with the tasks and each Arrow batch of
+    keys is one matrix product: no join, no pairs. A missing or zero vector never hits.
     """
-    entries = (
-        fifo_retain(cache, max_size)
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("seq", "key", "result", F.col(vector).alias("vector")))
-            ).alias("entries")
-        )
-        .scalar()
-    )
-    mine = F.col(vector)
-    scored = F.transform(
-        "_entries",
-        lambda e: F.struct(
-            e["seq"].alias("hit_seq"),
-            e["key"].alias("hit_key"),
-            e["result"].alias("result"),
-            cosine(mine, e["vector"]).alias("similarity"),
-        ),
+    # At most max_size rows.
+    entries = [r for r in fifo_retain(cache, max_size).orderBy("seq").collect() if r[vector] is not None]
+    units = [_unit(r[vector]) for r in entries]
+    entries = [e for e, u in zip(entries, units) if u is not None]
+    stored = np.array([u for u in units if u is not None])
+    schema = T.StructType(
+        [
+            T.StructField("hit_seq", T.LongType()),
+            T.StructField("hit_key", T.StringType()),
+            T.StructField("result", cache.schema["result"].dataType),
+            T.StructField("similarity", T.DoubleType()),
+        ]
     )
-    found = F.filter(scored, lambda e: F.coalesce(e["similarity"] >= threshold, F.lit(False)))
-    looked = keys.withColumn("_entries", entries).withColumn("_hit", F.get(found, F.lit(0)))
-    hits = looked.where(F.col("_hit").isNotNull()).select(*keys.columns, "_hit.*")
-    misses = looked.where(F.col("_hit").isNull()).select(*keys.columns)
-    return hits, misses
+    values = [(int(e["seq"]), e["key"], e["result"]) for e in entries]
+
+    def first_hit(vectors: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in vectors:
+            unit = None if v is None else _unit(v)
+            alike = stored @ unit if unit is not None and len(stored) else np.array([])
+            reached = np.flatnonzero(alike >= threshold)
+            rows.append((*values[reached[0]], float(alike[reached[0]])) if len(reached) else (None,) * 4)
+        return pd.DataFrame(rows, columns=schema.names).astype({"hit_seq": "Int64", "similarity": "float64"})
+
+    looked = keys.withColumn("_hit", F.pandas_udf(first_hit, schema)(F.col(vector)))
+    found = F.col("_hit.hit_seq").isNotNull()
+    hits = looked.where(found).select(*keys.columns, "_hit.*")
+    return hits, looked.where(~found).select(*keys.columns)
+
+
+def _unit(vector) -> np.ndarray | None:
+    v = np.asarray(vector, dtype=np.float64)
+    length = np.sqrt(v @ v)
+    return v / length if length > 0 else None
 
 
 def cache_append(
