@@ -15,6 +15,10 @@ from vulnlake.session import stage
 
 # Slack that keeps rounding of scores from cutting a chunk at the threshold.
 _SLACK = 1e-5
+# A term with more than this share of all postings is hot: there are at most
+# 1 / HOT_SHARE of them. Each is spread over HOT_SALTS join keys.
+HOT_SHARE = 0.001
+HOT_SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -121,6 +125,22 @@ def bm25_score(pairs: DataFrame, queries: DataFrame, index: Index) -> DataFrame:
     )
 
 
+def _join_postings(terms: DataFrame, index: Index) -> DataFrame:
+    """Rows with a ``term`` joined with its postings; hot terms are salted.
+
+    The list of hot terms is bounded by its definition, so it can be broadcast.
+    """
+    total = index.terms.agg(F.sum("df")).scalar()
+    hot = F.broadcast(
+        index.terms.where(F.col("df") > HOT_SHARE * total).select("term", F.lit(True).alias("_hot"))
+    )
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("chunk_id"), F.lit(HOT_SALTS)).cast("int")).otherwise(0)
+    spread = terms.join(hot, "term", "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    postings = index.postings.select("term", "chunk_id", "gain").join(hot, "term", "left")
+    return spread.join(postings.withColumn("_salt", salt).drop("_hot"), ["term", "_salt"]).drop("_salt")
+
+
 def bm25_topk(
     queries: DataFrame,
     index: Index,
@@ -158,10 +178,9 @@ def bm25_topk(
         "bm25-query-terms",
     )
     terms = weighted.select("query_id", "term", "weight")
+    rarest = weighted.where((F.col("nth") == 1) | (F.col("reach") <= seed_postings))
     seeds = (
-        weighted.where((F.col("nth") == 1) | (F.col("reach") <= seed_postings))
-        .select("query_id", "term")
-        .join(postings.select("term", "chunk_id"), "term")
+        _join_postings(rarest.select("query_id", "term"), index)
         .select("query_id", "chunk_id")
         .distinct()
     )
@@ -191,7 +210,7 @@ def bm25_topk(
     )
     reachable = F.col("limit").isNull() | (F.col("part") + F.col("_reserve") >= F.col("limit"))
     partial = (
-        heavy.join(postings, "term")
+        _join_postings(heavy, index)
         .groupBy("query_id", "chunk_id")
         .agg(F.sum(part).alias("part"))
         .join(reserve, "query_id")

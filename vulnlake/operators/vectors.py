@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from vulnlake.session import stage
 _SLACK = 1e-5
 MAX_PIVOTS = 256
 BLOCK_ROWS = 1024
+SHARD_BLOCKS = 64
 
 
 @F.pandas_udf(T.BinaryType())
@@ -45,35 +46,46 @@ def _round6(x: np.ndarray) -> np.ndarray:
     return np.floor(x * 1e6 + 0.5) / 1e6
 
 
-def _blocks(rows: DataFrame, sizes: dict[int, int], block_rows: int) -> DataFrame:
-    """Rows packed per cluster into hash blocks of about ``block_rows`` rows each.
+def _per_cluster(values: dict[int, int]) -> Column:
+    """The value of the row's cluster; ``values`` has at most one entry per pivot."""
+    pairs = [F.lit(x) for pair in values.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("cluster")), F.lit(1)) if pairs else F.lit(1)
 
-    A cluster of any size becomes many bounded blocks; ``sizes`` has one entry per
-    pivot.
-    """
-    n_blocks = {c: -(-n // block_rows) for c, n in sizes.items()}
-    mapping = F.create_map(*[F.lit(x) for pair in n_blocks.items() for x in pair])
-    block = F.pmod(F.xxhash64("id"), F.coalesce(mapping[F.col("cluster")], F.lit(1)))
+
+def _blocks(rows: DataFrame, sizes: dict[int, int], block_rows: int) -> DataFrame:
+    """Rows packed per cluster into hash blocks of about ``block_rows`` rows each, so a
+    cluster of any size becomes many bounded blocks."""
+    n_blocks = _per_cluster({c: -(-n // block_rows) for c, n in sizes.items()})
+    block = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
     return rows.groupBy("cluster", block.alias("block")).agg(
         F.collect_list("id").alias("ids"), F.collect_list("unit").alias("units")
     )
 
 
-def _search(routes: DataFrame, chunk_blocks: DataFrame, k: int, block_rows: int) -> DataFrame:
+def _search(
+    routes: DataFrame, chunk_blocks: DataFrame, shards: dict[int, int], k: int, block_rows: int
+) -> DataFrame:
     """Best ``k`` per query block and chunk block of the same cluster.
 
     Joined rows are pairs of blocks; each emits at most ``k`` rows per query, never the
-    pairs themselves.
+    pairs themselves. The join key is (cluster, shard): a large cluster has one shard per
+    ``SHARD_BLOCKS`` blocks, and its query blocks go to each of them.
     """
     sizes = {r["cluster"]: r["n"] for r in routes.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
-    query_blocks = _blocks(routes, sizes, block_rows) if sizes else routes.select(
-        "cluster", F.lit(0).alias("block"), F.array("id").alias("ids"), F.array("unit").alias("units")
-    )
-    pairs = query_blocks.select(
-        "cluster", F.col("ids").alias("query_ids"), F.col("units").alias("query_units")
-    ).join(
-        chunk_blocks.select("cluster", F.col("ids").alias("chunk_ids"), F.col("units").alias("chunk_units")),
+    query_blocks = _blocks(routes, sizes, block_rows).select(
         "cluster",
+        F.explode(F.sequence(F.lit(0), _per_cluster(shards) - 1)).alias("shard"),
+        F.col("ids").alias("query_ids"),
+        F.col("units").alias("query_units"),
+    )
+    pairs = query_blocks.join(
+        chunk_blocks.select(
+            "cluster",
+            F.floor(F.col("block") / SHARD_BLOCKS).cast("int").alias("shard"),
+            F.col("ids").alias("chunk_ids"),
+            F.col("units").alias("chunk_units"),
+        ),
+        ["cluster", "shard"],
     )
     schema = T.StructType(
         [
@@ -162,6 +174,7 @@ def vector_topk(
     sizes = np.array([shape[c]["n"] if c in shape else 0 for c in range(n_pivots)])
     lows = np.array([shape[c]["lo"] if c in shape else 0.0 for c in range(n_pivots)])
     highs = np.array([shape[c]["hi"] if c in shape else 0.0 for c in range(n_pivots)])
+    shards = {c: -(-r["n"] // (block_rows * SHARD_BLOCKS)) for c, r in shape.items()}
     blocks = stage(
         _blocks(placed.select("id", "unit", "cluster"), {c: r["n"] for c, r in shape.items()}, block_rows),
         "vector-blocks",
@@ -193,7 +206,7 @@ def vector_topk(
     routed = asked.withColumn("_to", F.explode(route("unit"))).select("id", "unit", "_to.*")
     routed = stage(routed, "vector-routes")
     order = [F.desc("score"), F.col("chunk_id")]
-    first = _search(routed.where("near").select("id", "unit", "cluster"), blocks, k, block_rows)
+    first = _search(routed.where("near").select("id", "unit", "cluster"), blocks, shards, k, block_rows)
     best = top_k(first, ["query_id"], order, k)
     if probes is not None:
         return best
@@ -207,7 +220,7 @@ def vector_topk(
         .where(F.col("limit").isNull() | (F.col("bound") >= F.col("limit")))
         .select("id", "unit", "cluster")
     )
-    rest = _search(far, blocks, k, block_rows)
+    rest = _search(far, blocks, shards, k, block_rows)
     return top_k(best.drop("rank").unionByName(rest), ["query_id"], order, k)
 
 

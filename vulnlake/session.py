@@ -46,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
     Used where several later steps read the same expensive result: the table
@@ -54,5 +54,6 @@ def stage(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vulnlake/{label}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    # Small row groups: a later read can split even a single file over many tasks.
+    df.write.option("parquet.block.size", 16 * 1024 * 1024).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
