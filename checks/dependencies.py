@@ -88,7 +88,7 @@ def parse_requirements(spark, d):
 SELECT 'r' || (dep_id // 50) AS file, dep_id % 50 + 1 AS line, 'more than one == in: ' || package || '==' || version || '==x' AS error
 FROM deps WHERE dep_id % 10 = 7""", "deps"))
 def requirements_quarantine(spark, d):
-    return dp.parse_requirements(requirement_files(spark, d))[1]
+    return dp.parse_requirements(requirement_files(spark, d))[1].withColumn("line", F.col("line").cast("bigint"))
 
 
 @query(sql("""

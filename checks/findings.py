@@ -174,7 +174,8 @@ SELECT doc_id, line_no AS line, test_id, type, severity, confidence, trim(line,
   ('B113', 'Insecure Configuration', 'low', 'low', 'https?://')) AS r(test_id, type, severity, confidence, pattern)
 WHERE regexp_matches(lines.line, pattern)""".replace("trim(line,", "trim(lines.line,"), "lines"))
 def rule_scan(spark, d):
-    return fd.rule_scan(v.table(spark, d, "documents"), RULES, key="doc_id", text="text")
+    found = fd.rule_scan(v.table(spark, d, "documents"), RULES, key="doc_id", text="text")
+    return found.withColumn("line", F.col("line").cast("bigint"))
 
 
 @query(sql(f"""
