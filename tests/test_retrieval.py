@@ -78,7 +78,8 @@ def brute_nearest(queries, chunks, k):
 
 
 @pytest.mark.parametrize("skew", [False, True])
-def test_vector_topk_equals_brute_force(spark, skew):
+def test_vector_topk_equals_brute_force(spark, skew, monkeypatch):
+    monkeypatch.setattr(vc, "SHARD_BLOCKS", 2)  # several shards even for small clusters
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 8))
     chunks = centres[rng.integers(12, size=900)] + 0.3 * rng.normal(size=(900, 8))
