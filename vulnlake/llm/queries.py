@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm import langid, packing, pieces, quality, secret_scan, toxicity
+from vulnlake.llm import langid, packing, pieces, quality, secret_scan, toxicity, warc
 from vulnlake.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{secret_scan.KINDS[k]}") for k in range(3)]
     digest = F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, secret_scan.written(F.col("spans")).alias("spans"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+_BASE32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(h, {hex}, 5))::INTEGER >> {shift}) % 32, 1)"
+ORACLES["op9_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+hashed AS (SELECT page_id, strlen(html) AS payload_bytes, html, sha1(html) AS h FROM p),
+top AS (SELECT html, max(page_id) AS first FROM p WHERE page_id IS NOT NULL GROUP BY html)
+SELECT page_id, payload_bytes,
+  {' || '.join(_BASE32.format(hex=5 * i + 1, shift=s) for i in range(8) for s in (15, 10, 5, 0))} AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM hashed LEFT JOIN top USING (html)
+"""
