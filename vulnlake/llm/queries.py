@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm import langid, minhash, packing, pieces, quality, secret_scan, toxicity, warc
+from vulnlake.llm import ann_tree, hamming_topk, langid, minhash, packing, pieces, quality, secret_scan, toxicity, warc
 from vulnlake.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+@query
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 @query
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -56,6 +61,22 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+@query
+def op6_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign codes of the 64-d embeddings; queries are the ids divisible by 50."""
+    return hamming_topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, bits=64)
+
+
+_CODE = " || ".join(f"(embedding[{i + 1}] > 0)::INT::VARCHAR" for i in range(64))
+ORACLES["op6_hamming"] = f"""
+WITH c AS (SELECT vec_id, min({_CODE}) AS code FROM embeddings GROUP BY vec_id),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, hamming(q.code, c.code)::INTEGER AS distance
+  FROM c q JOIN c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank, vec_id, distance FROM d
+QUALIFY rank <= 10
+"""
+
+
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
