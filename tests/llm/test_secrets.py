@@ -1,0 +1,66 @@
+"""Secret scan against plain patterns, and the battery on random and ordinary tokens."""
+
+import random
+import re
+import string
+
+from helpers import DOCS, odd_rows, prose
+from vulnlake.llm import secret_scan as S
+
+ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def plain(text):
+    out = [(0, m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+    out += [(1, m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    return out + [(2, m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 24]
+
+
+def test_base_spans_equal_the_plain_patterns():
+    rng = random.Random(2)
+    parts = ["password", "PassWd", "ſecret", "secret", "toKen", "api_key", "APIKEY", "=", ":", ' "', "'", " ", "abc123", "AKIA", "ABCDEFGHIJ012345678", "0123456789abcdef", "é", "\n", ".", "-"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert sorted(S.base_spans(text)) == sorted(plain(text)), text
+
+
+def random_token(rng, n, letters=string.ascii_letters + string.digits):
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def test_scan(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng), None, None, None, None, None) for i in range(200)]
+    secret = {}
+    for i in range(40):
+        secret[i] = random_token(rng, 40)
+        rows[i] = (i, f"é {rows[i][1]} {secret[i]} end", None, None, None, None, None)
+    rows[50] = (50, 'x token = "0123456789abcdef0123456789abcdef01234567" and getElementsByTagNameFooBarBazQuxxed', None, None, None, None, None)
+    docs = spark.createDataFrame(rows + odd_rows(), DOCS)
+    got = S.scan(docs).select("doc_id", "base", "spans", S.written("spans").alias("w")).collect()
+    by_id = {r.doc_id: r for r in got}
+    texts = {r[0]: r[1] for r in rows}
+    found = [i for i in secret if any(texts[i][s.start : s.end] == secret[i] for s in by_id[i].spans)]
+    assert len(found) >= 36
+    assert all(not by_id[i].spans for i in range(60, 200))
+    assert by_id[50].w == "assign:2:51,hex:11:51" and len(by_id[50].base) == 2
+    for i in (9001, 9002, 9003, 9007):
+        assert by_id[i].w == ""
+    assert len(got) == len(rows) + len(odd_rows())
+    assert S.scan(docs.limit(0)).count() == 0
+
+
+def test_redaction_keeps_columns_and_nulls(spark):
+    rows = [(1, 'a password=abcdef12 b', "en", "s", 21, "n", 2), *odd_rows()]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = S.redact(docs)
+    assert out.schema.names == docs.schema.names
+    got = {r.doc_id: r for r in out.where("doc_id is not null").collect()}
+    assert got[1].text == "a [secret] b" and got[1].n_chars == len("a [secret] b")
+    assert got[9001].text is None and got[9002].text == ""
+
+
+def test_step_up_is_benjamini_hochberg():
+    assert S.step_up({0: 10_000, 5: 1}, 0.001) is None
+    assert S.step_up({0: 100, 6: 20, 9: 5}, 0.001) == 6
+    assert S.step_up({}, 0.001) is None

@@ -118,22 +118,24 @@ def backward(net: ByteCnn, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np
     return loss, [g_embed, *g_filters, g_act.sum(axis=0), act.T @ d, d.sum(axis=0)]
 
 
-def fit(x: np.ndarray, names: list[str], epochs: int = 4, batch: int = 128, rate: float = 0.01, seed: int = 11) -> ByteCnn:
-    """Adam over shuffled windows; class weights are left to the balanced sample."""
+def fit(x: np.ndarray, names: list[str], epochs: int = 4, batch: int = 128, rate: float = 0.01, steps: int = 400, seed: int = 11) -> ByteCnn:
+    """Adam with a falling rate over shuffled windows, for ``epochs`` or at least ``steps`` batches."""
     languages = sorted(set(names))
     y = np.array([languages.index(v) for v in names])
     rng = np.random.default_rng(seed)
     net = ByteCnn.fresh(languages, rng)
     params = net.parameters()
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    per_epoch = -(-len(x) // batch)
+    epochs = max(epochs, -(-steps // per_epoch))
     t = 0
-    for epoch in range(epochs):
+    for _ in range(epochs):
         order = rng.permutation(len(x))
         for i in range(0, len(x), batch):
             part = order[i : i + batch]
             _, grads = backward(net, x[part], y[part])
             t += 1
-            step = rate * (0.3**epoch) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+            step = rate * 0.03 ** (t / (epochs * per_epoch)) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
             for p, g, a, b in zip(params, grads, first, second, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
