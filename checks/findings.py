@@ -126,9 +126,9 @@ def change_headline(spark, d):
 
 @query(sql("""
 SELECT file, 'vulnlake-' || CASE WHEN bool_or(severity = 'critical') THEN 'critical-fixes' WHEN bool_or(severity = 'high') THEN 'high-severity'
-  ELSE 'automated-fixes' END || '-20250104-143022' AS label FROM findings GROUP BY file""", "findings"))
+  ELSE 'automated-fixes' END || '-20310715-080910' AS label FROM findings GROUP BY file""", "findings"))
 def batch_label(spark, d):
-    return changes.batch_label(v.findings(spark, d), F.lit("2025-01-04 14:30:22").cast("timestamp"), ["file"])
+    return changes.batch_label(v.findings(spark, d), F.lit("2031-07-15 08:09:10").cast("timestamp"), ["file"])
 
 
 @query(sql("""
@@ -147,11 +147,10 @@ SELECT section, number, part, md5(text) AS digest FROM (
   UNION ALL SELECT 1, 0, 2, '| Type | File | Line | Severity | Confidence | CWE |'
   UNION ALL SELECT 1, 0, 3, '|------|------|------|----------|------------|-----|'
   UNION ALL SELECT 2, number, 0, '| ' || type || ' | `' || file || '` | ' || line || ' | **' || severity || '** | ' || confidence || ' | CWE-1 |' FROM worthy
-  UNION ALL SELECT 3, number, 0, '#### ' || number || '. ' || type || ' in `' || file || ':' || line || '`' || repeat(chr(10), 2) || 'Severity: ' || severity
+  UNION ALL SELECT 3, number, 0, '### ' || file || ' line ' || line || repeat(chr(10), 2) || 'Fix ' || number || ' for ' || type || chr(10) || 'Severity: ' || severity
     || ', confidence: ' || confidence || repeat(chr(10), 2) || description || repeat(chr(10), 2) || 'Before:' || chr(10) || '```python' || chr(10) || snippet
     || chr(10) || '```' || repeat(chr(10), 2) || 'After:' || chr(10) || '```python' || chr(10) || 'pass' || chr(10) || '```' || chr(10) FROM worthy
-  UNION ALL SELECT 4, 0, 0, '- [ ] Changes reviewed' UNION ALL SELECT 4, 0, 1, '- [ ] Tests pass'
-  UNION ALL SELECT 4, 0, 2, '- [ ] No behaviour lost' UNION ALL SELECT 4, 0, 3, '- [ ] New scan shows the findings gone'
+  UNION ALL SELECT 4, 0, 0, '* read by two' UNION ALL SELECT 4, 0, 1, '* deployed'
   UNION ALL SELECT 5, number, 0, '- fix ' || number || ': ' || bandit_test_id || ' (cwe)' FROM worthy)""".replace("WITH worthy", ", worthy", 1), "findings"))
 def change_report(spark, d):
     worthy = changes.change_worthy(v.findings(spark, d)).withColumns(
@@ -162,7 +161,7 @@ def change_report(spark, d):
             "source_documents": F.array(F.struct(F.col("bandit_test_id").alias("source"), F.lit("cwe").alias("doc_type"))),
         }
     )
-    report = changes.change_report(changes.number_changes(worthy, ["finding_id"]))
+    report = changes.change_report(changes.number_changes(worthy, ["finding_id"]), checklist=["* read by two", "* deployed"])
     return report.select("section", "number", "part", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks import views as v
 from checks.registry import query
 from checks.views import sql
-from vulnlake.functions.similarity import levenshtein_ratio, sequence_ratio as matcher_ratio
+from vulnlake.functions.similarity import levenshtein_ratio
 from vulnlake.operators import locating as lc, patching as pt
 from vulnlake.plans.changes import prepare_changes
 
@@ -75,13 +75,6 @@ def locate_fuzzy(spark, d):
     return lc.locate_fuzzy(v.fixes(spark, d), v.files(spark, d)).select("fix_id", "start", "ratio")
 
 
-@query()
-def sequence_ratio(spark, d):
-    """Each text against its lower-cased self; the matcher has no SQL form."""
-    lines = v.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return lines.select("doc_id", "i", F.round(matcher_ratio(F.col("line"), F.lower("line")), 6).alias("ratio"))
-
-
 @query(sql("""
 SELECT path, md5(string_agg(CASE WHEN trim(line) = '' THEN '' ELSE repeat(' ', 2 + length(line) - length(ltrim(line)) - least) || ltrim(line) END, chr(10) ORDER BY line_no)) AS digest
 FROM (SELECT *, coalesce(min(CASE WHEN trim(line) <> '' THEN length(line) - length(ltrim(line)) END) OVER (PARTITION BY path), 0) AS least
@@ -100,13 +93,11 @@ def file_imports(spark, d):
 
 
 @query(sql(f"""
-SELECT path, coalesce(md5(string_agg(line, chr(10) ORDER BY line_no) FILTER (line_no BETWEEN lo AND hi)), md5('')) AS digest
-FROM (SELECT *, min(CASE WHEN trim(line) <> '' THEN line_no END) OVER w AS lo, max(CASE WHEN trim(line) <> '' THEN line_no END) OVER w AS hi
-  FROM file_lines WHERE NOT {IMPORT} WINDOW w AS (PARTITION BY path)) GROUP BY path""", "file_lines"))
+SELECT path, coalesce(md5(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT imp AND line_no BETWEEN lo AND hi)), md5('')) AS digest
+FROM (SELECT *, min(CASE WHEN NOT imp AND trim(line) <> '' THEN line_no END) OVER w AS lo, max(CASE WHEN NOT imp AND trim(line) <> '' THEN line_no END) OVER w AS hi
+  FROM (SELECT *, {IMPORT} AS imp FROM file_lines) WINDOW w AS (PARTITION BY path)) GROUP BY path""", "file_lines"))
 def code_without_imports(spark, d):
-    lines = F.filter(F.split("content", "\n"), lambda x: ~lc.is_import(x))
-    rest = v.files(spark, d).where(F.size(lines) > 0)
-    return rest.select("path", F.md5(lc.without_imports(F.col("content")).cast("binary")).alias("digest"))
+    return v.files(spark, d).select("path", F.md5(lc.without_imports(F.col("content")).cast("binary")).alias("digest"))
 
 
 @query(sql(f"""

@@ -28,8 +28,8 @@ def bm25_corpus_stats(spark, d):
 
 
 TURNS = """
-WITH chunks AS (SELECT conv_id * 1000 + turn AS chunk_id, text AS content FROM conversations WHERE role = 'assistant'),
-queries AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user'),
+WITH chunks AS (SELECT conv_id * 1000 + turn AS chunk_id, text AS content FROM conversations),
+queries AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations),
 {tables},
 pairs AS (SELECT q.query_id, c.chunk_id FROM queries q JOIN chunks c ON c.chunk_id = q.query_id + 1)
 SELECT query_id, chunk_id, round(coalesce(sum(qtf * gain), 0), 6) AS score
@@ -38,10 +38,10 @@ FROM pairs LEFT JOIN query_terms USING (query_id) LEFT JOIN gain USING (chunk_id
 
 @query(TURNS.format(tables=",\n".join(f"{n} AS MATERIALIZED ({v.SQL[n]})" for n in ("tf", "lengths", "corpus", "raw_idf", "idf", "gain", "query_terms"))))
 def bm25_score(spark, d):
-    """Every user turn scored against the answer that follows it."""
+    """Every turn scored against the turn that follows it."""
     turns = v.table(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    answers = turns.where(F.col("role") == "assistant").select(F.col("id").alias("chunk_id"), F.col("text").alias("content"))
-    asked = turns.where(F.col("role") == "user").select(F.col("id").alias("query_id"), "text")
+    answers = turns.select(F.col("id").alias("chunk_id"), F.col("text").alias("content"))
+    asked = turns.select(F.col("id").alias("query_id"), "text")
     pairs = asked.select("query_id", (F.col("query_id") + 1).alias("chunk_id")).join(answers.select("chunk_id"), "chunk_id")
     return bm25.bm25_score(pairs, asked, bm25.build_bm25(answers))
 
@@ -63,6 +63,28 @@ def assemble_context(spark, d):
     return context.select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"), chars.cast("bigint").alias("chars"))
 
 
+# A corpus of few words: a term in more than half of all chunks has a negative weight, where
+# fewer than two chunks score above zero the best are those without any term of the query.
+POOR = """
+WITH chunks AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 4 = 3 THEN 'z' ELSE 'a b' || CASE WHEN doc_id % 3 > 0 THEN ' c' ELSE '' END END AS content FROM documents),
+queries AS (SELECT item_id AS query_id, ['a', 'b a', 'q', 'c'][1 + item_id % 4] AS text FROM benchmark),
+{tables},
+scored AS (SELECT query_id, chunk_id, round(sum(qtf * gain), 6) AS score FROM query_terms JOIN gain USING (term) GROUP BY ALL),
+every AS (SELECT q.query_id, c.chunk_id, coalesce(s.score, 0) AS score FROM queries q CROSS JOIN chunks c LEFT JOIN scored s ON s.query_id = q.query_id AND s.chunk_id = c.chunk_id)
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM every QUALIFY rank <= 2"""
+
+
+@query(POOR.format(tables=",\n".join(f"{n} AS MATERIALIZED ({v.SQL[n]})" for n in ("tf", "lengths", "corpus", "raw_idf", "idf", "gain", "query_terms"))))
+def bm25_negative_scores(spark, d):
+    i = F.col("doc_id")
+    content = F.when(i % 4 == 3, "z").otherwise(F.concat(F.lit("a b"), F.when(i % 3 > 0, " c").otherwise("")))
+    chunks = v.table(spark, d, "documents").select(i.alias("chunk_id"), content.alias("content"))
+    texts = F.array(*map(F.lit, ("a", "b a", "q", "c")))
+    queries = v.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), texts[(F.col("item_id") % 4).cast("int")].alias("text"))
+    best = bm25.bm25_topk(queries, bm25.build_bm25(chunks))
+    return best.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 def knn(spark, d, k=12):
     e = v.vectors(spark, d)
     return vc.vector_topk(
@@ -138,10 +160,10 @@ def embed_tokens(spark, d):
     )
 
 
-# Hybrid inputs: the vector rows above a similarity, and twelve keyword rows per query whose
+# Hybrid inputs: the nearest rows (three for every other query, all twelve for the rest), and twelve keyword rows per query whose
 # contents repeat those of the vector side and each other.
 HYBRID = """,
-vec AS (SELECT n.query_id, n.chunk_id, 'label ' || n.label || ' ' || (n.chunk_id % 7) AS content, n.rank FROM nearest n WHERE n.score >= 0.33),
+vec AS (SELECT n.query_id, n.chunk_id, 'label ' || n.label || ' ' || (n.chunk_id % 7) AS content, n.rank FROM nearest n WHERE n.rank <= CASE WHEN n.query_id % 2 = 0 THEN 3 ELSE 12 END),
 word AS (SELECT c.query_id, c.chunk_id, 'label ' || c.label || ' ' || (c.chunk_id % 7) AS content,
     row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS rank FROM nearest c),
 fresh AS (SELECT * FROM word w WHERE NOT EXISTS (SELECT 1 FROM vec x WHERE x.query_id = w.query_id AND x.content = w.content)
@@ -154,7 +176,8 @@ def hybrid_inputs(spark, d):
         "content", F.concat(F.lit("label "), v.text_of("label"), F.lit(" "), v.text_of(F.col("chunk_id") % 7))
     )
     near = near.select("query_id", "chunk_id", "content", "score", F.col("rank").cast("bigint").alias("rank"))
-    return near.where(F.col("score") >= 0.33).drop("score"), near.withColumn("rank", 13 - F.col("rank")).drop("score")
+    few = F.when(F.col("query_id") % 2 == 0, 3).otherwise(12)
+    return near.where(F.col("rank") <= few).drop("score"), near.withColumn("rank", 13 - F.col("rank")).drop("score")
 
 
 @query(sql("", "nearest") + HYBRID + " SELECT query_id, chunk_id, content, rank FROM fresh")

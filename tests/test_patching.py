@@ -197,9 +197,9 @@ def test_headline(spark):
 
 
 def test_label(spark):
-    when = F.lit("2025-01-04 14:30:22").cast("timestamp")
+    when = F.lit("2031-07-15 08:09:10").cast("timestamp")
     rows = remediations(spark)
-    assert ch.batch_label(rows, when).first().label == "vulnlake-critical-fixes-20250104-143022"
+    assert ch.batch_label(rows, when).first().label == "vulnlake-critical-fixes-20310715-080910"
     assert ch.batch_label(rows.where("fix_id = 1"), when).first().label.startswith("vulnlake-high-severity-")
     assert ch.batch_label(rows.limit(0), when).first().label.startswith("vulnlake-automated-fixes-")
 
@@ -213,6 +213,6 @@ def test_prepare_changes(spark):
     assert change.headline.first().total == 3
     report = change.report.orderBy("section", "number", "part").collect()
     text = "\n".join(r.text for r in report)
-    assert text.count("| XSS |") == 1 and "#### 2. SQLi in `/r/a.py:2`" in text
+    assert text.count("| XSS |") == 1 and "### /r/a.py line 2\n\nFix 2 for SQLi" in text
     assert [r.number for r in report if r.section == 5] == [1, 3]
     assert ch.any_rows(ch.change_worthy(remediations(spark).limit(0))).first().worthy is False

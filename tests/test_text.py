@@ -65,7 +65,7 @@ def test_requirement_specs(spark):
 
 def test_version_order_matches_packaging(spark):
     names = (
-        "0 0.9 1.0.dev1 1.0a1.dev2 1.0a1 1.0a2 1.0b1 1.0rc1 1.0c2 1.0 1.0.post1.dev3 1.0.post1 1.0-2 1.0.1 1.1 1.10 1.10.0.1 2!0.1 v3.0"
+        "0 0.9 1.0.dev1 1.0a1.dev2 1.0a1 1.0a2 1.0b1 1.0rc1 1.0c2 1.0 1.0.post1.dev3 1.0.post1 1.0-2 1.0.1 1.1 1.10 1.10.0.1 1.2.3.4.5.6.7.8.9 1.2.3.4.5.6.7.8.10 20230101120000 1.0.dev202301011200 1.0.post20230101120000 2!0.1 v3.0"
     ).split()
     keys = dict(zip(names, apply(spark, versions.version_key, names)))
     known = [n for n in names if n != "v3.0"]
@@ -74,7 +74,8 @@ def test_version_order_matches_packaging(spark):
         for b in known:
             assert (keys[a] < keys[b]) == (Version(a) < Version(b)), (a, b)
     assert apply(spark, versions.version_key, ["1.0"]) == apply(spark, versions.version_key, ["1.0.0+local"])
-    assert apply(spark, versions.version_key, ["abc", "", None, "1.99999999999", "1..2"]) == [None] * 5
+    assert apply(spark, versions.version_key, ["abc", "", None, "1." + "9" * 30, "1..2"]) == [None] * 5
+    assert apply(spark, versions.version_key, [f"1.0.dev{9 * 10**30}", f"1.0.post{9 * 10**30}", f"{9 * 10**30}!1"]) == [None] * 3
 
 
 def test_paths(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # --- Fixed values: release phases in order --------------------------------
 PHASE_DEV, PHASE_ALPHA, PHASE_BETA, PHASE_RC, PHASE_FINAL, PHASE_POST = 0, 1, 2, 3, 4, 5
-RELEASE_WIDTH = 8
+NO_MORE_PARTS = -1
 _VERSION = (
     r"^\s*[vV]?(?:(\d+)!)?(\d+(?:\.\d+)*)"
     r"(?:[-_.]?([A-Za-z]+)[-_.]?(\d*))?(?:-(\d+))?"
@@ -17,12 +17,13 @@ _VERSION = (
 
 
 def version_key(version: Column) -> Column:
-    """Version text as ``array<int>`` that compares like the version does.
+    """Version text as ``array<bigint>`` that compares like the version does.
 
-    Layout: epoch, eight zero-padded release parts, phase, phase number, post number,
-    dev number. Arrays compare element by element, so the fixed width matters:
-    ``1.0`` and ``1.0.0`` get the same key. Local labels are ignored. Text that is not
-    a version, or has more than eight parts or an oversize number, gives null.
+    Layout: epoch, release parts without trailing zeros, -1, phase, phase number, post
+    number, dev number. Arrays compare element by element and -1 is below any part, so
+    releases of any length compare, and ``1.0`` and ``1.0.0`` get the same key. Local
+    labels are ignored. Text that is not a version, or holds a number beyond 64 bits
+    anywhere, gives null.
     """
     # One regex pass: the groups, separated by a bar, in a fixed order.
     groups = F.split(
@@ -34,11 +35,16 @@ def version_key(version: Column) -> Column:
         return F.get(groups, F.lit(i - 1))
 
     release = group(2)
-    numbers = F.transform(F.split(release, r"\."), lambda part: part.try_cast("int"))
-    padded = F.slice(F.concat(numbers, F.array_repeat(F.lit(0), RELEASE_WIDTH)), 1, RELEASE_WIDTH)
+    numbers = F.transform(F.split(release, r"\."), lambda part: part.try_cast("bigint"))
+    # the last part that is not zero ends the release
+    used = F.coalesce(F.array_max(F.transform(numbers, lambda n, i: F.when(n != 0, i + 1))), F.lit(0))
+    parts = F.slice(numbers, F.lit(1), used)
 
     def number(i: int) -> Column:
-        return F.coalesce(group(i).try_cast("int"), F.lit(0))
+        return F.coalesce(group(i).try_cast("bigint"), F.lit(0).cast("bigint"))
+
+    def oversize(i: int) -> Column:
+        return (group(i) != "") & group(i).try_cast("bigint").isNull()
 
     label = group(3)
     dash_post = group(5) != ""
@@ -65,18 +71,18 @@ def version_key(version: Column) -> Column:
         .otherwise(0)
     )
     # A dev release sorts below the same release without the dev part.
-    no_dev = F.lit(2147483647)
+    no_dev = F.lit(2**63 - 1)
     dev = F.when(is_dev_label, number(4)).when(has_dev, number(9)).otherwise(no_dev)
     key = F.concat(
         F.array(number(1)),
-        padded,
-        F.array(phase, F.when(pre.isNotNull(), number(4)).otherwise(0), post, dev),
+        parts,
+        F.array(F.lit(NO_MORE_PARTS).cast("bigint"), phase.cast("bigint"), F.when(pre.isNotNull(), number(4)).otherwise(0), post, dev),
     )
     valid = (
         is_version
         & known
-        & (F.size(numbers) <= RELEASE_WIDTH)
         & ~F.exists(numbers, lambda n: n.isNull())
+        & ~(oversize(1) | oversize(4) | oversize(5) | oversize(7) | oversize(9))
     )
     return F.when(valid, key)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.domain import BM25_B, BM25_EPSILON, BM25_K1, BM25_TOP_K
 from vulnlake.functions.text import tokens
-from vulnlake.operators.ranking import top_k
+from vulnlake.operators.ranking import number_rows, top_k
 from vulnlake.session import stage
 
 # Slack that keeps rounding of scores from cutting a chunk at the threshold.
@@ -225,13 +225,31 @@ def bm25_topk(
         .select("query_id", "chunk_id", part.alias("part"))
     )
     parts = partial.unionByName(rest)
-    if pad_zero:
-        # A zero part changes no sum. Where it stands alone the chunk scores zero or was
-        # ruled out; it can reach the top only when fewer than k chunks score above
-        # zero, and then nothing was ruled out.
-        lowest = index.doc_stats.select("chunk_id").orderBy("chunk_id").limit(2 * k)
-        ids = lowest.agg(F.collect_list("chunk_id")).scalar()
-        padding = queries.select("query_id", F.explode(ids).alias("chunk_id"))
-        parts = parts.unionByName(padding.withColumn("part", F.lit(0.0)))
     scored = parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    if pad_zero:
+        scored = stage(scored, "bm25-scored")
+        scored = scored.unionByName(_zero_padding(queries, scored, index, k))
     return top_k(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+
+
+def _zero_padding(queries: DataFrame, scored: DataFrame, index: Index, k: int) -> DataFrame:
+    """The ``k`` smallest chunk ids without a term of the query, for queries with fewer than ``k`` positive scores.
+
+    For these no chunk was ruled out, so ``scored`` holds every chunk that shares a term.
+    With the chunks numbered by id, the m-th number missing from a query's numbers is m
+    plus how many of its numbers stand before it; the i-th of them, r, stands before it
+    where r - i < m.
+    """
+    better = scored.where("score > 0").groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k)
+    short = queries.select("query_id").distinct().join(better, "query_id", "left_anti")
+    numbered = number_rows(index.doc_stats.select("chunk_id"), [], [F.col("chunk_id")], "_number", "bm25-numbers")
+    held = scored.select("query_id", "chunk_id").join(short, "query_id").join(numbered, "chunk_id")
+    gap = F.col("_number") - F.row_number().over(W.partitionBy("query_id").orderBy("_number"))
+    before = held.select("query_id", gap.alias("_gap")).where(F.col("_gap") < k).groupBy("query_id", "_gap").agg(F.count("*").alias("_c"))
+    steps = short.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_m"))
+    missing = (
+        steps.join(before, "query_id", "left")
+        .groupBy("query_id", "_m")
+        .agg((F.col("_m") + F.coalesce(F.sum(F.when(F.col("_gap") < F.col("_m"), F.col("_c"))), F.lit(0))).alias("_number"))
+    )
+    return missing.join(numbered, "_number").select("query_id", "chunk_id", F.lit(0.0).alias("score"))

@@ -12,12 +12,6 @@ from vulnlake.operators.ranking import number_rows, top_k
 
 # Fixed format of the headline; the other report texts are our own.
 EMPTY_HEADLINE = "Fix security vulnerabilities"
-CHECKLIST = (
-    "- [ ] Changes reviewed",
-    "- [ ] Tests pass",
-    "- [ ] No behaviour lost",
-    "- [ ] New scan shows the findings gone",
-)
 
 
 def change_worthy(
@@ -117,9 +111,9 @@ def detail_text() -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit(default))
 
     return F.concat(
-        F.lit("#### "), F.col("number"), F.lit(". "), field("type", "Unknown"),
-        F.lit(" in `"), field("file", "Unknown"), F.lit(":"), field("line", "N/A"), F.lit("`\n\n"),
-        F.lit("Severity: "), field("severity", "Unknown"),
+        F.lit("### "), field("file", "Unknown"), F.lit(" line "), field("line", "N/A"),
+        F.lit("\n\nFix "), F.col("number"), F.lit(" for "), field("type", "Unknown"),
+        F.lit("\nSeverity: "), field("severity", "Unknown"),
         F.lit(", confidence: "), field("confidence", "Unknown"), F.lit("\n\n"),
         field("explanation", "No explanation given."),
         F.lit("\n\nBefore:\n```python\n"), field("snippet", "# no snippet"),
@@ -127,13 +121,13 @@ def detail_text() -> Column:
     )
 
 
-def change_report(numbered: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def change_report(numbered: DataFrame, by: Sequence[str] = (), checklist: Sequence[str] = ()) -> DataFrame:
     """A10: the Markdown report as rows ``(by, section, number, part, text)``.
 
     Sections: 1 opening, 2 table, 3 details, 4 checklist, 5 sources. Sorted by
     (section, number, part) the texts are the report. It stays a table, because a report
     on very many fixes fits neither one value nor one task; a range-sorted write keeps
-    the order. Reads the columns of ``number_changes`` and ``source_documents``.
+    the order. ``checklist`` holds the lines of section 4. Reads the columns of ``number_changes`` and ``source_documents``.
     """
     def rows(df: DataFrame, section: int, number: Column, part: Column, text: Column) -> DataFrame:
         return df.select(
@@ -150,7 +144,7 @@ def change_report(numbered: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.lit("|------|------|------|----------|------------|-----|"),
     )
     heads = totals.select(*by, F.posexplode(opening).alias("_part", "_text"))
-    checks = totals.select(*by, F.posexplode(F.array(*map(F.lit, CHECKLIST))).alias("_part", "_text"))
+    checks = totals.select(*by, F.posexplode(F.array(*map(F.lit, checklist)).cast("array<string>")).alias("_part", "_text"))
     sources = numbered.where(F.size("source_documents") > 0).select(
         *by, "number", F.posexplode("source_documents").alias("_part", "_doc")
     )

@@ -73,6 +73,14 @@ def unreadable_versions(deps: DataFrame, version: str = "version") -> DataFrame:
     )
 
 
+def unmatched(deps: DataFrame, ranges: DataFrame) -> DataFrame:
+    """What matching leaves out: ``kind, package, text, error`` of pins and ranges that cannot be ordered."""
+    pins = unreadable_versions(deps).select(F.lit("pin").alias("kind"), "package", F.col("version").alias("text"), "error")
+    bounds = F.concat_ws(", ", "introduced", "fixed", "last_affected")
+    bad = range_keys(ranges)[1].select(F.lit("range").alias("kind"), "package", bounds.alias("text"), F.concat(F.lit("not a version in: "), bounds).alias("error"))
+    return pins.unionByName(bad)
+
+
 def match_advisories(deps: DataFrame, ranges: DataFrame, ecosystem: str = "PyPI") -> DataFrame:
     """J1 + F8: dependencies with at least one advisory, plus ``cves array<string>``.
 

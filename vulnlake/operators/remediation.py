@@ -73,11 +73,14 @@ def generate(
     prompts: DataFrame,
     load: Callable[[], Callable[[str], str]],
     key: str = "finding_id",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Run a user's model on each prompt -> ``(key, answer, error)``.
 
     ``load`` runs once per Python worker. Equal prompts are answered once and the answer
     is handed to all their rows. A failing prompt gives an ``error``, the job goes on.
+    Prompts are dealt to ``tasks`` partitions (by default the session's shuffle
+    partitions), which adaptive execution keeps, since a prompt is slow and its row small.
     """
     schema = T.StructType(
         [
@@ -98,8 +101,11 @@ def generate(
                     rows.append((prompt, None, str(exc)))
             yield pd.DataFrame(rows, columns=["prompt", "answer", "error"])
 
-    answers = prompts.select("prompt").distinct().mapInPandas(run, schema)
-    return prompts.select(key, "prompt").join(answers, "prompt", "left").drop("prompt")
+    tasks = tasks or int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = prompts.select(key, F.sha2("prompt", 256).alias("_hash"), "prompt")
+    once = keyed.groupBy("_hash").agg(F.first("prompt").alias("prompt")).repartition(tasks)
+    answers = once.select("prompt").mapInPandas(run, schema).withColumn("_hash", F.sha2("prompt", 256)).drop("prompt")
+    return keyed.drop("prompt").join(answers, "_hash", "left").drop("_hash")
 
 
 def attach_responses(
@@ -133,10 +139,11 @@ def _field_by_pattern(text: Column, field: str) -> Column:
     """A string field of a broken object, found by its name."""
     quoted = F.regexp_extract(text, rf"(?s)[\"']?{field}[\"']?\s*:\s*\"((?:[^\"\\]|\\.)*+)", 1)
     single = F.regexp_extract(text, rf"(?s)[\"']?{field}[\"']?\s*:\s*'((?:[^'\\]|\\.)*+)", 1)
-    found = F.when(quoted != "", quoted).when(single != "", single)
-    for mark, char in (("\\n", "\n"), ("\\t", "\t"), ('\\"', '"'), ("\\\\", "\\")):
-        found = F.replace(found, F.lit(mark), F.lit(char))
-    return found
+    bare = F.regexp_replace(single, r"(?<!\\)\"", r'\\"')  # quotes need no escape between single ones
+    found = F.when(quoted != "", quoted).when(single != "", bare)
+    # read as a JSON string, so that every escape is undone exactly once
+    options = {"allowUnquotedControlChars": "true", "allowBackslashEscapingAnyCharacter": "true"}
+    return F.from_json(F.concat(F.lit('{"v":"'), found, F.lit('"}')), "v string", options)["v"]
 
 
 def parse_response(answer: Column) -> Column:
@@ -144,7 +151,8 @@ def parse_response(answer: Column) -> Column:
 
     A fence is removed, then the JSON is read: an object as it is, of a list the first
     element. What does not parse is read again leniently (single quotes, bare field
-    names, trailing commas), and last by field name.
+    names, trailing commas), and last by field name. Any object with a key counts as an
+    answer; fields it lacks are null.
     """
     body = _unfence(answer)
     is_list = F.ltrim(body).startswith("[")
@@ -159,13 +167,15 @@ def parse_response(answer: Column) -> Column:
         return F.coalesce(*[fix[f] for f in FIX_FIELDS]).isNotNull()
 
     strict = read(body)
+    first = F.when(is_list, F.get_json_object(body, "$[0]")).otherwise(body)
+    is_object = F.coalesce(F.size(F.json_object_keys(first)) > 0, F.lit(False))
     lenient = read(
         no_trailing_comma, allowSingleQuotes="true", allowUnquotedFieldNames="true",
         allowBackslashEscapingAnyCharacter="true", allowUnquotedControlChars="true",
     )
     named = F.struct(*[_field_by_pattern(body, f).alias(f) for f in FIX_FIELDS])
     return (
-        F.when(usable(strict), strict)
+        F.when(usable(strict) | is_object, strict)
         .when(usable(lenient), lenient)
         .when(body.contains("{") & usable(named), named)
     )

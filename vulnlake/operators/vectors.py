@@ -134,7 +134,8 @@ def vector_topk(
     rules out every cluster whose angle range (triangle inequality on the sphere)
     cannot hold anything as good, and only the others are searched. Within a cluster
     the work is block by block, so a cluster with a third of the rows is just more
-    blocks. ``probes`` searches the nearest clusters only: approximate, one pass.
+    blocks. ``probes`` searches the nearest clusters only, and further ones until they hold ``k``
+    rows: approximate, one pass.
     """
     spark = chunks.sparkSession
     units = chunks.select(F.col("chunk_id").alias("id"), _unit_bytes(F.col(vector)).alias("unit"))
@@ -190,11 +191,8 @@ def vector_topk(
         for row in angles:
             gap = np.maximum(0.0, np.maximum(row - highs, lows - row))
             order = [c for c in np.argsort(row, kind="stable") if sizes[c] > 0]
-            if probes is None:
-                held = np.cumsum([0] + [sizes[c] for c in order[:-1]])
-                near = [h < k for h in held]
-            else:
-                near = [i < probes for i in range(len(order))]
+            held = np.cumsum([0] + [sizes[c] for c in order[:-1]])
+            near = [h < k or (probes is not None and i < probes) for i, h in enumerate(held)]
             out.append(
                 [
                     {"cluster": int(c), "near": bool(f), "bound": float(np.cos(gap[c]))}

@@ -19,6 +19,10 @@ from vulnlake.plans.retrieve import retrieve
 from vulnlake.session import stage
 
 
+SOURCES = "array<struct<rank: int, source: string, doc_type: string>>"
+STORED = f"answer: string, sources: {SOURCES}"
+
+
 @dataclass(frozen=True)
 class RemediationResult:
     attempted: DataFrame
@@ -50,7 +54,9 @@ def remediate(
     ``cache`` is last run's cache, the result carries the new one. ``decisions`` holds
     ``position`` (= finding id) and ``choice``.
 
-    Findings are asked once per distinct cache key: equal keys share retrieval, prompt
+    A cached result holds the answer and its source documents, so both return on a hit.
+    ``attempted`` keeps each finding's ``error`` where the generator gives one. Findings
+    are asked once per distinct cache key: equal keys share retrieval, prompt
     and answer.
     """
     chosen = select_origin(findings, sast_only, cve_only)
@@ -77,21 +83,31 @@ def remediate(
         hits, misses = cache_lookup(leads, cache, cache_threshold, cache_size)
     ranked = stage(retrieve(misses.select("query_id", "text"), chunks, index, embedder=embedder, **retrieval), "ranked")
     prompts = rem.render_prompt(assemble_context(misses, ranked)).withColumnRenamed("query_id", "finding_id")
-    answers = stage(generator(prompts.select("finding_id", "prompt")).select("finding_id", "answer"), "answers")
+    given = generator(prompts.select("finding_id", "prompt"))
+    error = F.col("error") if "error" in given.columns else F.lit(None).cast("string")
+    answers = stage(given.select("finding_id", "answer", error.alias("error")), "answers")
     labels = [c if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in ("source", "doc_type")]
     sources = (
         ranked.join(chunks.select("chunk_id", *labels), "chunk_id")
         .groupBy("query_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "source", "doc_type"))).alias("sources"))
     )
-    asked = rem.attach_responses(
-        leads.withColumnRenamed("query_id", "finding_id"), answers,
-        None if hits is None else hits.withColumnRenamed("query_id", "finding_id"),
-    ).select(F.col("finding_id").alias("query_id"), "key", "answer", "from_cache")
+    stored = F.from_json("result", STORED)
+    if hits is not None:
+        # an entry that holds a bare answer (of another writer) has no sources
+        known_hits = hits.select(F.col("query_id").alias("finding_id"), stored.alias("_stored"), F.coalesce(stored["answer"], "result").alias("result"))
+        leads_with = leads.withColumnRenamed("query_id", "finding_id").join(known_hits.select("finding_id", "_stored"), "finding_id", "left")
+    else:
+        known_hits, leads_with = None, leads.withColumnRenamed("query_id", "finding_id").withColumn("_stored", F.lit(None).cast(f"struct<{STORED}>"))
+    asked = (
+        rem.attach_responses(leads_with, answers, known_hits)
+        .join(answers.select("finding_id", "error"), "finding_id", "left")
+        .select(F.col("finding_id").alias("query_id"), "key", "answer", "from_cache", "error", "_stored")
+    )
     known = asked.join(sources, "query_id", "left").withColumn(
         "sources",
-        F.coalesce("sources", F.expr("cast(array() as array<struct<rank: int, source: string, doc_type: string>>)")),
-    )
+        F.coalesce("sources", "_stored.sources", F.expr(f"cast(array() as {SOURCES})")),
+    ).drop("_stored")
     attempted = stage(
         shaped.join(known.drop("query_id"), "key").withColumn("parsed", rem.parse_response(F.col("answer"))),
         "attempted",
@@ -106,9 +122,9 @@ def remediate(
     summary = rem.remediation_summary(attempted, records, model_label)
     updated = None
     if cache is not None:
-        fresh = misses.join(answers.withColumnRenamed("finding_id", "query_id"), "query_id").select(
+        fresh = misses.join(answers.withColumnRenamed("finding_id", "query_id").where(F.col("answer").isNotNull()), "query_id").join(sources, "query_id", "left").select(
             F.col("query_id").alias("arrival"), "key", F.col("embedding").cast("array<double>").alias("embedding"),
-            F.col("answer").alias("result"),
+            F.to_json(F.struct("answer", "sources")).alias("result"),
         )
         updated = cache_append(cache, fresh.where(F.col("result").isNotNull()), cache_size)
     return RemediationResult(attempted, records, summary, updated)

@@ -24,7 +24,7 @@ def retrieve(
     bm25_k: int = domain.BM25_TOP_K,
     lambda_: float = domain.MMR_LAMBDA,
     min_docs: int = domain.MIN_DOCS_BEFORE_BM25,
-    use_reranking: bool = False,
+    use_reranking: bool = True,
     scorer: Callable[[Column, Column], Column] = token_overlap,
     rerank_k: int = domain.RERANK_TOP_K,
     embedder: Callable[[Column], Column] = embed_hashed,
@@ -32,7 +32,7 @@ def retrieve(
     """``query_id, text`` -> ranked ``query_id, chunk_id, content, rank``.
 
     Vector candidates, MMR, BM25 for queries with fewer than ``min_docs`` vector rows,
-    optionally a reranker. ``chunks`` holds ``chunk_id, content, embedding``. Each step
+    then a reranker. ``chunks`` holds ``chunk_id, content, embedding``. Each step
     narrows the next; texts join only after the top-k.
     """
     asked = queries.select("query_id", "text", embedder(F.col("text")).alias("embedding"))

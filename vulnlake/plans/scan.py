@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from vulnlake.operators.dependencies import match_advisories
+from vulnlake.operators.dependencies import match_advisories, unmatched
 from vulnlake.operators.findings import common_root, exclude, map_results, min_level, scan_summary
 
 
@@ -18,6 +18,7 @@ class ScanResult:
     quarantine: DataFrame
     summary: DataFrame
     root: DataFrame
+    unmatched: DataFrame
 
 
 def scan(
@@ -33,7 +34,7 @@ def scan(
 
     ``results`` comes from ``read_scanner_output``, ``dependencies`` from
     ``read_manifests`` and ``ranges`` from ``read_advisories``. Write the outcome with
-    ``write_report``.
+    ``write_report``. Pins and ranges that cannot be ordered are rows of ``unmatched``.
     """
     kept = exclude(results, skip_ids, exclude_paths, file="filename")
     mapped, quarantine = map_results(kept)
@@ -41,6 +42,8 @@ def scan(
     spark = results.sparkSession
     if dependencies is not None and ranges is not None:
         vulnerable = match_advisories(dependencies, ranges).select("package", "version", "cves", "file")
+        left_out = unmatched(dependencies, ranges)
     else:
+        left_out = spark.createDataFrame([], "kind string, package string, text string, error string")
         vulnerable = spark.createDataFrame([], "package string, version string, cves array<string>, file string")
-    return ScanResult(findings, vulnerable, quarantine, scan_summary(findings, vulnerable), common_root(findings))
+    return ScanResult(findings, vulnerable, quarantine, scan_summary(findings, vulnerable), common_root(findings), left_out)

@@ -54,6 +54,5 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vulnlake/{label}-{uuid.uuid4().hex}"
-    # Small row groups: a later read can split even a single file over many tasks.
-    df.write.option("parquet.block.size", 16 * 1024 * 1024).parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.functions.text import decode_text
 from vulnlake.operators.findings import union_findings
 from vulnlake.operators.locating import source_lines
 from vulnlake.sources.corpus import plain_path, scan_files
@@ -49,17 +48,23 @@ def read_report_tables(spark: SparkSession, path: str) -> DataFrame:
 def read_source_files(
     spark: SparkSession, root: str, wanted: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Code files below ``root`` as ``path, content``, and requested paths not found.
+    """Code files below ``root`` as ``path, content``, and the failed ones (``path, error``).
 
     ``wanted`` (column ``path``) restricts the files; paths it lists that do not exist
-    are rows of the second frame.
+    are failed. So is a file that is not UTF-8: patching a guessed text would damage it.
+    Line ends become ``\\n``; a byte order mark is dropped.
     """
-    files = scan_files(spark, root).select("path", decode_text("content").alias("content"))
+    text = F.col("content").cast("string")
+    files = scan_files(spark, root).select("path", "content").withColumn("_utf8", F.is_valid_utf8(text))
+    unreadable = files.where(~F.col("_utf8")).select("path", F.lit("not UTF-8").alias("error"))
+    clean = F.regexp_replace(F.regexp_replace(text, "^\\uFEFF", ""), "\r\n?", "\n")
+    readable = files.where("_utf8").select("path", clean.alias("content"))
     if wanted is None:
-        return files, spark.createDataFrame([], "path string, error string")
+        return readable, unreadable
     paths = wanted.select("path").distinct()
-    missing = paths.join(files.select("path"), "path", "left_anti")
-    return files.join(paths, "path", "left_semi"), missing.withColumn("error", F.lit("File not found"))
+    missing = paths.join(files.select("path"), "path", "left_anti").withColumn("error", F.lit("File not found"))
+    failed = missing.unionByName(unreadable.join(paths, "path", "left_semi"))
+    return readable.join(paths, "path", "left_semi"), failed
 
 
 def code_lines(files: DataFrame) -> DataFrame:

@@ -68,10 +68,10 @@ class _CacheProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         shelf = _Shelf(self.threshold, self.size, [tuple(e) for e in self.state.get()])
-        for batch in rows:
-            ordered = batch.sort_values("seq")
-            out = [(key[0], s, *shelf.ask(s, v)) for s, v in zip(ordered["seq"], ordered["embedding"])]
-            yield _frame(out, self.key)
+        # All rows of the key and trigger, so that the order does not depend on Arrow batches;
+        # the source's rate limit bounds them.
+        asked = sorted(((s, v) for batch in rows for s, v in zip(batch["seq"], batch["embedding"])), key=lambda r: r[0])
+        yield _frame([(key[0], s, *shelf.ask(s, v)) for s, v in asked], self.key)
         self.state.put([(int(s), v.tolist()) for s, v in shelf.entries])
 
     def close(self) -> None:
@@ -86,7 +86,7 @@ def stream_cache(
     Reads ``key, seq, embedding``. The first stored entry with cosine >= ``threshold``
     answers; a miss is stored and the oldest entry leaves at ``max_size``. The cache is
     per key value, since a hit depends on all earlier misses of the key and one global
-    cache could not be spread. Rows are ordered by ``seq`` within an Arrow batch.
+    cache could not be spread. Rows are ordered by ``seq`` within a trigger.
     """
     return (
         stream.select(key, F.col("seq").cast("bigint").alias("seq"), F.col("embedding").cast("array<double>").alias("embedding"))
