@@ -204,3 +204,8 @@ def test_source_files(spark, tmp_path):
     assert [(r.line_no, r.text) for r in sf.code_lines(files).collect()] == [(1, "x"), (2, "y")]
     assert [r.error for r in failed.collect()] == ["File not found"]
     assert sf.read_source_files(spark, str(tmp_path))[0].count() == 2
+    (tmp_path / "latin.py").write_bytes("x = 'é'".encode("latin-1"))
+    (tmp_path / "crlf.py").write_bytes(b"one\r\ntwo\r\n")
+    files, failed = sf.read_source_files(spark, str(tmp_path))
+    assert [(r.path.rsplit("/", 1)[1], r.error) for r in failed.collect()] == [("latin.py", "not UTF-8")]
+    assert files.where("path like '%crlf.py'").first().content == "one\ntwo\n"

@@ -29,6 +29,14 @@ def test_parse_response(spark):
         assert (None if got[i] is None else tuple(got[i])) == want, RESPONSES[i]
 
 
+def test_escapes_are_undone_once_and_any_object_counts(spark):
+    broken = '{suggested_fix: "C:\\\\new \\u00e9\\/", broken "explanation": "a\\\\"}'
+    rows = spark.createDataFrame([(1, broken), (2, '{"foo": 1}'), (3, "{}"), (4, "[{\"foo\": 1}]")], "i int, a string")
+    got = {r.i: r.p for r in rows.select("i", rm.parse_response(F.col("a")).alias("p")).collect()}
+    assert got[1].suggested_fix == "C:\\new é/"
+    assert got[2] is not None and got[2].suggested_fix is None and got[3] is None and got[4] is not None
+
+
 def test_query_and_prompt(spark):
     rows = spark.createDataFrame([("XSS", "B701", None, "CWE-79"), (None, None, "", None)], "t string, b string, d string, c string")
     got = [r.q for r in rows.select(rm.retrieval_query(*[F.col(c) for c in "tbdc"]).alias("q")).collect()]
@@ -106,6 +114,8 @@ def test_generate(spark):
 
         return model
 
+    many = rm.generate(spark.range(400).select(F.col("id").alias("finding_id"), F.concat(F.lit("p"), "id").alias("prompt")), load, tasks=4)
+    assert many.rdd.getNumPartitions() >= 1 and "REPARTITION_BY_NUM" in many._jdf.queryExecution().toString()
     got = {r.finding_id: (r.answer, r.error) for r in rm.generate(prompts, load).collect()}
     assert got == {1: ("A", None), 2: ("A", None), 3: (None, "no answer")}
 
@@ -124,15 +134,18 @@ def test_batch_cache(spark):
     assert sorted(r.seq for r in leaders.collect()) == [1, 4]
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def test_stream_equals_batch(spark, tmp_path, request):
     import random
 
     rng = random.Random(5)
     rows = [(rng.choice("ab"), i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(120)]
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     for part in range(3):
-        vectors(spark, rows[part * 40:(part + 1) * 40]).coalesce(1).write.mode("append").parquet(source)
+        vectors(spark, rng.sample(rows[part * 40:(part + 1) * 40], 40)).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema("type string, seq bigint, embedding array<double>").option("maxFilesPerTrigger", 1).parquet(source)
+    # arrival order within a trigger is not seq order, and batches are far smaller than a trigger
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch"))
     query = (
         stream_cache(stream, max_size=5).writeStream.format("parquet").option("path", out)
         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
@@ -180,6 +193,8 @@ def test_remediate(spark, knowledge, tmp_path):
     assert [r.key.split("|")[0] for r in stored] == ["SQL Injection", "Bad Answer", "Vulnerable Dependency: flask"]
     again = remediate(findings, knowledge, generator, cache=run.cache, vector_k=2)
     assert again.attempted.where("from_cache").count() == 4
+    sources = lambda r: {x.finding_id: x.source_documents for x in r.remediations.collect()}
+    assert sources(again) == sources(run)
     high = remediate(findings, knowledge, generator, severity="high", vector_k=2)
     assert high.summary.first().total_findings == 2
     choices = spark.createDataFrame([(1, "n"), (2, "y"), (4, "q")], "position bigint, choice string")
