@@ -8,9 +8,12 @@ probability 0.2: 15 lies four standard deviations above the mean, and a pair fur
 still meets unless every chunk has two errors (about one pair in a million).
 
 * Documents with equal shingle sets form a class and continue as one row.
-* A bucket is not expanded to its pairs. First every member meets the bucket's smallest
-  member; verified links form components. Only in buckets that then hold several components
-  are members of different components compared, by signature before sets.
+* A bucket is not expanded to its pairs. First a member meets the smallest members of its
+  buckets (those it shares several with); verified links form components. Only members of
+  buckets that then hold several components are compared across these: they must share a
+  shingle of their prefixes, lie within the radius, be near in a second signature of 1024
+  one-bit symbols (4.5 standard deviations above what the linking similarity gives), and pass
+  the full sets.
 * Links are confirmed on the full shingle sets, made again from the texts concerned.
 * Components follow by alternating large-star and small-star steps, each written to the
   shared folder; every step aggregates by node before it joins.
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vulnlake.llm.pieces import slices
@@ -38,8 +41,14 @@ CHUNKS, LANES = 8, 4
 SYMBOLS = CHUNKS * LANES
 RADIUS = CHUNKS * 2 - 1
 PERCENT = 80
+CHAINS, CHAIN = 1, 256  # rounds of chains through open buckets, and members of one chain
+SUPPORT = 4  # keys that a member shares with a bucket's smallest member before they are compared
 REMEMBERED = 1_000_000
 _M = np.uint64(0xBF58476D1CE4E5B9)
+SKETCH = 1024
+#: differing sketch bits at PERCENT: a tenth of them, and four and a half standard deviations
+APART = int(SKETCH * 0.1 + 4.5 * np.sqrt(SKETCH * 0.1 * 0.9))
+_BITS = np.random.default_rng(2025).integers(1, 2**63, (2, SKETCH), dtype=np.uint64) | np.uint64(1)
 _SEEDS = np.random.default_rng(2024).integers(1, 2**63, (2, SYMBOLS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -113,18 +122,32 @@ def signed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return columns.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, signature array<long>")
 
 
-def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and its distinct shingle hashes."""
-    shape = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """A second signature of SKETCH one-bit symbols, as 64-bit words; for pairs the first one cannot tell."""
+    least = np.full(SKETCH, np.uint64(2**64 - 1))
+    for i in range(0, len(shingles), 256):
+        part = shingles[i : i + 256]
+        least = np.minimum(least, ((part[:, None] ^ _BITS[0]) * _BITS[1]).min(axis=0))
+    return np.packbits((_mixed(least) >> np.uint64(40) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, size: int = SHINGLE, sketches: bool = False) -> DataFrame:
+    """doc_id and its distinct shingle hashes (and their sketch)."""
+    fields = [("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))]
+    shape = pa.schema([*fields, ("sketch", pa.list_(pa.int64()))] if sketches else fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
         for batch in batches:
             for part in slices(batch):
-                sets = [shingles.of(t).view(np.int64) for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "shingles": sets}, schema=shape)
+                sets = [shingles.of(t) for t in part["text"].to_pylist()]
+                out = {"doc_id": part["doc_id"], "shingles": [x.view(np.int64) for x in sets]}
+                if sketches:
+                    out["sketch"] = [sketch(x) for x in sets]
+                yield pa.RecordBatch.from_pydict(out, schema=shape)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles array<long>")
+    columns = "doc_id long, shingles array<long>" + (", sketch array<long>" if sketches else "")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, columns)
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -145,6 +168,14 @@ def _without_lane(lane: int) -> int:
     return mask - 2**64 if mask >= 2**63 else mask
 
 
+def bits_apart(a: Column, b: Column) -> Column:
+    """Number of differing bits of two sketches."""
+    out = F.lit(0)
+    for i in range(SKETCH // 64):
+        out = out + F.bit_count(a[i].bitwiseXOR(b[i]))
+    return out
+
+
 def _keys(signature: Column) -> Column:
     """The 32 bucket keys of a signature: chunk, lane left out, and the other three symbols."""
     rest = [
@@ -160,7 +191,7 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
+    left, right = (sets.select(F.col("doc_id").alias(i), F.col("shingles").alias(s)) for i, s in (("a", "x"), ("b", "y")))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
@@ -194,6 +225,64 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
+def _open_members(keyed: DataFrame, part: DataFrame) -> DataFrame:
+    """(key, rep, component, members) of buckets with several components."""
+    named = keyed.join(part.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("key", "rep", "component")
+    spans = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
+    mixed = stage(spans.where("low <> high").select("key", "members"), "open-buckets")
+    return stage(named.join(mixed, "key"), "open")
+
+
+def _chain(held: DataFrame, turn: int) -> DataFrame:
+    """Each member of an open bucket with the next one in a random order, where components differ.
+
+    Large buckets are cut into parts at random, so the order is made in bounded groups.
+    """
+    order = F.xxhash64("rep", "key", F.lit(turn))
+    cut = F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("members") / CHAIN))
+    row = Window.partitionBy("key", "cut").orderBy("place", "rep")
+    placed = held.withColumn("cut", cut).withColumn("place", order)
+    next_ = placed.select("rep", "component", F.lag("rep").over(row).alias("other"), F.lag("component").over(row).alias("theirs"))
+    pairs = next_.where(F.col("component") != F.col("theirs"))
+    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
+def _across(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components among ``held`` (rep, component) that may be similar enough.
+
+    Two sets of the wanted similarity share a shingle among the first few of each, if all are
+    ordered alike (prefix filter); with rare shingles first, the edits that set a copy apart
+    from its kin fill these places and meet nobody. A shingle's bucket compares the members
+    outside its largest component with all of it, never that component with itself.
+    """
+    tokens = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
+    counts = stage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shingle-counts")
+    own = Window.partitionBy("rep", "size")
+    ordered = tokens.join(counts, "token").withColumn("shared", F.count(F.lit(1)).over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "token")))
+    # shingles of a single set come before all these, so they take the first size - shared places
+    first = ordered.where(F.col("place") <= F.col("shared") - F.ceil(F.col("size") * percent / 100) + 1)
+    prefixes = first.select("rep", "token", "size", "shared").join(held, "rep")
+    prefixes = stage(prefixes.select("token", "rep", "component", "size", "shared"), "prefixes")
+    sides = prefixes.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    sides = sides.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    open_ = prefixes.join(stage(sides.select("token", "main"), "open-shingles"), "token")
+    open_ = stage(open_.join(sets.select(F.col("doc_id").alias("rep"), "sketch"), "rep"), "open-prefixes")
+    # a pair is found at its smallest common shingle only
+    open_ = open_.withColumn("prefix", F.collect_list("token").over(Window.partitionBy("rep")))
+    columns = ("rep", "component", "size", "shared", "sketch", "prefix")
+    aside = open_.where("component <> main").select("token", "main", *[F.col(c).alias(c + "_a") for c in columns])
+    everyone = open_.select("token", *[F.col(c).alias(c + "_b") for c in columns])
+    # what only one set has cannot be common, which bounds the similarity of two sets
+    most = F.least("shared_a", "shared_b")
+    likely = most * 100 >= (F.col("size_a") + F.col("size_b") - most) * percent
+    differ = F.col("component_a") != F.col("component_b")
+    near = bits_apart(F.col("sketch_a"), F.col("sketch_b")) <= APART
+    once = (F.col("component_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b"))
+    at = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == aside["token"]
+    pairs = aside.join(everyone, (aside["token"] == everyone["token"]) & differ & once & likely & near & at)
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+
+
 def _same_id(usable: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the classes of an id that has several texts."""
     several = usable.select("doc_id", "set_hash").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -212,7 +301,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     keyed = stage(classes.select("rep", F.explode(_keys(F.col("signature"))).alias("key")), "keys")
     shared = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = stage(shared.select("key", "first"), "buckets")
-    starred = keyed.join(shared, "key").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+    met = keyed.join(shared, "key").where("rep <> first").groupBy("first", "rep").agg(F.count(F.lit(1)).alias("n"))
+    starred = met.where(F.col("n") >= SUPPORT).select(F.col("first").alias("a"), F.col("rep").alias("b"))
     facts = classes.select("rep", "n", "signature")
 
     def plausible(pairs: DataFrame) -> DataFrame:
@@ -230,27 +320,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     links = stage(_confirmed(first, texts(first), percent).unionByName(_same_id(usable, classes)), "links")
     part = stage(components(links), "components")
 
-    # Buckets that still hold several components: compare across components only.
-    named = keyed.join(part.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("key", "rep", "component")
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    mixed = stage(mixed, "open-buckets")
-    held = stage(named.join(mixed, "key", "left_semi"), "mixed").join(facts, "rep")
-    one = held.select("key", *[F.col(c).alias(c + "_a") for c in ("rep", "component", "n", "signature")])
-    two = held.select("key", *[F.col(c).alias(c + "_b") for c in ("rep", "component", "n", "signature")])
-    across = (
-        one.join(
-            two,
-            (one["key"] == two["key"])
-            & (F.col("rep_a") < F.col("rep_b"))
-            & (F.col("component_a") != F.col("component_b"))
-            & _alike(F.col("n_a"), F.col("n_b"), percent)
-            & (distance(F.col("signature_a"), F.col("signature_b")) <= RADIUS),
-        )
-        .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-        .distinct()
-    )
-    second = stage(across.join(first, ["a", "b"], "left_anti"), "across-pairs")
-    more = _confirmed(second, texts(second), percent)
+    # Members of buckets that still hold several components are compared across these: first
+    # in chains, which join most of what belongs together, then as the prefixes say.
+    held = _open_members(keyed, part)
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = stage(shingle_sets(some.join(held.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), size, sketches=True), "open-sets")
+    for turn in range(CHAINS):
+        chained = stage(plausible(_chain(held, turn)), "chain-pairs")
+        links = stage(links.unionByName(_confirmed(chained, sets, percent)), "links")
+        part = stage(components(links), "components")
+        held = _open_members(keyed, part)
+    second = stage(plausible(_across(held.select("rep", "component").distinct(), sets, percent)), "across-pairs")
+    more = _confirmed(second, sets, percent)
     final = stage(components(links.unionByName(more)), "components")
 
     moved = classes.select("set_hash", "rep").join(final.toDF("rep", "component_id"), "rep", "left")
