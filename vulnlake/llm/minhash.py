@@ -197,6 +197,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
 
 
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches are near enough for the full sets to be worth fetching."""
+    left, right = (sets.select(F.col("doc_id").alias(i), F.col("sketch").alias(s)) for i, s in (("a", "x"), ("b", "y")))
+    return pairs.join(left, "a").join(right, "b").where(bits_apart(F.col("x"), F.col("y")) <= APART).select("a", "b")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge (a, b).
 
@@ -236,8 +242,10 @@ def _open_members(keyed: DataFrame, part: DataFrame) -> DataFrame:
 def _chain(held: DataFrame, turn: int) -> DataFrame:
     """Each member of an open bucket with the next one in a random order, where components differ.
 
+    A quarter of the buckets does, as kin meet in many; what chains miss the prefixes find.
     Large buckets are cut into parts at random, so the order is made in bounded groups.
     """
+    held = held.where(F.pmod("key", F.lit(4)) == turn % 4)
     order = F.xxhash64("rep", "key", F.lit(turn))
     cut = F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("members") / CHAIN))
     row = Window.partitionBy("key", "cut").orderBy("place", "rep")
@@ -291,7 +299,12 @@ def _same_id(usable: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of documents."""
+    """doc_id, n_shingles, component_id, kept for every row of documents.
+
+    ``percent`` is PERCENT or more; the radius and the sketch limit are made for that.
+    """
+    if percent < PERCENT:
+        raise ValueError(f"similarities below {PERCENT} % need other signatures")
     rows = stage(signed(docs, size), "signatures")
     usable = rows.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     classes = stage(
@@ -326,7 +339,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stage(shingle_sets(some.join(held.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), size, sketches=True), "open-sets")
     for turn in range(CHAINS):
-        chained = stage(plausible(_chain(held, turn)), "chain-pairs")
+        chained = stage(_near(plausible(_chain(held, turn)), sets), "chain-pairs")
         links = stage(links.unionByName(_confirmed(chained, sets, percent)), "links")
         part = stage(components(links), "components")
         held = _open_members(keyed, part)
