@@ -46,6 +46,19 @@ def test_encoding_equals_the_library(library):
         assert b"".join(raw[a:b] for _, a, b in spans) == raw
 
 
+@pytest.mark.parametrize("size", [257, 40_000, 1_000_000])
+def test_unbroken_texts_equal_the_libraries(library, size):
+    rng = random.Random(size)
+    model, own, words = pieces.PieceModel.load(MODEL), packing.WordTokenizer(WORDS), Tokenizer.from_file(WORDS)
+    rows = ["".join(rng.choices("etaoinshrdlu", k=size)), "".join(rng.choices("的是不了人我在有他这日本語のは", k=size))]
+    got, coded = model.digests(pa.array(rows)), own.encode_batch(pa.array(rows))
+    for i, t in enumerate(rows):
+        ids = library.encode(t, add_bos=True, add_eos=True)
+        assert got["ids_sha256"][i] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got["decoded_sha256"][i] == hashlib.sha256(t.encode()).hexdigest()
+        assert coded.data[coded.starts[i] : coded.starts[i] + coded.lengths[i]].tolist() == words.encode(t, add_special_tokens=False).ids
+
+
 def test_any_ids_decode_like_the_library(library):
     model, rng = pieces.PieceModel.load(MODEL), random.Random(4)
     for _ in range(300):

@@ -1,15 +1,20 @@
 """Byte-pair merging of many distinct words at once in numpy, and ragged-array helpers.
 
 A batch's words are reduced to distinct ones first; these are merged together, all words one
-step at a time, so the cost per word is a few array operations instead of a Python loop.
+step at a time, so the cost per word is a few array operations instead of a Python loop. A step
+moves the whole word, so words of more than ``LONG`` symbols are merged one by one through a
+heap over linked symbols instead.
 """
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 
 NONE = np.int32(2**31 - 1)
 _SIZES = (4, 8, 12, 16, 24, 48)
+LONG = 256
 
 
 class PairTable:
@@ -50,6 +55,13 @@ class PairTable:
             open_ = open_[(got != keys[open_]) & (got != -1)]
         return slot
 
+    def single(self) -> dict[int, tuple[int, int]]:
+        """The same table for one pair at a time: left << 32 | right -> (rank, merged symbol)."""
+        if not hasattr(self, "_single"):
+            used = self.keys != -1
+            self._single = dict(zip(self.keys[used].tolist(), zip(self.rank[used].tolist(), self.merged[used].tolist(), strict=True), strict=True))
+        return self._single
+
 
 def merge_words(table: PairTable, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merges every word to the end: (symbols, lengths) of all words in their order.
@@ -60,7 +72,7 @@ def merge_words(table: PairTable, symbols: np.ndarray, lengths: np.ndarray) -> t
     out_lengths = lengths.astype(np.int64).copy()
     rows_done, data_done = [], []
     low = 0
-    for size in (*_SIZES, int(lengths.max(initial=0)) + 1):
+    for size in (*_SIZES, min(int(lengths.max(initial=0)) + 1, LONG)):
         rows = np.flatnonzero((lengths > low) & (lengths <= size))
         low = max(low, size)
         block = max(64, 4_000_000 // size)
@@ -71,6 +83,11 @@ def merge_words(table: PairTable, symbols: np.ndarray, lengths: np.ndarray) -> t
             out_lengths[part] = kept.sum(axis=1)
             rows_done.append(np.repeat(part, out_lengths[part]))
             data_done.append(s[kept])
+    for row in np.flatnonzero(lengths > LONG).tolist():
+        s = _merge_long(table, symbols[starts[row] : starts[row] + lengths[row]])
+        out_lengths[row] = len(s)
+        rows_done.append(np.full(len(s), row))
+        data_done.append(s)
     if not rows_done:
         return np.zeros(0, np.int32), out_lengths
     rows, data = np.concatenate(rows_done), np.concatenate(data_done)
@@ -88,7 +105,6 @@ def _merge_block(table: PairTable, symbols: np.ndarray, starts: np.ndarray, leng
     if size > 1 and len(live):
         both = (s[:, :-1] >= 0) & (s[:, 1:] >= 0)
         rank[:, :-1][both] = table.rank[table.find(s[:, :-1][both], s[:, 1:][both])]
-    column = np.arange(size, dtype=np.int16)
     while len(live):
         at = rank.argmin(axis=1)
         row = np.arange(len(live))
@@ -100,7 +116,7 @@ def _merge_block(table: PairTable, symbols: np.ndarray, starts: np.ndarray, leng
             if not len(live):
                 break
         s[row, at] = table.merged[table.find(s[row, at], s[row, at + 1])]
-        tail = column[:-1] > at[:, None].astype(np.int16)
+        tail = column[:-1] > at[:, None]
         s[:, :-1] = np.where(tail, s[:, 1:], s[:, :-1])
         s[:, -1] = -1
         # ranks belong to the left symbol of a pair: those right of the merged pair move along
@@ -118,6 +134,32 @@ def _merge_block(table: PairTable, symbols: np.ndarray, starts: np.ndarray, leng
     return result
 
 
+def _merge_long(table: PairTable, symbols: np.ndarray) -> np.ndarray:
+    """One word of any length: a heap of (rank, position, pair); entries whose pair is gone are skipped."""
+    rank = table.rank[table.find(symbols[:-1], symbols[1:])]
+    first = np.flatnonzero(rank != NONE)
+    pairs = symbols[:-1].astype(np.int64) << 32 | symbols[1:].astype(np.int64)
+    heap = list(zip(rank[first].tolist(), first.tolist(), pairs[first].tolist(), strict=True))
+    heapify(heap)
+    known, s, n = table.single(), symbols.tolist(), len(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    while heap:
+        _, i, pair = heappop(heap)
+        j = after[i]
+        if j >= n or s[i] << 32 | s[j] != pair:  # a symbol merged away is -1
+            continue
+        s[i], s[j], after[i] = known[pair][1], -1, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < n:
+                pair = s[a] << 32 | s[b]
+                if pair in known:
+                    heappush(heap, (known[pair][0], a, pair))
+    out = np.array(s, np.int32)
+    return out[out >= 0]
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions starts[i], starts[i]+1, … (lengths[i] of them) for all i, concatenated."""
     total = int(lengths.sum())
