@@ -112,6 +112,20 @@ def test_tree_search(spark, vectors):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_tree_search_of_isolated_vectors_has_all_ranks(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.eye(16)[0] * 20 + 0.1 * rng.normal(size=(3000, 16)), [np.eye(16)[1] * 50], np.eye(16)[2] * 50 + 0.1 * rng.normal(size=(5, 16))])
+    alone = [3000, 3001]
+    df = spark.createDataFrame([(i, [float(c) for c in v], 0, "q", 1) for i, v in enumerate(x)], VECTORS)
+    got = {}
+    for r in ann_tree.search(df, lambda i: (i % 10 == 0) | i.isin(alone)).collect():
+        got.setdefault(r.query_id, []).append(r.rank)
+    assert sorted(got) == sorted({*range(0, len(x), 10), *alone})
+    assert all(sorted(ranks) == list(range(1, 21)) for ranks in got.values())
+    few = ann_tree.search(df.where("vec_id >= 2996"), lambda i: i.isin(alone)).collect()
+    assert sorted((r.query_id, r.rank) for r in few) == [(q, r) for q in alone for r in range(1, 10)]
+
+
 def test_tree_search_of_few_rows(spark, vectors):
     df, _ = vectors
     assert ann_tree.search(df.limit(0), lambda i: i % 20 == 0).count() == 0

@@ -73,14 +73,16 @@ class Tree:
             for child in self.children[node]:
                 heapq.heappush(heap, (max(key, -float(match[child])), child))
 
-    def visited(self, query: np.ndarray, width: float) -> list[int]:
-        out, limit = [], -np.inf
+    def visited(self, query: np.ndarray, width: float, counts: dict[int, int], least: int) -> list[int]:
+        """Leaves within ``width`` of the first, and further ones until they hold ``least`` rows (``counts``: rows of each leaf)."""
+        out, limit, held = [], -np.inf, 0
         for leaf, key in self.walk(query):
             if not out:
                 limit = key - width * float(np.linalg.norm(query)) - 1e-12
-            if key < limit:
+            if key < limit and held >= least:
                 break
             out.append(leaf)
+            held += counts.get(leaf, 0)
         return out
 
 
@@ -256,7 +258,7 @@ def search(
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q, ids = _matrix(batch["v"], width), batch["id"].to_pylist()
-            visits = [tree.visited(v, reach) for v in q]
+            visits = [tree.visited(v, reach, counts, k + 1) for v in q]
             n = [len(v) for v in visits]
             pick = np.repeat(np.arange(len(ids)), n)
             for i in range(0, len(pick), 4096):
