@@ -50,6 +50,26 @@ def test_scan(spark):
     assert S.scan(docs.limit(0)).count() == 0
 
 
+def test_short_keys_are_found_among_ordinary_long_tokens(spark):
+    rng = random.Random(12)
+    words = "documentation configuration international application performance responsibilities".split()
+    plain_tokens = ["".join(rng.choice(words)[:12] for _ in range(2))[: rng.randint(20, 24)] for _ in range(300)]
+    plain_tokens += ["/".join(rng.choice(words) for _ in range(2))[: rng.randint(22, 32)] for _ in range(300)]
+    plain_tokens += [rng.choice(words).capitalize() + rng.choice(words).capitalize() for _ in range(20)]
+    keys = [random_token(rng, n) for n in (20, 24, 32) for _ in range(15)]
+    rows = [(i, f"{prose(rng)} {t} end", None, None, None, None, None) for i, t in enumerate(keys + plain_tokens)]
+    found = set()
+    for r in S.scan(spark.createDataFrame(rows, DOCS)).where("size(spans) > 0").collect():
+        found |= {rows[r.doc_id][1][s.start : s.end] for s in r.spans}
+    for n in (20, 24, 32):
+        assert sum(k in found for k in keys if len(k) == n) >= 13
+    assert len(found - set(keys)) <= S.RATE * len(found)
+    # a single key beside the same tokens
+    alone = [(0, rows[20][1], None, None, None, None, None), *rows[len(keys) :]]
+    got = S.scan(spark.createDataFrame(alone, DOCS)).where("doc_id = 0").first()
+    assert [alone[0][1][s.start : s.end] for s in got.spans] == [keys[20]]
+
+
 def test_redaction_keeps_columns_and_nulls(spark):
     rows = [(1, 'a password=abcdef12 b', "en", "s", 21, "n", 2), *odd_rows()]
     docs = spark.createDataFrame(rows, DOCS)

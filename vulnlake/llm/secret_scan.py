@@ -15,9 +15,10 @@ too short or too plain to be keys.
 
 A token is a candidate if uniform draws explain it in all tests. Its p-value is the chance
 that ordinary text looks as uniform, in chi-squared and in runs (the larger of the two). Tokens are
-ranked within classes of length, and the Benjamini-Hochberg step-up rule with a share of false
-discoveries ``rate`` is applied per class, counting all tested tokens of that class. Only a
-histogram of p-values per class (bounded size) comes to the driver.
+ranked within classes of inferred encoding and length, so that words and slugs do not stand in
+the way of keys, and the Benjamini-Hochberg step-up rule with a share of false discoveries
+``rate`` is applied per class, counting all tested tokens of that class. Only a histogram of
+p-values per class (bounded size) comes to the driver.
 
 Defined cases: a null text is an empty one; an empty text has no spans; spans are in code
 points, end exclusive; a random token that overlaps a base span is left out.
@@ -46,10 +47,11 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # a run is matched whole, so its length dec
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 
 ALPHABETS = {"hex": 16, "base32": 32, "base62": 62, "base64": 64}
-RATE = 0.001
+RATE = 0.05
 LIKELY = 1e-3  # uniform draws fall below this in one test of a thousand
 CLASSES = (24, 32, 48, 64, 128)  # upper ends of the length classes
-BINS = 64  # of -log10 p, one per unit
+BINS = 64  # the largest -log10 p that is told apart
+FINE = 100  # bins of a unit of -log10 p
 
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 
@@ -176,17 +178,18 @@ def found_column(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class SecretModel:
-    """Shares of ordinary text, and per length class the smallest bin that counts as found."""
+    """Shares of ordinary text, and per encoding and length class the smallest bin that counts as found."""
 
     share: float
     change: float
-    cuts: dict[int, int]
+    cuts: dict[tuple[str, int], float]
 
     def discoveries(self, tokens: list) -> list[tuple[int, int, int]]:
         out = []
         for start, end, token in tokens:
-            cut = self.cuts.get(length_class(end - start))
-            if cut is not None and plain_p(token, self.share, self.change) <= 10.0**-cut:
+            kind, size, bin_ = _rank(token, self.share, self.change)
+            cut = self.cuts.get((kind, size))
+            if cut is not None and bin_ / FINE >= cut:
                 out.append((KINDS.index("random"), start, end))
         return out
 
@@ -203,24 +206,25 @@ def learn(found: DataFrame, rate: float = RATE) -> SecretModel:
     share = float((n[:62] ** 2).sum() / max(n[:62].sum(), 1) ** 2) or 0.06
     change = min(max(n[62] / max(n[63], 1), 0.02), 0.3)
 
-    @F.pandas_udf("array<struct<class:int,bin:int>>")
+    @F.pandas_udf("array<struct<encoding:string,class:int,bin:int>>")
     def ranked(tokens: pd.Series) -> pd.Series:
         return pd.Series([[_rank(x["token"], share, change) for x in row] for row in tokens])
 
-    each = found.where(F.size("tokens") > 0).select(F.explode(ranked("tokens")).alias("t")).groupBy("t.class", "t.bin").count()
-    histogram: dict[int, dict[int, int]] = {}
+    each = found.where(F.size("tokens") > 0).select(F.explode(ranked("tokens")).alias("t")).groupBy("t.encoding", "t.class", "t.bin").count()
+    histogram: dict[tuple[str, int], dict[float, int]] = {}
     for r in each.collect():
-        histogram.setdefault(r["class"], {})[r["bin"]] = r["count"]
+        histogram.setdefault((r["encoding"], r["class"]), {})[r["bin"] / FINE] = r["count"]
     cuts = {c: step_up(bins, rate) for c, bins in histogram.items()}
     return SecretModel(share, change, {c: b for c, b in cuts.items() if b is not None})
 
 
-def _rank(token: str, share: float, change: float) -> tuple[int, int]:
+def _rank(token: str, share: float, change: float) -> tuple[str, int, int]:
+    """Encoding, length class and bin (in parts of 1 / FINE, rounded down) of a token."""
     p = plain_p(token, share, change)
-    return length_class(len(token)), min(int(-math.log10(max(p, 1e-300))), BINS)
+    return encoding(token), length_class(len(token)), min(int(-math.log10(max(p, 1e-300)) * FINE), BINS * FINE)
 
 
-def step_up(bins: dict[int, int], rate: float) -> int | None:
+def step_up(bins: dict[float, int], rate: float) -> float | None:
     """Smallest bin b such that all p-values of at most 10**-b may be called discoveries (None: none).
 
     Benjamini-Hochberg on the histogram, each bin taken at its upper end.
