@@ -147,3 +147,13 @@ def test_packing(spark):
             at += length
         assert at <= 4096
     assert packing.pack(packing.token_pieces(docs.limit(0), WORDS)).count() == 0
+
+
+def test_rows_without_an_id_spread_over_groups(spark):
+    rows = [(None if i % 2 else 7, 0, 10, i, 10) for i in range(4000)]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECE), group=100).collect()
+    assert sorted(r.ids_crc32 for r in got) == list(range(4000))
+    sizes = {}
+    for r in got:
+        sizes[r.sequence_id >> 32] = sizes.get(r.sequence_id >> 32, 0) + 1
+    assert len(sizes) == 40 and max(sizes.values()) <= 200

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.llm.bpe import PairTable, Ragged, joined, merge_words
+from vulnlake.llm.common import free_name
 from vulnlake.llm.pieces import slices
 from vulnlake.session import stage
 
@@ -191,12 +192,14 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to every piece (columns of ``token_pieces``).
 
-    Groups are drawn from a hash of document and start, so a hot source or long document
-    spreads over them; a group has about ``group`` pieces whatever the size of the table.
+    Groups are drawn from a hash of document, start and a number of the staged row, so a hot
+    source, a long document and rows that repeat an id (or have none) spread over them; a group
+    has about ``group`` pieces whatever the size of the table.
     """
-    pieces = stage(pieces, "pieces")
-    groups = max(1, -(-pieces.count() // group))
     columns = pieces.columns
+    number = free_name(pieces, "number")
+    pieces = stage(pieces.withColumn(number, F.monotonically_increasing_id()), "pieces")
+    groups = max(1, -(-pieces.count() // group))
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
         # Rows of equal document and start are told apart by their content only; which of
@@ -207,6 +210,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
         frame["offset"] = offsets
         return frame[[*columns, "sequence_id", "offset"]]
 
-    key = F.pmod(F.xxhash64("doc_id", "start", F.lit(5)), F.lit(groups)).cast("long")
-    schema = ", ".join(f"{c} {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return pieces.withColumn("group_", key).groupBy("group_").applyInPandas(place, schema)
+    key = F.pmod(F.xxhash64("doc_id", "start", number, F.lit(5)), F.lit(groups)).cast("long")
+    pieces = pieces.withColumn("group_", key).drop(number)
+    schema = ", ".join(f"{c} {t}" for c, t in pieces.dtypes if c != "group_") + ", sequence_id long, offset long"
+    return pieces.groupBy("group_").applyInPandas(place, schema)
