@@ -20,7 +20,7 @@ from vulnlake.session import stage
 
 
 SOURCES = "array<struct<rank: int, source: string, doc_type: string>>"
-STORED = f"answer: string, sources: {SOURCES}"
+STORED = f"struct<answer: string, sources: {SOURCES}>"
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,7 @@ def remediate(
         known_hits = hits.select(F.col("query_id").alias("finding_id"), stored.alias("_stored"), F.coalesce(stored["answer"], "result").alias("result"))
         leads_with = leads.withColumnRenamed("query_id", "finding_id").join(known_hits.select("finding_id", "_stored"), "finding_id", "left")
     else:
-        known_hits, leads_with = None, leads.withColumnRenamed("query_id", "finding_id").withColumn("_stored", F.lit(None).cast(f"struct<{STORED}>"))
+        known_hits, leads_with = None, leads.withColumnRenamed("query_id", "finding_id").withColumn("_stored", F.lit(None).cast(STORED))
     asked = (
         rem.attach_responses(leads_with, answers, known_hits)
         .join(answers.select("finding_id", "error"), "finding_id", "left")
