@@ -4,23 +4,25 @@ A signature has 32 symbols of 16 bits, held as eight 64-bit chunks of four symbo
 signatures differ in at most 15 symbols, some chunk differs in at most one (pigeonhole), so
 the two share one of the 8 x 4 keys "this chunk, one symbol left out". All pairs under that
 distance therefore meet in a bucket. At the similarity that links (0.8) a symbol differs with
-probability 0.2: 15 lies four standard deviations above the mean, and a pair further apart
-still meets unless every chunk has two errors (about one pair in a million).
+probability 0.2: a chunk has two errors or more in 18 pairs of 100, and a pair stays out of all
+buckets only if every one of its chunks has (18 % to the eighth power, one pair in 900,000).
+No pair that met is dropped for its signatures' distance.
 
 * Documents with equal shingle sets form a class and continue as one row.
 * A bucket is not expanded to its pairs. First a member meets the smallest members of its
   buckets (those it shares several with); verified links form components. Only members of
   buckets that then hold several components are compared across these: they must share a
-  shingle of their prefixes, lie within the radius, be near in a second signature of 1024
-  one-bit symbols (4.5 standard deviations above what the linking similarity gives), and pass
-  the full sets.
+  shingle of their prefixes, differ in few enough bits of a parity map (2048 bits, the parity of
+  the shingles hashed to each: it never differs in more bits than the sets in shingles, so no
+  link is lost), be near in a second signature of 1024 one-bit symbols (six standard deviations
+  above what the linking similarity gives, one link in a billion), and pass the full sets.
 * Links are confirmed on the full shingle sets, made again from the texts concerned.
 * Components follow by alternating large-star and small-star steps, each written to the
   shared folder; every step aggregates by node before it joins.
 
 Defined cases: a text with fewer than ``size`` words has its whole sequence as its only
 shingle; null, empty and blank texts have no shingle and no link. Rows that repeat
-a doc_id are linked with each other. Rows without an id are linked with nothing and kept.
+a doc_id are linked with each other, and equal ones are compared once. Rows without an id are linked with nothing and kept.
 """
 
 from __future__ import annotations
@@ -39,15 +41,16 @@ from vulnlake.session import stage
 SHINGLE = 4
 CHUNKS, LANES = 8, 4
 SYMBOLS = CHUNKS * LANES
-RADIUS = CHUNKS * 2 - 1
+RADIUS = CHUNKS * 2 - 1  # pairs of signatures that differ in so many symbols always share a key
 PERCENT = 80
 CHAINS, CHAIN = 1, 256  # rounds of chains through open buckets, and members of one chain
 SUPPORT = 4  # keys that a member shares with a bucket's smallest member before they are compared
 REMEMBERED = 1_000_000
 _M = np.uint64(0xBF58476D1CE4E5B9)
 SKETCH = 1024
-#: differing sketch bits at PERCENT: a tenth of them, and four and a half standard deviations
-APART = int(SKETCH * 0.1 + 4.5 * np.sqrt(SKETCH * 0.1 * 0.9))
+#: differing sketch bits at PERCENT: a tenth of them, and six standard deviations
+APART = int(SKETCH * 0.1 + 6 * np.sqrt(SKETCH * 0.1 * 0.9))
+PARITY = 2048
 _BITS = np.random.default_rng(2025).integers(1, 2**63, (2, SKETCH), dtype=np.uint64) | np.uint64(1)
 _SEEDS = np.random.default_rng(2024).integers(1, 2**63, (2, SYMBOLS), dtype=np.uint64) | np.uint64(1)
 
@@ -97,6 +100,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(symbols, axis=1).view(np.int64)
 
 
+def _hash(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("signature", pa.list_(pa.int64()))])
 
 
@@ -112,7 +119,7 @@ def signed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     {
                         "doc_id": part["doc_id"],
                         "n_shingles": [len(s) for s in sets],
-                        "set_hash": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+                        "set_hash": [_hash(s) if len(s) else None for s in sets],
                         "signature": [signature(s) if len(s) else None for s in sets],
                     },
                     schema=_SIGNED,
@@ -131,51 +138,55 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((_mixed(least) >> np.uint64(40) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles hashed to each of PARITY bits, as 64-bit words."""
+    odd = np.bincount((_mixed(shingles) >> np.uint64(20)) % np.uint64(PARITY), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, size: int = SHINGLE, sketches: bool = False) -> DataFrame:
-    """doc_id and its distinct shingle hashes (and their sketch)."""
-    fields = [("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))]
-    shape = pa.schema([*fields, ("sketch", pa.list_(pa.int64()))] if sketches else fields)
+    """doc_id, its distinct shingle hashes and their hash (and their sketch and parity map)."""
+    fields = [("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64())), ("set_hash", pa.binary())]
+    more = [("sketch", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))]
+    shape = pa.schema([*fields, *more] if sketches else fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles.of(t) for t in part["text"].to_pylist()]
-                out = {"doc_id": part["doc_id"], "shingles": [x.view(np.int64) for x in sets]}
+                out = {"doc_id": part["doc_id"], "shingles": [x.view(np.int64) for x in sets], "set_hash": [_hash(x) for x in sets]}
                 if sketches:
-                    out["sketch"] = [sketch(x) for x in sets]
+                    out |= {"sketch": [sketch(x) for x in sets], "parity": [parity_map(x) for x in sets]}
                 yield pa.RecordBatch.from_pydict(out, schema=shape)
 
-    columns = "doc_id long, shingles array<long>" + (", sketch array<long>" if sketches else "")
+    columns = "doc_id long, shingles array<long>, set_hash binary" + (", sketch array<long>, parity array<long>" if sketches else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, columns)
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Number of differing symbols of two signatures (arrays of CHUNKS longs)."""
-    out = F.lit(0)
-    for i in range(CHUNKS):
-        x = a[i].bitwiseXOR(b[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 8))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 4))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x0001000100010001).cast("long"))
-        out = out + F.bit_count(x)
-    return out
-
-
 def _without_lane(lane: int) -> int:
     mask = ~(0xFFFF << (16 * lane)) & (2**64 - 1)
     return mask - 2**64 if mask >= 2**63 else mask
 
 
-def bits_apart(a: Column, b: Column) -> Column:
-    """Number of differing bits of two sketches."""
+def bits_apart(a: Column, b: Column, bits: int) -> Column:
+    """Number of differing bits of two bit arrays of ``bits`` bits."""
     out = F.lit(0)
-    for i in range(SKETCH // 64):
+    for i in range(bits // 64):
         out = out + F.bit_count(a[i].bitwiseXOR(b[i]))
     return out
 
 
+def _may_link(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
+    """Whether parity maps, then sketches, leave a link possible (x, y: size, sketch, parity).
+
+    Sets as similar as ``percent`` differ in (100 - percent) / (100 + percent) of their summed
+    sizes at most, and parity maps in no more bits than the sets in shingles.
+    """
+    parities = bits_apart(x["parity"], y["parity"], PARITY) * (100 + percent) <= (x["size"] + y["size"]) * (100 - percent)
+    return parities & (bits_apart(x["sketch"], y["sketch"], SKETCH) <= APART)
+
+
 def _keys(signature: Column) -> Column:
     """The 32 bucket keys of a signature: chunk, lane left out, and the other three symbols."""
     rest = [
@@ -197,10 +208,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
 
 
-def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches are near enough for the full sets to be worth fetching."""
-    left, right = (sets.select(F.col("doc_id").alias(i), F.col("sketch").alias(s)) for i, s in (("a", "x"), ("b", "y")))
-    return pairs.join(left, "a").join(right, "b").where(bits_apart(F.col("x"), F.col("y")) <= APART).select("a", "b")
+    facts = F.struct(F.size("shingles").alias("size"), "sketch", "parity")
+    left, right = (sets.select(F.col("doc_id").alias(i), facts.alias(s)) for i, s in (("a", "x"), ("b", "y")))
+    near = _may_link(*({c: F.col(s)[c] for c in ("size", "sketch", "parity")} for s in "xy"), percent)
+    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -227,6 +240,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components unfinished after {rounds} rounds")
     stars = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
@@ -274,20 +289,17 @@ def _across(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sides = prefixes.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
     sides = sides.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1")
     open_ = prefixes.join(stage(sides.select("token", "main"), "open-shingles"), "token")
-    open_ = stage(open_.join(sets.select(F.col("doc_id").alias("rep"), "sketch"), "rep"), "open-prefixes")
-    # a pair is found at its smallest common shingle only
-    open_ = open_.withColumn("prefix", F.collect_list("token").over(Window.partitionBy("rep")))
-    columns = ("rep", "component", "size", "shared", "sketch", "prefix")
+    open_ = stage(open_.join(sets.select(F.col("doc_id").alias("rep"), "sketch", "parity"), "rep"), "open-prefixes")
+    columns = ("rep", "component", "size", "shared", "sketch", "parity")
     aside = open_.where("component <> main").select("token", "main", *[F.col(c).alias(c + "_a") for c in columns])
     everyone = open_.select("token", *[F.col(c).alias(c + "_b") for c in columns])
     # what only one set has cannot be common, which bounds the similarity of two sets
     most = F.least("shared_a", "shared_b")
     likely = most * 100 >= (F.col("size_a") + F.col("size_b") - most) * percent
     differ = F.col("component_a") != F.col("component_b")
-    near = bits_apart(F.col("sketch_a"), F.col("sketch_b")) <= APART
+    near = _may_link(*({c: F.col(f"{c}_{s}") for c in ("size", "sketch", "parity")} for s in "ab"), percent)
     once = (F.col("component_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b"))
-    at = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == aside["token"]
-    pairs = aside.join(everyone, (aside["token"] == everyone["token"]) & differ & once & likely & near & at)
+    pairs = aside.join(everyone, (aside["token"] == everyone["token"]) & differ & once & likely & near)
     return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
@@ -301,7 +313,7 @@ def _same_id(usable: DataFrame, classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of documents.
 
-    ``percent`` is PERCENT or more; the radius and the sketch limit are made for that.
+    ``percent`` is PERCENT or more; the keys and the sketch limit are made for that.
     """
     if percent < PERCENT:
         raise ValueError(f"similarities below {PERCENT} % need other signatures")
@@ -316,34 +328,34 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     shared = stage(shared.select("key", "first"), "buckets")
     met = keyed.join(shared, "key").where("rep <> first").groupBy("first", "rep").agg(F.count(F.lit(1)).alias("n"))
     starred = met.where(F.col("n") >= SUPPORT).select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    facts = classes.select("rep", "n", "signature")
+    sizes = classes.select("rep", "n")
+    met = starred.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    first = stage(met.where(_alike(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct(), "star-pairs")
+    repeated = stage(usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
 
-    def plausible(pairs: DataFrame) -> DataFrame:
-        left, right = facts.toDF("a", "na", "sa"), facts.toDF("b", "nb", "sb")
-        met = pairs.join(left, "a").join(right, "b")
-        return met.where(_alike(F.col("na"), F.col("nb"), percent) & (distance(F.col("sa"), F.col("sb")) <= RADIUS)).select("a", "b")
-
-    first = stage(plausible(starred), "star-pairs")
-
-    def texts(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    def sets_of(ids: DataFrame, sketches: bool) -> DataFrame:
+        """The sets of some ids; equal rows of a repeated id give one."""
         some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-        return stage(shingle_sets(some, size), "sets")
-
-    links = stage(_confirmed(first, texts(first), percent).unionByName(_same_id(usable, classes)), "links")
+        sets = stage(shingle_sets(some, size, sketches), "sets")
+        if repeated.isEmpty():
+            return sets
+        several = sets.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "set_hash"])
+        return stage(sets.join(repeated, "doc_id", "left_anti").unionByName(several), "sets")
+
+    ends = first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct()
+    links = stage(_confirmed(first, sets_of(ends, False), percent).unionByName(_same_id(usable, classes)), "links")
     part = stage(components(links), "components")
 
     # Members of buckets that still hold several components are compared across these: first
     # in chains, which join most of what belongs together, then as the prefixes say.
     held = _open_members(keyed, part)
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stage(shingle_sets(some.join(held.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), size, sketches=True), "open-sets")
+    sets = sets_of(held.select(F.col("rep").alias("doc_id")).distinct(), True)
     for turn in range(CHAINS):
-        chained = stage(_near(plausible(_chain(held, turn)), sets), "chain-pairs")
+        chained = stage(_near(_chain(held, turn), sets, percent), "chain-pairs")
         links = stage(links.unionByName(_confirmed(chained, sets, percent)), "links")
         part = stage(components(links), "components")
         held = _open_members(keyed, part)
-    second = stage(plausible(_across(held.select("rep", "component").distinct(), sets, percent)), "across-pairs")
+    second = stage(_across(held.select("rep", "component").distinct(), sets, percent), "across-pairs")
     more = _confirmed(second, sets, percent)
     final = stage(components(links.unionByName(more)), "components")
 
