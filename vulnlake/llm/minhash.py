@@ -51,6 +51,7 @@ SKETCH = 1024
 #: differing sketch bits at PERCENT: a tenth of them, and six standard deviations
 APART = int(SKETCH * 0.1 + 6 * np.sqrt(SKETCH * 0.1 * 0.9))
 PARITY = 2048
+FETCH = 1_000_000  # ids that may be broadcast (about 16 MB)
 _BITS = np.random.default_rng(2025).integers(1, 2**63, (2, SKETCH), dtype=np.uint64) | np.uint64(1)
 _SEEDS = np.random.default_rng(2024).integers(1, 2**63, (2, SYMBOLS), dtype=np.uint64) | np.uint64(1)
 
@@ -195,6 +196,20 @@ def _keys(signature: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(which), kept) for which, kept in rest])
 
 
+def _only(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose doc_id is among ``ids`` (distinct).
+
+    Up to ``FETCH`` ids, counted before, go to every task, so that neither texts nor sets are
+    shuffled to be left out; more are joined by shuffle.
+    """
+    ids = stage(ids, "ids")
+    return table.join(F.broadcast(ids) if ids.count() <= FETCH else ids, "doc_id", "left_semi")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+
 def _alike(n: Column, m: Column, percent: int) -> Column:
     """Sizes that a similarity of ``percent`` allows."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
@@ -202,6 +217,7 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
+    sets = _only(sets, _ends(pairs))
     left, right = (sets.select(F.col("doc_id").alias(i), F.col("shingles").alias(s)) for i, s in (("a", "x"), ("b", "y")))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -210,6 +226,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches are near enough for the full sets to be worth fetching."""
+    sets = _only(sets, _ends(pairs))
     facts = F.struct(F.size("shingles").alias("size"), "sketch", "parity")
     left, right = (sets.select(F.col("doc_id").alias(i), facts.alias(s)) for i, s in (("a", "x"), ("b", "y")))
     near = _may_link(*({c: F.col(s)[c] for c in ("size", "sketch", "parity")} for s in "xy"), percent)
@@ -326,7 +343,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     keyed = stage(classes.select("rep", F.explode(_keys(F.col("signature"))).alias("key")), "keys")
     shared = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = stage(shared.select("key", "first"), "buckets")
-    met = keyed.join(shared, "key").where("rep <> first").groupBy("first", "rep").agg(F.count(F.lit(1)).alias("n"))
+    keyed = stage(keyed.join(shared, "key"), "shared-keys")  # from here on only buckets that several share
+    met = keyed.where("rep <> first").groupBy("first", "rep").agg(F.count(F.lit(1)).alias("n"))
     starred = met.where(F.col("n") >= SUPPORT).select(F.col("first").alias("a"), F.col("rep").alias("b"))
     sizes = classes.select("rep", "n")
     met = starred.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
@@ -335,15 +353,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     def sets_of(ids: DataFrame, sketches: bool) -> DataFrame:
         """The sets of some ids; equal rows of a repeated id give one."""
-        some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+        some = _only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
         sets = stage(shingle_sets(some, size, sketches), "sets")
         if repeated.isEmpty():
             return sets
         several = sets.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "set_hash"])
         return stage(sets.join(repeated, "doc_id", "left_anti").unionByName(several), "sets")
 
-    ends = first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct()
-    links = stage(_confirmed(first, sets_of(ends, False), percent).unionByName(_same_id(usable, classes)), "links")
+    links = stage(_confirmed(first, sets_of(_ends(first), False), percent).unionByName(_same_id(usable, classes)), "links")
     part = stage(components(links), "components")
 
     # Members of buckets that still hold several components are compared across these: first
@@ -351,7 +368,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     held = _open_members(keyed, part)
     sets = sets_of(held.select(F.col("rep").alias("doc_id")).distinct(), True)
     for turn in range(CHAINS):
-        chained = stage(_near(_chain(held, turn), sets, percent), "chain-pairs")
+        chained = stage(_near(stage(_chain(held, turn), "chained"), sets, percent), "chain-pairs")
         links = stage(links.unionByName(_confirmed(chained, sets, percent)), "links")
         part = stage(components(links), "components")
         held = _open_members(keyed, part)
