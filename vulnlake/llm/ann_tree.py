@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import SPACE
+from vulnlake.llm.common import hash_share
 from vulnlake.session import stage
 
 BRANCH = 12
-SAMPLE = 20_000  # rows the tree is fitted on
-LEAVES = 256  # about; a leaf has at least LEAST sampled rows
+LEAVES, MOST_LEAVES = 256, 8192  # about the root of the rows, between these; a leaf has at least LEAST sampled rows
+SAMPLE, PER_LEAF = 20_000, 40  # rows the tree is fitted on: so many at least, and for each leaf (330,000 at most)
 LEAST = 24
 BLOCK = 2048  # rows of a stored block
 PACK = 256  # queries that meet a block together
@@ -233,11 +233,12 @@ def search(
     width, total = sizes[0]["d"], sizes[0]["count"]
     rows = rows.where(F.size("v") == width)
     # both samples are drawn by a hash of the id: about so many rows whatever the table's size
-    draw = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(SPACE))
-    sample = rows.where(draw < int(SPACE * min(1.0, SAMPLE / total)) + 1).select("id", "v").orderBy("id").collect()
+    draw = hash_share(F.col("id"), 23)
+    leaves = min(MOST_LEAVES, max(LEAVES, int(np.sqrt(total))))
+    sample = rows.where(draw < max(SAMPLE, PER_LEAF * leaves) / total).select("id", "v").orderBy("id").collect()
     asked = rows.where("query").count()
-    tree = fit(np.array([r.v for r in sample]))
-    tuning = rows.where(F.col("query") & (draw < int(SPACE * min(1.0, CALIBRATION / max(asked, 1))) + 1)).select("id", "v").orderBy("id").collect()
+    tree = fit(np.array([r.v for r in sample]).reshape(-1, width), leaves)
+    tuning = rows.where(F.col("query") & (draw < CALIBRATION / max(asked, 1))).select("id", "v").orderBy("id").collect()
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +254,7 @@ def search(
     blocks = F.element_at(F.create_map(*[F.lit(x) for n, c in counts.items() for x in (n, max(1, -(-c // BLOCK)))]), F.col("leaf"))
     shard = F.pmod(F.xxhash64("id", F.lit(29)), blocks)
     index = rows.withColumn("shard", shard).groupBy("leaf", "shard").agg(F.collect_list(F.struct("id", "v")).alias("members"))
-    index = stage(index.select("leaf", F.col("members.id").alias("ids"), F.flatten("members.v").alias("values")), "blocks")
+    index = stage(index.select("leaf", "shard", F.col("members.id").alias("ids"), F.flatten("members.v").alias("values")), "blocks")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,5 +285,8 @@ def search(
 
         return _collected(parts(), k)
 
-    found = packed.join(index, "leaf").select("ids", "values", "query_ids", "queries").mapInArrow(score, "query_id long, vec_id long, score double")
+    # a hot leaf's blocks are spread: its packs go to each of them
+    packed = packed.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
+    index = index.withColumn("shard", F.col("shard").cast("long"))
+    found = packed.join(index, ["leaf", "shard"]).select("ids", "values", "query_ids", "queries").mapInArrow(score, "query_id long, vec_id long, score double")
     return _ranked(found, k)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACE = 1 << 20  # resolution of hash samples
+SPACE = 1 << 20  # steps of one hash in a sample
+CLASSES = 1000  # values of a label that are told apart
 
 
 def held_out(doc_id: Column) -> Column:
@@ -14,23 +15,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def hash_share(key: Column, salt: int) -> Column:
-    """A fixed pseudo-random number in [0, 1) for a key."""
-    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(SPACE)) / F.lit(SPACE)
+    """A fixed pseudo-random number in [0, 1) for a key, in steps far below one row of any table."""
+    coarse, fine = (F.pmod(F.xxhash64(key, F.lit(s)), F.lit(SPACE)) / F.lit(SPACE) for s in (salt, salt + 1_000_003))
+    return coarse + fine / F.lit(SPACE)
 
 
-def class_sample(rows: DataFrame, key: str, value: str, per_class: int) -> tuple[DataFrame, dict]:
+def class_sample(rows: DataFrame, key: str, value: str, per_class: int, classes: int = CLASSES) -> tuple[DataFrame, dict]:
     """About ``per_class`` rows of each value (all where fewer), and the value counts.
 
     Rows are chosen by a hash of the key, so the choice does not depend on partitioning
-    and no row group meets in one task. The number of values is taken to be small.
+    and no row group meets in one task. Of more than ``classes`` values the most frequent are
+    taken, which bounds what comes to the driver.
     """
-    counts = {r[value]: r["count"] for r in rows.groupBy(value).count().collect()}
+    most = rows.where(F.col(value).isNotNull()).groupBy(value).count().orderBy(F.desc("count"), value).limit(classes).collect()
+    counts = {r[value]: r["count"] for r in most}
     if not counts:
-        return rows, {}
-    chosen = F.lit(False)
-    for v, n in counts.items():
-        chosen = chosen | ((F.col(value) == F.lit(v)) & (hash_share(F.col(key), 17) < F.lit(per_class / n)))
-    return rows.where(chosen), counts
+        return rows.limit(0), {}
+    shares = F.create_map(*[F.lit(x) for v, n in counts.items() for x in (v, per_class / n)])
+    return rows.where(hash_share(F.col(key), 17) < F.try_element_at(shares, F.col(value))), counts
 
 
 def learning_labels(labels: DataFrame, label: str) -> DataFrame:

@@ -275,6 +275,9 @@ class PieceModel:
             if len(p) == 1:
                 self.of_character[ord(p)] = i
         self.of_character[32] = self.of_character[ord(SPACE)]
+        self.covers = np.array(self.lengths, np.int64)  # normalised bytes of a piece
+        if self.byte_ids:
+            self.covers[self.byte_ids] = 1
         self.shown = Ragged(np.frombuffer(b"".join(self.surfaces), np.uint8), np.array([len(x) for x in self.surfaces]))
 
     def encode_words(self, words: list[str]) -> Ragged:
@@ -298,29 +301,25 @@ class PieceModel:
     def names_of(self, symbol: int) -> str:
         return chr(int(np.flatnonzero(self.of_character == symbol)[0]))
 
-    def _plain(self, texts: pa.Array) -> np.ndarray:
-        if self.characters.units or self.merging_breaks:
-            return np.zeros(len(texts), bool)
-        return ~pc.or_(pc.match_substring(texts, SPACE), pc.match_substring(texts, SEPARATOR)).to_numpy(zero_copy_only=False)
-
     def encode_batch(self, texts: pa.Array) -> Ragged:
-        """Ids of every text of a batch, without begin and end ids.
+        """Ids of every text of a batch, without begin and end ids."""
+        return self._encoded([self.normalise(t)[0] for t in texts.to_pylist()])
+
+    def _encoded(self, normal: list[str]) -> Ragged:
+        """Ids of normalised texts.
 
-        Texts are cut into runs of spaces with what follows, and line breaks; the distinct
-        cuts are merged once. Texts holding the space mark itself or the separator, and models
-        whose map replaces characters, take the way of ``encode``.
+        Texts are cut into runs of space marks with what follows, and line breaks; the distinct
+        cuts are merged once. Texts holding the separator of the cuts, and those of models that
+        merge across line breaks, take the units of ``encode``.
         """
-        plain = self._plain(texts)
-        alone = [np.array([i for i, _, _ in self.encode(t)[1:-1]], np.int32) for t in texts.filter(pa.array(~plain)).to_pylist()]
-        some = texts.filter(pa.array(plain))
-        if self.dummy_prefix:
-            empty = pc.equal(pc.binary_length(some), 0)
-            space, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
-            some = pc.if_else(empty, some, pc.binary_join_element_wise(space, some, nothing))
-        if pc.any(pc.match_substring(some, "  ")).as_py():
-            some = pc.replace_substring_regex(some, "( +)", SEPARATOR + r"\1")
+        texts = pa.array(normal, pa.large_string())
+        odd = pc.match_substring(texts, SEPARATOR).to_numpy(zero_copy_only=False) | self.merging_breaks
+        alone = [np.array([i for unit in self.units.findall(t) for i in self.unit_ids(unit)[0]], np.int32) for t in texts.filter(pa.array(odd)).to_pylist()]
+        some = texts.filter(pa.array(~odd))
+        if pc.any(pc.match_substring(some, SPACE * 2)).as_py():
+            some = pc.replace_substring_regex(some, f"({SPACE}+)", SEPARATOR + r"\1")
         else:
-            some = pc.replace_substring(some, " ", SEPARATOR + " ")
+            some = pc.replace_substring(some, SPACE, SEPARATOR + SPACE)
         some = pc.replace_substring(some, "\n", f"{SEPARATOR}\n{SEPARATOR}")
         cuts = pc.split_pattern(some, SEPARATOR)
         coded = cuts.flatten().dictionary_encode()
@@ -330,33 +329,34 @@ class PieceModel:
         if not alone:
             return ids
         other = Ragged(np.concatenate(alone), np.array([len(x) for x in alone]))
-        return joined([np.flatnonzero(plain), np.flatnonzero(~plain)], [ids, other])
+        return joined([np.flatnonzero(~odd), np.flatnonzero(odd)], [ids, other])
 
     def digests(self, texts: pa.Array) -> dict[str, list]:
         """Per text: number of ids, SHA-256 of ids and of the decoded text, checksum of span ends.
 
-        The ids get their begin and end; the decoded bytes are those of the ids, and a span
-        end is the source byte where a piece ends.
+        Every text is normalised through the character map with its alignment; the pieces
+        cover the normalised bytes, and a span end is the source byte that these align to. The ids
+        get their begin and end, and the decoded bytes are those of the ids.
         """
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        plain = self._plain(texts)
-        ids = self.encode_batch(texts)
+        rows = pc.fill_null(texts.cast(pa.large_string()), "").to_pylist()
+        normal, aligned = zip(*map(self.normalise, rows), strict=True) if rows else ((), ())
+        ids = self._encoded(list(normal))
         self.tables()
         shown = self.shown.take(ids.data)
         sizes = np.concatenate([[0], np.cumsum(shown.lengths)])
+        covers = np.concatenate([[0], np.cumsum(self.covers[ids.data])])
         head, tail = np.array([self.begin], "<u4").tobytes(), np.array([self.end], "<u4").tobytes()
         out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "spans_crc32": []}
-        cut = len(b" ") if self.dummy_prefix else 0
         for row, (a, n) in enumerate(zip(ids.starts.tolist(), ids.lengths.tolist(), strict=True)):
-            raw = ids.data[a : a + n].astype("<u4").tobytes()
+            own = ids.data[a : a + n]
             text = shown.data[sizes[a] : sizes[a + n]].tobytes()
-            skip = cut if n and self.pieces[ids.data[a]].startswith(SPACE) else 0
-            if not plain[row]:
-                ends = np.array([e for _, _, e in self.encode(texts[row].as_py())[1:-1]], "<u4")
+            skip = 1 if n and self.dummy_prefix and self.pieces[own[0]].startswith(SPACE) else 0
+            if not self.byte_ids and (own == self.unknown).any():  # an unknown piece covers what its character has
+                ends = np.array([e for _, _, e in self.encode(rows[row])[1:-1]], "<u4")
             else:
-                ends = np.maximum(sizes[a + 1 : a + n + 1] - sizes[a] - cut, 0).astype("<u4")
+                ends = aligned[row][covers[a + 1 : a + n + 1] - covers[a]].astype("<u4")
             out["n_tokens"].append(n + 2)
-            out["ids_sha256"].append(hashlib.sha256(head + raw + tail).hexdigest())
+            out["ids_sha256"].append(hashlib.sha256(head + own.astype("<u4").tobytes() + tail).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(_whole(text[skip:])).hexdigest())
             out["spans_crc32"].append(zlib.crc32(ends.tobytes()))
         return out

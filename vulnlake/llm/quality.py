@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> QualityM
     """Fit on about ``per_class`` labelled documents of each label outside the held-out fold.
 
     Only features of these at most some 6000 rows come to the driver; their ids are the
-    broadcast side, so no text is shuffled.
+    broadcast side, so no text is shuffled. Of rows repeating an id the smallest features count.
     """
     chosen, counts = class_sample(learning_labels(labels, "quality"), "doc_id", "y", per_class)
     if len(counts) < 2:
@@ -137,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> QualityM
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
         .select("doc_id", "y", shape("text").alias("x"))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id", "y")
+        .agg(F.min("x").alias("x"))
         .orderBy("doc_id")
         .collect()
     )

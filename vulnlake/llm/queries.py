@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm import ann_tree, hamming_topk, langid, minhash, packing, pieces, quality, secret_scan, toxicity, warc
+from vulnlake.llm import ann_tree, hamming_topk, langid, minhash, packing, pieces, quality, quality_votes, runs, secret_scan, toxicity, va_file, warc
 from vulnlake.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,123 @@ least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sets JOIN least ON doc_id = x
 """
+
+
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = va_file.clusters(table(spark, sf_dir, "embeddings"), "vec_id", "sha2(concat('1:', cast(key AS string)), 256)")
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join("centroid", ","), 256)).drop("centroid")
+
+
+def _kmeans_sql(rounds: int = 3, k: int = 16) -> str:
+    away = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT"
+    steps = [
+        f"""
+v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS k, v AS c FROM v WHERE vec_id IS NOT NULL QUALIFY k < {k})"""
+    ]
+    for t in range(rounds + 1):
+        steps.append(
+            f"""
+a{t} AS MATERIALIZED (SELECT r, vec_id, v, k, {away} AS distance FROM v, c{t} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, k) = 1)"""
+        )
+        if t < rounds:
+            steps.append(
+                f"""
+s{t} AS (SELECT k, i, sum(v[i]) AS s, count(*) AS n FROM a{t}, range(1, 65) t(i) GROUP BY k, i),
+n{t} AS (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM s{t} GROUP BY k),
+c{t + 1} AS MATERIALIZED (SELECT k, coalesce(n{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN n{t} USING (k))"""
+            )
+    return f"""
+WITH {','.join(steps)}
+SELECT vec_id, k::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (k)
+"""
+
+
+ORACLES["op11_centroids"] = _kmeans_sql()
+
+
+@query
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(table(spark, sf_dir, "documents"), altered=True))
+
+
+# A run holds 16 equal words one period apart, so equal 16-word windows of a text find them all.
+ORACLES["op12_runs"] = r"""
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_prepend(4294967295, range(0, 8 * length(doc_id::VARCHAR))), lambda c, t:
+      (xor(CASE WHEN t % 8 = 0 THEN xor(c, ascii(substr(doc_id::VARCHAR, (t // 8 + 1)::INTEGER, 1))) ELSE c END >> 1,
+        3988292384 * ((CASE WHEN t % 8 = 0 THEN xor(c, ascii(substr(doc_id::VARCHAR, (t // 8 + 1)::INTEGER, 1))) ELSE c END) & 1)))), 4294967295) AS h
+  FROM documents),
+s AS (SELECT r, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS cut, (h // 10) % greatest(len(w), 1) AS a, (h // 10) % 8 AS e FROM w),
+x AS MATERIALIZED (
+  SELECT r, doc_id, n, CASE WHEN cut THEN list_transform(range(0, n), lambda i: w[CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + e)) ELSE i END + 1]) ELSE w END AS w FROM s),
+g AS MATERIALIZED (SELECT r, n, i, array_to_string(w[i + 1:i + 16], ' ') AS g FROM x, unnest(range(0, n - 15)) t(i)),
+m AS (SELECT a.r, a.i, b.i - a.i AS q FROM g a JOIN g b ON a.r = b.r AND a.g = b.g AND b.i > a.i AND 3 * (b.i - a.i) <= a.n),
+isles AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS isle FROM m),
+stretch AS (SELECT r, q, min(i) AS start, count(*) + 15 + q AS length FROM isles GROUP BY r, q, isle),
+runs AS MATERIALIZED (SELECT r, start, length, min(q) AS period FROM stretch WHERE length >= greatest(24, 3 * q) GROUP BY r, start, length),
+gone AS (SELECT DISTINCT r, i FROM runs, unnest(range(start + period, start + length)) t(i)),
+words AS (SELECT r, unnest(range(0, n)) AS i, unnest(w) AS word FROM x),
+left_ AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (r, i) GROUP BY r),
+all_ AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM runs GROUP BY r),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / period DESC, start, period) = 1)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(all_.t, '')) AS runs_sha256, sha256(coalesce(left_.t, '')) AS collapsed_sha256
+FROM x LEFT JOIN all_ USING (r) LEFT JOIN best USING (r) LEFT JOIN left_ USING (r)
+"""
+
+
+@query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_votes.judged(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _votes_sql() -> str:
+    q = quality_votes
+    n = range(len(q.RULES))
+    spaces = q.SPACES
+    steps = [
+        rf"""
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT r, i, array_to_string(words[i:i + {q.WINDOW - 1}], ' ') AS g FROM w, unnest(range(1, len(words) - {q.WINDOW - 2})) t(i)),
+twice AS (SELECT r, g FROM g GROUP BY r, g HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM g JOIN twice USING (r, g), range({q.WINDOW}) t(k) GROUP BY r),
+counts AS MATERIALIZED (SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '{spaces}', '', 'g')) AS word_chars,
+  length(text) - length(translate(text, '{q.SYMBOLS}', '')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+  coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines, len(list_distinct(words)) AS n_distinct,
+  length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS n_capitals, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS n_letters,
+  length(text) - length(translate(text, '!', '')) AS n_loud,
+  len(list_intersect(list_distinct(words), {sorted(set(q.STOP_WORDS))})) AS n_stop FROM w LEFT JOIN rep USING (r)),
+voted AS MATERIALIZED (SELECT *, {', '.join(f'{q.vote_sql(rule)} AS v{j}' for j, rule in enumerate(q.RULES))} FROM counts),
+patterns AS MATERIALIZED (SELECT {', '.join(f'v{j}' for j in n)}, count(*) AS n FROM voted GROUP BY ALL),
+m0 AS (SELECT {q.START}::DOUBLE AS pi, {', '.join(f'{q.START}::DOUBLE AS g{j}, {q.START}::DOUBLE AS b{j}' for j in n)})"""
+    ]
+    odds = q.log_odds_sql("pi", [f"g{j}" for j in n], [f"b{j}" for j in n], [f"v{j}" for j in n])
+    for t in range(q.ROUNDS):
+        rates = [f"{q.rate_sql('coalesce(sum(n * p), 0)', 'coalesce(sum(n), 0)')} AS pi"]
+        for j in n:
+            good = q.rate_sql(f"coalesce(sum(n * p) FILTER (v{j} = 1), 0)", f"coalesce(sum(n * p) FILTER (v{j} <> 0), 0)")
+            bad = q.rate_sql(f"coalesce(sum(n * (1 - p)) FILTER (v{j} = -1), 0)", f"coalesce(sum(n * (1 - p)) FILTER (v{j} <> 0), 0)")
+            rates += [f"{good} AS g{j}", f"{bad} AS b{j}"]
+        steps.append(
+            f"""
+p{t} AS (SELECT patterns.*, 1 / (1 + exp(-({odds}))) AS p FROM patterns, m{t}),
+m{t + 1} AS MATERIALIZED (SELECT {', '.join(rates)} FROM p{t})"""
+        )
+    return f"""
+WITH {','.join(steps)}
+SELECT doc_id, {', '.join(f'{c}::BIGINT AS {c}' for c in ('n_words', 'word_chars', 'n_symbols', 'n_dup_lines', 'n_repeat_words'))},
+  {q.BASE_FAILED} AS base_failed, NOT ({q.BASE_FAILED}) AND 1 / (1 + exp(-({odds}))) >= {q.KEEP} AS kept
+FROM voted, m{q.ROUNDS}
+"""
+
+
+ORACLES["op13_quality_rules"] = _votes_sql()

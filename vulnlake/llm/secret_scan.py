@@ -5,9 +5,9 @@ non-overlapping by its pattern; a match that is too short is dropped after it ha
 
 The kind ``random`` adds tokens that look drawn at random from an alphabet. The encoding (hex,
 base32, base62, base64) is inferred from the characters present. Three tests compare a token
-with both hypotheses: uniform draws from its alphabet, and ordinary text, whose letter shares,
-class changes and neighbour correlation are measured over all tokens of the corpus that are
-too short or too plain to be keys.
+with both hypotheses: uniform draws from its alphabet, and ordinary text, whose letter shares
+and class changes are measured over all letters and digits of the corpus (the few keys among
+them weigh next to nothing).
 
 * chi-squared of the symbol counts against a uniform alphabet;
 * runs: changes between letters of either case, digits and marks;
@@ -143,7 +143,15 @@ def token_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     """(start, end, token) of long unbroken tokens that meet no base span."""
     if max(map(len, text.split()), default=0) < 20:
         return []
-    return [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text) if not any(a < m.end() and m.start() < b for _, a, b in base)]
+    # both by start; base spans of several kinds may overlap, so the furthest end so far counts
+    spans, at, covered, out = sorted((a, b) for _, a, b in base), 0, 0, []
+    for m in _TOKEN.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            covered = max(covered, spans[at][1])
+            at += 1
+        if covered <= m.start():
+            out.append((m.start(), m.end(), m.group()))
+    return out
 
 
 _ALNUM = np.array([*range(48, 58), *range(65, 91), *range(97, 123)])

@@ -143,23 +143,30 @@ def fit(texts: list[str], y: np.ndarray, min_documents: int = 3, epochs: int = 1
     return _calibrated(model, rest, rest_y)
 
 
+def shortened(text: str, chars: int) -> str:
+    """A text of at most about ``chars`` characters: evenly placed sentences (or words, of one long sentence) of a longer one."""
+    if len(text) <= chars:
+        return text
+    parts = [s for s in SENTENCE.findall(text) if s.strip()]
+    if max(map(len, parts), default=0) > chars // 4:
+        parts = [" ".join(words[i : i + 20]) for words in (text.split(),) for i in range(0, len(words), 20)]
+    step = -(-sum(map(len, parts)) // chars)
+    return ". ".join(p[:chars] for p in parts[::step])
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, chars: int = 12_000) -> ToxicityModel | None:
     """Fit on about ``per_class`` labelled documents of each label outside the held-out fold.
 
-    To bound the driver's memory, the sample leaves out documents longer than ``chars``
-    (whole texts are scored all the same). The ids are the broadcast side.
+    To bound the driver's memory, a sampled document longer than ``chars`` gives evenly placed
+    sentences of its whole text (every text is scored whole). The ids are the broadcast side;
+    of rows repeating an id the smallest text counts.
     """
     chosen, counts = class_sample(learning_labels(labels, "toxic"), "doc_id", "y", per_class)
     if len(counts) < 2:
         return None
-    rows = (
-        docs.select("doc_id", "text")
-        .where(F.length("text") <= chars)
-        .join(F.broadcast(chosen), "doc_id")
-        .dropDuplicates(["doc_id"])
-        .orderBy("doc_id")
-        .collect()
-    )
+    cut = F.pandas_udf(lambda texts: pd.Series([shortened(t, chars) for t in texts], dtype=object), "string")
+    sampled = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    rows = sampled.select("doc_id", "y", cut("text").alias("text")).groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return fit([r.text for r in rows], np.array([r.y for r in rows])) if rows else None
 
 
