@@ -126,3 +126,87 @@ def test_noisy_or():
     model = toxicity.ToxicityModel(-3.0, {"bad": 4.0})
     p = [s for _, _, s in model.sentences("bad day. good day. bad")]
     assert abs(model.score("bad day. good day. bad") - (1 - np.prod(1 - np.array(p)))) < 1e-12
+
+
+def test_bradley_terry_minimises_the_pairwise_loss():
+    rng = np.random.default_rng(5)
+    good, bad = rng.normal(0.4, 1, (400, 5)), rng.normal(0, 1, (400, 5))
+    w = quality.bradley_terry(good, bad, ridge=0.01)
+
+    def loss(w):
+        return np.mean(np.log1p(np.exp(-(good - bad) @ w))) + 0.005 * w @ w
+
+    assert all(loss(w) <= loss(w + d) for d in 1e-3 * rng.normal(size=(200, 5)))
+    # by plain descent from zero
+    v = np.zeros(5)
+    for _ in range(4000):
+        v -= 0.5 * np.array([(loss(v + h) - loss(v - h)) / 2e-5 for h in 1e-5 * np.eye(5)])
+    assert np.allclose(v, w, atol=1e-3)
+
+
+def test_quality_threshold_is_the_quantile_of_the_low_share():
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(500, 3)), rng.integers(0, 2, 500)
+    share = 0.3
+    model = quality.fit(x, y, share)
+    s = np.clip((x - model.mean) / model.scale, -6, 6) @ model.weights
+    weight = np.where(y == 1, (1 - share) / (y == 1).sum(), share / (y == 0).sum())
+    below = weight[s < model.threshold].sum()
+    assert abs(below - share) <= weight.max() + 1e-9
+    assert ((model.score(x) >= quality.CUT) == (s >= model.threshold)).all()
+
+
+def test_rows_repeating_an_id_do_not_change_the_models(corpus):
+    docs, marks, _ = corpus
+    again = docs.unionByName(docs.where("doc_id < 50").selectExpr("doc_id", "concat(text, ' zzz') AS text", "lang", "source", "n_chars", "number", "rep")).repartition(7)
+    one, two = (quality.train(d, marks) for d in (again, again.repartition(3)))
+    assert np.array_equal(one.weights, two.weights) and one.threshold == two.threshold
+    a, b = (toxicity.train(d, marks) for d in (again, again.repartition(3)))
+    assert a.bias == b.bias and a.weights == b.weights
+
+
+def test_toxicity_gradient_by_differences():
+    rng = np.random.default_rng(7)
+    owner = np.sort(rng.integers(0, 6, 20))
+    owner[:6] = np.arange(6)
+    owner.sort()
+    rows, columns = rng.integers(0, 20, 60), rng.integers(0, 9, 60)
+    y, balance = np.array([0, 1, 0, 1, 1, 0]), rng.uniform(0.1, 1, 6)
+    w, bias = rng.normal(size=9), np.array([-0.7])
+
+    def loss(w, bias):
+        z = [bias[0] + sum(w[c] for r, c in zip(rows, columns, strict=True) if r == s) for s in range(20)]
+        toxic = [1 - np.prod([1 - 1 / (1 + np.exp(-z[s])) for s in range(20) if owner[s] == d]) for d in range(6)]
+        return sum(b * -np.log(t if label else 1 - t) for b, t, label in zip(balance, toxic, y, strict=True))
+
+    by_weight, by_bias = toxicity.loss_gradient(w, bias, rows, columns, owner, y, balance)
+    step = 1e-6
+    want = [(loss(w + h, bias) - loss(w - h, bias)) / (2 * step) for h in step * np.eye(9)]
+    assert np.allclose(by_weight, want, atol=1e-6)
+    assert abs(by_bias[0] - (loss(w, bias + step) - loss(w, bias - step)) / (2 * step)) < 1e-6
+
+
+def test_toxic_labels_of_long_texts_only_are_learnt(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(120):
+        toxic = i % 3 == 0
+        text = " ".join(prose(rng, "en", 40) for _ in range(60)) if toxic else prose(rng, "en", 50)
+        if toxic:
+            text = text.replace(".", ". you vile grumpkin.")
+        rows.append((i, text, "en", "s", 0, None, None))
+        labels.append((i, 1, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, marks, chars=2000)
+    assert model is not None and model.score("a day. you vile grumpkin. the end") >= 0.5 > model.score(rows[1][1])
+    cut = toxicity.shortened(rows[0][1], 2000)
+    assert len(cut) <= 2400 and "grumpkin" in cut
+    assert len(toxicity.shortened("word " * 5000, 1000)) <= 1400 and toxicity.shortened("short.", 10) == "short."
+
+
+def test_samples_of_many_label_values_are_bounded(spark):
+    from vulnlake.llm.common import class_sample
+
+    rows = spark.createDataFrame([(i, f"l{i % 40}" if i < 400 else "en" if i % 2 else None) for i in range(1000)], "doc_id long, lang string")
+    chosen, counts = class_sample(rows, "doc_id", "lang", 5, classes=3)
+    assert counts == {"en": 300, "l0": 10, "l1": 10} and {r.lang for r in chosen.collect()} <= {"en", "l0", "l1"}

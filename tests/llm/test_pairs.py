@@ -190,3 +190,22 @@ def test_binary_codes_exactly(spark, vectors, k):
 
 def test_binary_codes_of_nothing(spark, vectors):
     assert hamming_topk.top_k(vectors[0].limit(0), lambda i: i % 50 == 0, bits=16).count() == 0
+
+
+def plain_nearest(codes, asking, k):
+    out = []
+    for q in asking:
+        order = sorted((bin(codes[q] ^ c).count("1"), i) for i, c in codes.items() if i != q)[:k]
+        out += [(q, r + 1, i, d) for r, (d, i) in enumerate(order)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shape", ["common", "two", "one"])
+def test_binary_codes_of_common_and_few_rows(spark, shape):
+    """A code that most rows share (asking and asked), tables of two rows and of one."""
+    rng = random.Random(3)
+    count = {"common": 400, "two": 2, "one": 1}[shape]
+    codes = {i: 0b1011 if shape == "common" and rng.random() < 0.7 else rng.getrandbits(32) for i in range(0, count * 10, 10)}
+    rows = [(i, [1.0 if c >> b & 1 else -1.0 for b in range(32)], 0, "q", 1) for i, c in codes.items()]
+    got = sorted(tuple(r) for r in hamming_topk.top_k(spark.createDataFrame(rows, VECTORS), lambda i: i % 50 == 0, bits=32, k=5).collect())
+    assert got == plain_nearest(codes, [i for i in codes if i % 50 == 0], 5)

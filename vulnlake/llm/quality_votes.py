@@ -21,6 +21,7 @@ each; without documents there is nothing to learn and nothing to return.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -139,9 +140,19 @@ class VoteModel:
     bad: tuple[float, ...]
 
     def posterior(self) -> Column:
-        """Probability of good quality, from the vote columns v0, v1, ..."""
-        votes = [f"v{j}" for j in range(len(RULES))]
-        return F.expr(f"1 / (1 + exp(-({log_odds_sql(f'{self.prior!r}D', [f'{g!r}D' for g in self.good], [f'{b!r}D' for b in self.bad], votes)})))")
+        """Probability of good quality, from the vote columns v0, v1, ...
+
+        What a vote adds to the log-odds is looked up by the vote, in constant arrays: a new model
+        is new data for the same compiled code.
+        """
+        odds = None
+        for j, (g, b) in enumerate(zip(self.good, self.bad, strict=True)):
+            adds = [math.log((1 - g) / b), 0.0, math.log(g / (1 - b))]
+            if j == 0:
+                adds = [x + math.log(self.prior / (1 - self.prior)) for x in adds]
+            part = F.element_at(F.array(*map(F.lit, adds)), F.col(f"v{j}") + 2)
+            odds = part if odds is None else odds + part
+        return 1 / (1 + F.exp(-odds))
 
 
 def learn(patterns: DataFrame, rounds: int = ROUNDS) -> VoteModel:

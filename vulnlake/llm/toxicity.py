@@ -90,6 +90,21 @@ def _calibrated(model: ToxicityModel, texts: list[str], y: np.ndarray) -> Toxici
     return ToxicityModel(model.bias + min(max(shift, -4.0), 2.0), model.weights)
 
 
+def loss_gradient(w: np.ndarray, bias: np.ndarray, rows: np.ndarray, columns: np.ndarray, owner: np.ndarray, y: np.ndarray, balance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the documents' weighted log loss by weights and bias.
+
+    ``rows, columns``: sentence and feature of every feature that a sentence has; ``owner``: the
+    document of a sentence. With ``logs`` = -log(1 - P) of a document, its loss is ``logs`` for
+    label 0 and -log(1 - exp(-logs)) for label 1.
+    """
+    z = np.clip(bias[0] + np.bincount(rows, w[columns], minlength=len(owner)), -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    logs = np.bincount(owner, np.logaddexp(0, z), minlength=len(y))
+    pull = np.where(y == 1, -1 / np.expm1(np.clip(logs, 1e-12, 30)), 1.0) * balance
+    g = pull[owner] * p
+    return np.bincount(columns, g[rows], minlength=len(w)), np.array([g.sum()])
+
+
 def fit(texts: list[str], y: np.ndarray, min_documents: int = 3, epochs: int = 150, rate: float = 0.1, sparse: float = 0.02) -> ToxicityModel | None:
     """Adam with soft thresholding on the documents' log loss; None unless both labels occur.
 
@@ -127,13 +142,8 @@ def fit(texts: list[str], y: np.ndarray, min_documents: int = 3, epochs: int = 1
     balance = np.where(y == 1, 0.5 / total[1], 0.5 / total[0])
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, bias)]
     for t in range(1, epochs + 1):
-        z = np.clip(bias[0] + np.bincount(rows, w[columns], minlength=len(owner)), -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        logs = np.bincount(owner, np.logaddexp(0, z), minlength=len(y))  # -log(1 - P)
-        # d loss / d z: for label 0 the loss is logs, for label 1 it is -log(1 - exp(-logs))
-        pull = np.where(y == 1, -1 / np.expm1(np.clip(logs, 1e-12, 30)), 1.0) * balance
-        g = pull[owner] * p
-        for param, grad, m in zip((w, bias), (np.bincount(columns, g[rows], minlength=len(w)), np.array([g.sum()])), moments, strict=True):
+        grads = loss_gradient(w, bias, rows, columns, owner, y, balance)
+        for param, grad, m in zip((w, bias), grads, moments, strict=True):
             m[0] += 0.1 * (grad - m[0])
             m[1] += 0.001 * (grad * grad - m[1])
             param -= rate * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.999**t)) + 1e-5)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from vulnlake.session import stage
 
 CELLS = 16
-FETCH = 500_000  # row numbers that may be broadcast (about 10 MB)
+FETCH = 100_000  # fetched rows whose numbers and cells may be broadcast (about 20 MB)
 MOST = 1 << 24
 
 
