@@ -7,7 +7,7 @@ import os
 import sys
 import time
 
-from checks import catalog
+from checks import catalog, views
 from vulnlake.session import local_session
 
 HEADLINE = [
@@ -34,6 +34,10 @@ def main() -> None:
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), app="vulnlake-bench")
     spark.read.parquet(f"{sf_dir}/region.parquet").count()
     seconds = {}
+    # the stored index is written once, and opened by every query that searches it
+    start = time.perf_counter()
+    views.stored_index(spark, sf_dir)
+    seconds["write_index"] = round(time.perf_counter() - start, 3)
     for name in sys.argv[1:] or HEADLINE:
         start = time.perf_counter()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -170,11 +170,36 @@ def chunk_window(spark, d):
     return v.chunks(spark, d).select("chunk_id", "doc_id", F.col("seq").cast("bigint").alias("seq"), "content")
 
 
-@query()
+# The splitter: texts that are not done are cut at their coarsest separator. A fold over the parts gives finished pieces and
+# parts that are too long, which the next step cuts by the finer separators; places keep the order.
+SEPS = "[repeat(chr(10), 2), chr(10), ' ', '']"
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+GIVEN = f"list_filter([{{'t': trim(array_to_string(x.win, ''), {SPACES}), 'done': true, 'level': 0}}], lambda g: g.t <> '')"
+KEEPS = "x.win[list_filter(range(1, len(x.win) + 2), lambda j: coalesce(list_sum(list_transform(x.win[j:], lambda p: length(p))), 0) <= least(100, 800 - e.held))[1]:]"
+SPLIT = f"""cut AS (
+  SELECT doc_id, CASE WHEN pre THEN [0] ELSE []::INTEGER[] END AS place, content AS t, 0 AS level, content IS NULL OR content = '' OR pre AS done, 0 AS turn FROM split_these
+  UNION ALL
+  SELECT doc_id, list_append(place, i::INTEGER), g.t, g.level, g.done, turn + 1 FROM (
+    SELECT doc_id, place, turn, unnest(gs) AS g, unnest(range(1, len(gs) + 1)) AS i FROM (
+      SELECT doc_id, place, turn, CASE WHEN level = 3
+        THEN list_filter(list_transform(range(0, greatest(length(t) - 100, 1), 700), lambda s: {{'t': trim(substr(t, (s + 1)::BIGINT, 800), {SPACES}), 'done': true, 'level': 0}}), lambda g: g.t <> '')
+        ELSE list_concat(x.o, {GIVEN}) END AS gs
+      FROM (SELECT *, list_reduce(list_prepend({{'o': []::STRUCT(t VARCHAR, done BOOLEAN, level INTEGER)[], 'win': []::VARCHAR[], 'held': 0::BIGINT}},
+          list_transform(parts, lambda p: {{'o': []::STRUCT(t VARCHAR, done BOOLEAN, level INTEGER)[], 'win': [p], 'held': length(p)}})),
+          lambda x, e: CASE
+            WHEN e.held >= 800 THEN {{'o': list_concat(x.o, {GIVEN}, [{{'t': e.win[1], 'done': false, 'level': level + 1}}]), 'win': []::VARCHAR[], 'held': 0::BIGINT}}
+            WHEN x.held + e.held > 800 THEN {{'o': list_concat(x.o, {GIVEN}), 'win': list_concat({KEEPS}, e.win),
+              'held': (coalesce(list_sum(list_transform({KEEPS}, lambda p: length(p))), 0) + e.held)::BIGINT}}
+            ELSE {{'o': x.o, 'win': list_concat(x.win, e.win), 'held': x.held + e.held}} END) AS x
+        FROM (SELECT doc_id, place, t, level, turn, list_filter(list_transform(string_split(t, {SEPS}[level + 1]), lambda p, i: CASE WHEN i > 1 THEN {SEPS}[level + 1] || p ELSE p END), lambda p: p <> '') AS parts
+          FROM (SELECT doc_id, place, t, turn, list_filter(range(0, 4), lambda l: l >= level AND (l = 3 OR contains(t, {SEPS}[l + 1])))[1]::INTEGER AS level FROM cut WHERE NOT done)))))),
+pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS seq, t AS content, len(place) = 1 AND place = [0] AS pre FROM cut WHERE done AND coalesce(t, '') <> '')"""
+
+
+@query(f"WITH RECURSIVE split_these AS (SELECT doc_id, text AS content, false AS pre FROM documents), {SPLIT} SELECT doc_id, seq, md5(content) AS digest FROM pieces")
 def chunk_recursive(spark, d):
-    """The splitter has no SQL form; its invariants are tested."""
     docs = v.table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    return cp.chunk_recursive(docs).select("doc_id", "seq", "content")
+    return cp.chunk_recursive(docs).select("doc_id", F.col("seq").cast("bigint").alias("seq"), F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 @query(sql("""
@@ -200,7 +225,14 @@ def index_stats(spark, d):
     )
 
 
-@query()
+BUCKET = "list_transform(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda t: t <> ''), lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64)"
+
+
+@query(f"""
+WITH RECURSIVE split_these AS (SELECT doc_id, text AS content, coalesce(quality = 1, false) AS pre FROM documents LEFT JOIN labels USING (doc_id)), {SPLIT}
+SELECT p.doc_id, d.source, d.lang AS doc_type, md5(content) AS digest, list_sum(list_transform({BUCKET}, lambda b: b * b))::BIGINT AS buckets
+FROM pieces p JOIN documents d USING (doc_id)""")
 def ingest_corpus(spark, d):
-    """Uses the splitter, so rows only; the vectors have their own query."""
-    return ingest(labelled(spark, d)).select("doc_id", "source", "doc_type", F.length("content").alias("length"))
+    """Chunks of every document with their vectors: ready ones as they are, the others split."""
+    squares = F.aggregate(F.transform("embedding", lambda n, i: n.cast("bigint") * i * i), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return ingest(labelled(spark, d)).select("doc_id", "source", "doc_type", F.md5(F.col("content").cast("binary")).alias("digest"), squares.alias("buckets"))

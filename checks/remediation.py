@@ -188,3 +188,45 @@ def remediate_findings(spark, d):
     return result.summary.select(
         "total_findings", "successful_remediations", "sast_findings_count", "severity_high", "confidence_high"
     )
+
+
+# Every vulnerable dependency in turn, with its token counts; the cache first holds an answer with
+# sources under the key of the smallest finding, and another writer's bare answer.
+BUCKETS = "list_transform(list_filter(regexp_split_to_array(lower({0}), '\\\\s+'), lambda t: t <> ''), lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64)"
+CACHED = """,
+keyed AS (SELECT dep_id, row_number() OVER (ORDER BY dep_id) - 1 AS number,
+  substr('Vulnerable Dependency: ' || package, 1, 999) || '|' || substr(package || '==' || version || chr(10) || 'CVEs: ' || replace(cves, ',', ', '), 1, 200) AS key FROM vulnerable),
+every AS (SELECT dep_id, number, key FROM keyed UNION ALL SELECT NULL, -2, key FROM keyed WHERE number = 0 UNION ALL SELECT NULL, -1, 'quite another key'),
+counted AS (SELECT dep_id, number, list_transform(range(0, 64), lambda b: len(list_filter(buckets, lambda x: x = b))::DOUBLE) AS c FROM (SELECT dep_id, number, %s AS buckets FROM every)),
+units AS MATERIALIZED (SELECT dep_id, number, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS u FROM counted),
+walk AS (
+  SELECT -1::BIGINT AS number, NULL::BIGINT AS dep_id, NULL::BIGINT AS source, (SELECT list({'n': number, 'u': u} ORDER BY number) FROM units WHERE number < 0) AS held
+  UNION ALL
+  SELECT number, dep_id, coalesce(hit, number), CASE WHEN hit IS NULL THEN list_append(held, {'n': number, 'u': u})[-100:] ELSE held END
+  FROM (SELECT *, list_filter(held, lambda e: list_dot_product(e.u, u) >= 0.85)[1].n AS hit FROM (SELECT x.number, x.dep_id, w.held, x.u FROM walk w JOIN units x ON x.number = w.number + 1)))
+SELECT w.dep_id AS finding_id, w.source <> w.number AS from_cache, CASE w.source WHEN -2 THEN 'stored fix' WHEN -1 THEN 'bare fix' ELSE 'fix ' || k.dep_id END AS suggested_fix,
+  w.source = -2 AS stored_sources
+FROM walk w LEFT JOIN keyed k ON k.number = w.source WHERE w.number >= 0""" % BUCKETS.format("key")
+
+
+@query(sql("", "vulnerable").replace("WITH ", "WITH RECURSIVE ", 1) + CACHED)
+def remediate_with_cache(spark, d):
+    """A whole run over the dependencies with a cache: who is asked, and whose answer each one gets."""
+    found = v.vulnerable(spark, d).withColumnRenamed("dep_id", "finding_id").withColumns({"origin": F.lit("cve"), "severity": F.lit(None).cast("string")})
+    chunks = v.table(spark, d, "benchmark").select(
+        F.col("item_id").alias("chunk_id"), F.col("text").alias("content"), F.lit("b").alias("source"), F.lit("guide").alias("doc_type"), embed_hashed(F.col("text")).alias("embedding")
+    )
+
+    def generator(prompts):
+        fix = F.concat(F.lit("fix "), v.text_of("finding_id"))
+        return prompts.select("finding_id", F.to_json(F.struct(fix.alias("suggested_fix"))).alias("answer"))
+
+    first = fd.normalise_finding(found.orderBy("finding_id").limit(1)).select(key_of(F.col("finding_type"), F.col("code")).alias("key"))
+    stored = '{"answer": "{\\"suggested_fix\\": \\"stored fix\\"}", "sources": [{"rank": 1, "source": "old", "doc_type": "guide"}]}'
+    entries = first.select(F.lit(7).cast("bigint").alias("seq"), "key", F.lit(stored).alias("result"))
+    bare = first.select(F.lit(8).cast("bigint").alias("seq"), F.lit("quite another key").alias("key"), F.lit('{"suggested_fix": "bare fix"}').alias("result"))
+    cache = entries.unionByName(bare).withColumn("embedding", embed_hashed(F.col("key")).cast("array<double>"))
+    run = remediate(found, chunks, generator, build_bm25(chunks), cache=cache)
+    return run.attempted.select(
+        "finding_id", "from_cache", "parsed.suggested_fix", F.exists("sources", lambda s: s["source"] == "old").alias("stored_sources")
+    )

@@ -9,6 +9,7 @@ from vulnlake.functions.vectors import cosine, embed_hashed
 from vulnlake.operators import bm25, cache as ca, retrieval as rt, vectors as vc
 from vulnlake.operators.ranking import top_k
 from vulnlake.plans.retrieve import retrieve
+from vulnlake.operators.replay import replay
 from vulnlake.streaming.stream_cache import batch_cache
 
 
@@ -48,7 +49,7 @@ def bm25_score(spark, d):
 
 @query(sql("SELECT query_id, chunk_id, score, rank FROM bm25", "bm25"))
 def bm25_top_k(spark, d):
-    best = bm25.bm25_topk(v.queries(spark, d), bm25.build_bm25(v.chunks(spark, d)))
+    best = bm25.bm25_topk(v.queries(spark, d), v.stored_index(spark, d).bm25)
     return best.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -57,7 +58,7 @@ SELECT query_id, md5(string_agg(content, repeat(chr(10), 2) ORDER BY rank)) AS d
 FROM bm25 JOIN chunks USING (chunk_id) GROUP BY query_id""", "bm25"))
 def assemble_context(spark, d):
     chunks, queries = v.chunks(spark, d), v.queries(spark, d)
-    best = bm25.bm25_topk(queries, bm25.build_bm25(chunks)).join(chunks.select("chunk_id", "content"), "chunk_id")
+    best = bm25.bm25_topk(queries, v.stored_index(spark, d).bm25).join(chunks.select("chunk_id", "content"), "chunk_id")
     context = rt.assemble_context(queries.select("query_id"), best)
     chars = F.length("context") - 2  # two hits, one blank line between them
     return context.select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"), chars.cast("bigint").alias("chars"))
@@ -267,21 +268,80 @@ def cache_append(spark, d):
     return ca.cache_append(cache_of(spark, d), fresh).select("seq", "key", "result")
 
 
+# One by one in the order of the ids, starting with the mean vector of every label as entries.
+REPLAY = """
+WITH RECURSIVE units AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS number, v, sqrt(list_dot_product(v, v)) AS length FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)),
+means AS (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) t(i) GROUP BY ALL) GROUP BY label),
+entries AS (SELECT -row_number() OVER (ORDER BY label DESC) AS n, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM means ORDER BY label DESC LIMIT 100),
+walk AS (
+  SELECT -1::BIGINT AS number, NULL::BIGINT AS vec_id, NULL::BIGINT AS source, (SELECT list({'n': n, 'u': u} ORDER BY n) FROM entries) AS held
+  UNION ALL
+  SELECT number, vec_id, coalesce(hit, number), CASE WHEN hit IS NULL THEN list_append(held, {'n': number, 'u': u})[-100:] ELSE held END
+  FROM (SELECT *, list_filter(held, lambda e: list_dot_product(e.u, u) >= 0.85)[1].n AS hit
+    FROM (SELECT x.number, x.vec_id, w.held, list_transform(x.v, lambda y: y / x.length) AS u FROM walk w JOIN units x ON x.number = w.number + 1)))
+SELECT vec_id, number, source FROM walk WHERE number >= 0"""
+
+
+@query(REPLAY)
+def replay_cache(spark, d):
+    e = v.vectors(spark, d).select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    means = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("embedding"))
+    entries = means.select(F.col("label").cast("bigint").alias("seq"), v.text_of("label").alias("key"), "embedding", v.text_of("label").alias("result"))
+    return replay(e, entries).select(F.col("query_id").alias("vec_id"), "number", "source")
+
+
 @query("SELECT true AS cache_enabled, count(*) AS cache_size, 100 AS max_size, 0.85::DOUBLE AS similarity_threshold FROM embeddings")
 def cache_stats(spark, d):
     return ca.cache_stats(cache_of(spark, d))
 
 
-@query()
+@query("""
+WITH RECURSIVE units AS MATERIALIZED (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u
+  FROM (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)),
+walk AS (
+  SELECT label, 0::BIGINT AS i, NULL::BIGINT AS vec_id, NULL::STRUCT(n BIGINT, s DOUBLE) AS hit, []::STRUCT(n BIGINT, u DOUBLE[])[] AS held FROM units WHERE i = 1
+  UNION ALL
+  SELECT label, i, vec_id, hit, CASE WHEN hit IS NULL THEN list_append(held, {'n': vec_id, 'u': u})[-100:] ELSE held END
+  FROM (SELECT *, list_filter(list_transform(held, lambda e: {'n': e.n, 's': list_dot_product(e.u, u)}), lambda e: e.s >= 0.85)[1] AS hit
+    FROM (SELECT x.label, x.i, x.vec_id, w.held, x.u FROM walk w JOIN units x ON x.label = w.label AND x.i = w.i + 1)))
+SELECT label::VARCHAR AS type, vec_id AS seq, hit IS NOT NULL AS hit, hit.n AS hit_seq, round(hit.s, 6) AS similarity FROM walk WHERE i > 0""")
 def stream_cache_batch(spark, d):
-    """Each hit depends on all earlier misses, which SQL cannot express; tested."""
+    """The vectors of each label one by one, as the stream answers them."""
     e = v.vectors(spark, d).select(v.text_of("label").alias("type"), F.col("vec_id").alias("seq"), "embedding")
-    return batch_cache(e)
+    return batch_cache(e).withColumn("similarity", F.round("similarity", 6))
+
+
+# Whole retrieval: token-count vectors of chunks and queries, four picks of the twelve nearest, keyword rows of other content,
+# and the two best by token overlap.
+WORDS = "list_filter(regexp_split_to_array(lower({0}), '\\\\s+'), lambda t: t <> '')"
+COUNTS = "list_transform(range(0, 64), lambda b: len(list_filter(buckets, lambda x: x = b))::DOUBLE)"
+BUCKETS = "list_transform(" + WORDS + ", lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64)"
+HYBRID_ALL = (
+    f""",
+vectors AS MATERIALIZED (SELECT chunk_id AS vec_id, {COUNTS} AS v FROM (SELECT chunk_id, {BUCKETS.format('content')} AS buckets FROM chunks) WHERE len(buckets) > 0),
+asked AS MATERIALIZED (SELECT query_id, {COUNTS} AS v FROM (SELECT query_id, {BUCKETS.format('text')} AS buckets FROM queries) WHERE len(buckets) > 0),
+nearest AS MATERIALIZED (SELECT query_id, vec_id AS chunk_id, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS score,
+    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM asked a, vectors b QUALIFY rank <= 12),
+p1 AS (SELECT query_id, chunk_id, score FROM nearest WHERE rank = 1),"""
+    + ",".join(_mmr_step(n) for n in (2, 3, 4))
+    + """,
+picks AS ("""
+    + " UNION ALL ".join(f"SELECT query_id, chunk_id, {n} AS rank FROM p{n}" for n in (1, 2, 3, 4))
+    + f"""),
+vec AS (SELECT query_id, chunk_id, content, rank FROM picks JOIN chunks USING (chunk_id)),
+word AS (SELECT b.query_id, b.chunk_id, c.content, b.rank FROM bm25 b JOIN chunks c USING (chunk_id)),
+fresh AS (SELECT * FROM word w WHERE NOT EXISTS (SELECT 1 FROM vec x WHERE x.query_id = w.query_id AND x.content = w.content)
+  AND (SELECT count(*) FROM vec x WHERE x.query_id = w.query_id) < 6 QUALIFY row_number() OVER (PARTITION BY query_id, content ORDER BY rank, chunk_id) = 1),
+t AS (SELECT m.query_id, m.chunk_id, list_distinct({WORDS.format('q.text')}) AS a, list_distinct({WORDS.format('m.content')}) AS b
+  FROM (SELECT * FROM vec UNION ALL SELECT * FROM fresh) m JOIN queries q USING (query_id))
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))), 6) DESC, chunk_id) AS rank
+FROM t QUALIFY rank <= 2"""
+)
 
 
-@query()
+@query(sql("", "bm25") + HYBRID_ALL)
 def hybrid_retrieval(spark, d):
-    """Whole retrieval for the benchmark texts; its steps have their own SQL twins."""
-    chunks = v.chunks(spark, d).withColumn("embedding", embed_hashed(F.col("content")))
-    found = retrieve(v.queries(spark, d), chunks, bm25.build_bm25(chunks), min_docs=6, use_reranking=True)
-    return found.select("query_id", "chunk_id", "rank")
+    """Whole retrieval for the benchmark texts from the stored index."""
+    found = retrieve(v.queries(spark, d), v.stored_index(spark, d), min_docs=6, use_reranking=True)
+    return found.select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"))

@@ -5,13 +5,18 @@ Every view covers its whole base table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vulnlake.functions.text import clean_snippet
+from vulnlake.functions.vectors import embed_hashed
 from vulnlake.operators.corpus import chunk_window
 from vulnlake.operators.dependencies import match_advisories
 from vulnlake.operators.findings import classify, normalise_levels
+from vulnlake.session import shared_dir
+from vulnlake.sources.index import StoredIndex, open_index, write_index
 
 TEST_IDS = ["B105", "B608", "B602", "B301", "B324", "B701", "B201", "X999"]
 
@@ -249,6 +254,20 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.withColumn("chunk_id", F.col("doc_id") * 1000000 + F.col("seq"))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The chunks' index, written at its first use in a session and opened at each."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/vulnlake/stored-index-{uuid.uuid4().hex}"
+        rows = chunks(spark, sf_dir).withColumnRenamed("lang", "doc_type")
+        write_index(rows.withColumn("embedding", embed_hashed(F.col("content"))), path)
+        _STORED[key] = path
+    return open_index(spark, _STORED[key])
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 

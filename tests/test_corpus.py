@@ -46,6 +46,56 @@ def test_splitter_invariants(spark, size, overlap):
         assert all(k in covered for k, c in enumerate(text) if not c.isspace()), "no character lost"
 
 
+def plain_pieces(text, size, overlap, separators=("\n\n", "\n", " ", "")):
+    sep, finer = next((s, separators[i + 1 :]) for i, s in enumerate(separators) if s == "" or s in text)
+    first, *rest = list(text) if sep == "" else text.split(sep)
+    parts = [p for p in [first, *((sep if sep else "") + r for r in rest)] if p]
+    out, window = [], []
+
+    def give():
+        if "".join(window).strip():
+            out.append("".join(window).strip())
+
+    for part in parts:
+        if len(part) >= size and finer:
+            give()
+            window = []
+            out += plain_pieces(part, size, overlap, finer)
+            continue
+        if sum(map(len, window)) + len(part) > size:
+            give()
+            while window and (sum(map(len, window)) > overlap or sum(map(len, window)) + len(part) > size):
+                window = window[1:]
+        window = [*window, part]
+    give()
+    return out
+
+
+@pytest.mark.parametrize("size,overlap", [(40, 10), (100, 0), (25, 24), (7, 3)])
+def test_splitter_equals_a_plain_version(spark, size, overlap):
+    rng = random.Random(size + 1)
+    texts = [random_text(rng)[:1500] for _ in range(30)] + ["a" * size, "a" * (size + 1), " " * 90, "\n\n x \n\n" * 30, "b" * 333, "ab cd " * 200, "x" * 50 + " y\n" + "z" * 60]
+    got = {}
+    for r in cp.chunk_recursive(docs(spark, *texts), size, overlap).orderBy("id", "seq").collect():
+        got.setdefault(r.id, []).append(r.content)
+    for i, text in enumerate(texts):
+        assert got.get(i, []) == plain_pieces(text, size, overlap), repr(text[:60])
+
+
+def test_long_documents_take_linear_time(spark):
+    """Headings, sections and blocks of many lines in one row."""
+    import time
+
+    text = "\n".join(f"# h{i}" if i % 50 == 0 else f"def f{i}():" if i % 7 == 0 else f"    line {i}" for i in range(60_000))
+    df = spark.createDataFrame([("g", text)], "source string, text string")
+    began = time.time()
+    assert cp.sections(df).count() == 1200 and cp.header_path(df).where("h1 = 'h59950'").count() == 50
+    from vulnlake.operators.locating import block_extent
+
+    assert block_extent(df, "source", "text").count() == sum(i % 7 == 0 and i % 50 > 0 for i in range(60_000))
+    assert time.time() - began < 120
+
+
 def test_splitter_leaves_short_text(spark):
     rows = cp.chunk_recursive(docs(spark, "short text", None)).collect()
     assert [(r.id, r.seq, r.content) for r in rows] == [(0, 1, "short text")]
@@ -131,7 +181,7 @@ def test_ingest_and_index(spark, corpus_dir, tmp_path):
     path = str(tmp_path / "index")
     assert index.load_index(spark, path) == (None, None)
     index.write_index(chunks, path)
-    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+    with pytest.raises(FileExistsError, match="ALREADY_EXISTS"):
         index.write_index(chunks, path)
     index.write_index(chunks, path, rebuild=True)
     stored, bm25 = index.load_index(spark, path)

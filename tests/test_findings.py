@@ -209,3 +209,29 @@ def test_source_files(spark, tmp_path):
     files, failed = sf.read_source_files(spark, str(tmp_path))
     assert [(r.path.rsplit("/", 1)[1], r.error) for r in failed.collect()] == [("latin.py", "not UTF-8")]
     assert files.where("path like '%crlf.py'").first().content == "one\ntwo\n"
+
+
+def test_ranges_over_many_versions_equal_brute_force(spark, monkeypatch):
+    """Many versions (equal ones written in several ways) and ranges of one package, cut into short stretches."""
+    import random
+
+    from vulnlake.operators import dependencies as dp
+
+    monkeypatch.setattr(dp, "STRETCH", 3)
+    rng = random.Random(4)
+    version = lambda: (rng.randint(0, 4), rng.randint(0, 3))
+    written = lambda v: rng.choice([f"{v[0]}.{v[1]}", f"{v[0]}.{v[1]}.0", f"v{v[0]}.{v[1]}"])
+    pins = [(i, rng.choice(["Hot_Pkg", "hot.pkg", "hot-pkg", "other"]), version()) for i in range(150)]
+    ranges = [(f"V{i}", rng.choice(["hot-pkg", "other", "third"]), *(rng.choice([None, version()]) for _ in range(3))) for i in range(80)]
+    deps = spark.createDataFrame([(i, p, written(v)) for i, p, v in pins] + [(900, "hot-pkg", "nonsense"), (901, None, "1.0"), (902, "hot-pkg", None)], "dep_id int, package string, version string")
+    text = lambda v: None if v is None else written(v)
+    rows = [(i, "PyPI", p, text(lo), text(hi), text(last)) for i, p, lo, hi, last in ranges] + [("VX", "npm", "other", None, None, None)]
+    table = spark.createDataFrame(rows, "vuln_id string, ecosystem string, package string, introduced string, fixed string, last_affected string")
+    got = {r.dep_id: r.cves for r in dp.match_advisories(deps, table).collect()}
+    want = {}
+    for i, p, v in pins:
+        name = "other" if p == "other" else "hot-pkg"
+        ids = sorted(k for k, q, lo, hi, last in ranges if q == name and (lo is None or v >= lo) and (hi is None or v < hi) and (last is None or v <= last))
+        if ids:
+            want[i] = ids
+    assert got == want and len(want) > 100

@@ -97,13 +97,13 @@ def suffix_of(path: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def decode_text(raw: pd.Series) -> pd.Series:
-    """Bytes to text with the first encoding that fits (see ENCODINGS)."""
+def _decode_other(raw: pd.Series) -> pd.Series:
+    """Bytes that are not UTF-8 to text, with the first other encoding that fits."""
 
     def decode(blob: bytes | None) -> str | None:
         if blob is None:
             return None
-        for name in ENCODINGS:
+        for name in ENCODINGS[1:]:
             try:
                 return bytes(blob).decode(name)
             except UnicodeError:
@@ -113,6 +113,17 @@ def decode_text(raw: pd.Series) -> pd.Series:
     return raw.map(decode)
 
 
+def decode_text(raw: Column | str) -> Column:
+    """Bytes to text with the first encoding that fits (see ENCODINGS).
+
+    UTF-8 is told and read natively; only other bytes pass through Python.
+    """
+    raw = F.col(raw) if isinstance(raw, str) else raw
+    text = raw.cast("string")
+    utf8 = F.is_valid_utf8(text)
+    return F.when(utf8, F.regexp_replace(text, "^\ufeff", "")).otherwise(_decode_other(F.when(~utf8, raw)))
+
+
 # Requirement specs (P8/P9): name, optional extras, specifier list, optional marker.
 _NAME = r"[A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?"
 _VERSION = r"[^\s,;()<>=!~]+"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.domain import BM25_B, BM25_EPSILON, BM25_K1, BM25_TOP_K
 from vulnlake.functions.text import tokens
+from vulnlake.operators.postings import counted_terms, scored_by_blocks
 from vulnlake.operators.ranking import number_rows, top_k
 from vulnlake.session import stage
 
@@ -28,34 +29,16 @@ class Index:
     ``postings(term, chunk_id, tf, length, gain)``: one row per term of a chunk; ``gain``
     is the saturated term frequency, so ``idf * gain`` is what one query occurrence adds.
     ``terms(term, df, idf, top_gain)``; ``doc_stats(chunk_id, length)``;
-    ``corpus_stats(n, avgdl, avg_idf)``, one row.
+    ``corpus_stats(n, avgdl, avg_idf)``, one row. A stored index has ``blocks`` and ``forward``
+    (see ``postings``) too, and ``bm25_topk`` reads these.
     """
 
     postings: DataFrame
     terms: DataFrame
     doc_stats: DataFrame
     corpus_stats: DataFrame
-
-
-def _term_counts(words: DataFrame) -> DataFrame:
-    """``chunk_id, length, term, tf`` from a token array per chunk.
-
-    The tokens are sorted and cut into runs inside the row, so counting does not shuffle
-    the corpus token by token.
-    """
-    ordered = words.select("chunk_id", F.sort_array("_words").alias("_s"))
-    places = F.when(F.size("_s") > 0, F.sequence(F.lit(0), F.size("_s") - 1))
-    runs = ordered.withColumn(
-        "_starts", F.filter(places, lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
-    )
-    counted = F.transform(
-        "_starts",
-        lambda at, j: F.struct(
-            F.get("_s", at).alias("term"),
-            (F.coalesce(F.get("_starts", j + 1), F.size("_s")) - at).cast("bigint").alias("tf"),
-        ),
-    )
-    return runs.select("chunk_id", F.size("_s").alias("length"), F.inline(counted))
+    blocks: DataFrame | None = None
+    forward: DataFrame | None = None
 
 
 def build_bm25(
@@ -71,7 +54,7 @@ def build_bm25(
         F.col(chunk_id).alias("chunk_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_words")
     )
     doc_stats = words.select("chunk_id", F.size("_words").alias("length"))
-    counted = _term_counts(words)
+    counted = counted_terms(words).select("chunk_id", "length", F.inline("terms"))
     sizes = chunks.agg(F.count("*").alias("n"))
     if durable:
         counted = stage(counted, "bm25-postings")
@@ -163,6 +146,9 @@ def bm25_topk(
     3. of those chunks, the ones whose partial score plus the best case of the left-out
        terms reaches the limit get their full score.
 
+    Over a stored index whole blocks of postings are left out by their best possible gain, and
+    full scores come from the chunks' own rows.
+
     ``pad_zero`` fills up with zero-score chunks, smallest id first, when a query has
     fewer than ``k`` scoring chunks.
     """
@@ -177,6 +163,10 @@ def bm25_topk(
         .withColumn("below", F.sum("best").over(by_best)),
         "bm25-query-terms",
     )
+    if index.blocks is not None:
+        avgdl = index.corpus_stats.select("avgdl").scalar()
+        scored = scored_by_blocks(weighted, index.blocks, index.forward, avgdl, k, seed_postings, light_share, _SLACK)
+        return _best(queries, scored, index, k, pad_zero)
     terms = weighted.select("query_id", "term", "weight")
     rarest = weighted.where((F.col("nth") == 1) | (F.col("reach") <= seed_postings))
     seeds = (
@@ -226,6 +216,10 @@ def bm25_topk(
     )
     parts = partial.unionByName(rest)
     scored = parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    return _best(queries, scored, index, k, pad_zero)
+
+
+def _best(queries: DataFrame, scored: DataFrame, index: Index, k: int, pad_zero: bool) -> DataFrame:
     if pad_zero:
         scored = stage(scored, "bm25-scored")
         scored = scored.unionByName(_zero_padding(queries, scored, index, k))

@@ -57,16 +57,27 @@ def cache_lookup(
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    values = [(int(e["seq"]), e["key"], e["result"]) for e in entries]
+    seqs = np.array([int(e["seq"]) for e in entries])
+    names, results = (np.array([e[c] for e in entries] or [None], dtype=object) for c in ("key", "result"))
 
     def first_hit(vectors: pd.Series) -> pd.DataFrame:
-        rows = []
-        for v in vectors:
-            unit = None if v is None else _unit(v)
-            alike = stored @ unit if unit is not None and len(stored) else np.array([])
-            reached = np.flatnonzero(alike >= threshold)
-            rows.append((*values[reached[0]], float(alike[reached[0]])) if len(reached) else (None,) * 4)
-        return pd.DataFrame(rows, columns=schema.names).astype({"hit_seq": "Int64", "similarity": "float64"})
+        """One matrix product per batch; the first entry that reaches the threshold is an argmax."""
+        hit, first, alike = np.zeros(len(vectors), bool), np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+        units = [None if v is None else _unit(v) for v in vectors]
+        rows = np.flatnonzero([u is not None for u in units])
+        if len(rows) and len(stored):
+            cosines = np.stack([units[i] for i in rows]) @ stored.T
+            reached = cosines >= threshold
+            first[rows], hit[rows] = reached.argmax(axis=1), reached.any(axis=1)
+            alike[rows] = cosines[np.arange(len(rows)), first[rows]]
+        return pd.DataFrame(
+            {
+                "hit_seq": pd.Series(seqs[first] if len(seqs) else 0, range(len(vectors)), dtype="int64").astype("Int64").where(hit),
+                "hit_key": np.where(hit, names[first], None),
+                "result": np.where(hit, results[first], None),
+                "similarity": np.where(hit, alike, np.nan),
+            }
+        )
 
     looked = keys.withColumn("_hit", F.pandas_udf(first_hit, schema)(F.col(vector)))
     found = F.col("_hit.hit_seq").isNotNull()

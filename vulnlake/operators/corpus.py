@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.domain import CHUNK_OVERLAP, CHUNK_SIZE
+from vulnlake.functions.folds import bound, runs
 from vulnlake.functions.text import is_blank, lines_of, strip
 
 # --- Fixed values: separators of the recursive splitter, coarsest first ------
@@ -78,78 +79,78 @@ def render_advisory(df: DataFrame) -> DataFrame:
     return df.withColumn("content", content)
 
 
-def _heads(documents: DataFrame, text: str) -> DataFrame:
-    """Line array and the numbers of its heading lines (headings in code fences excluded)."""
-    lined = documents.withColumn("_lines", lines_of(F.col(text))).withColumn(
-        "_numbers", F.sequence(F.lit(1), F.size("_lines"))
-    )
+def _headed(lines: Column) -> Column:
+    """Lines with their heading level (0: none) and title; what stands in a code fence is no heading.
 
-    def at(i: Column) -> Column:
-        return F.element_at("_lines", i)
+    The lines are cut into runs at the fences, and every other run is inside.
+    """
 
-    fenced = lined.withColumn(
-        "_fences", F.filter("_numbers", lambda i: at(i).rlike(r"^\s*(```|~~~)"))
-    )
-    outside = lambda i: F.size(F.filter("_fences", lambda f: f < i)) % 2 == 0
-    heads = fenced.withColumn(
-        "_heads", F.filter("_numbers", lambda i: at(i).rlike(r"^#{1,3} ") & outside(i))
-    )
-    level = lambda marks: F.filter("_heads", lambda i: at(i).rlike(rf"^{marks} "))
-    return heads.withColumns({"_l1": level("#"), "_l2": level("##"), "_l3": level("###")})
+    def marked(line: Column) -> Column:
+        level = F.length(F.regexp_extract(line, r"^(#{1,3}) ", 1))
+        title = F.when(level > 0, strip(F.regexp_replace(line, r"^#{1,3} ", "")))
+        return F.struct(line.alias("line"), level.alias("level"), title.alias("title"), line.rlike(r"^\s*(```|~~~)").alias("fence"))
 
+    def placed(rows: Column) -> Column:
+        fences = F.when(rows[0]["fence"], 1).otherwise(0)  # before the second line
 
-def _path_at(line: Column) -> list[Column]:
-    """Line numbers of the h1/h2/h3 in force at ``line``; a higher level resets deeper ones."""
-    none = F.lit(0)
-    last = lambda heads, above: F.coalesce(
-        F.array_max(F.filter(heads, lambda h: (h <= line) & (h > above))), none
-    )
-    h1 = last("_l1", none)
-    h2 = last("_l2", h1)
-    h3 = last("_l3", F.greatest(h1, h2))
-    return [h1, h2, h3]
+        def outside(run: Column, k: Column) -> Column:
+            level = lambda r: F.when((k + fences) % 2 == 0, r["level"]).otherwise(0)
+            return F.transform(run, lambda r: F.struct(r["line"].alias("line"), level(r).alias("level"), r["title"].alias("title")))
+
+        return F.flatten(F.transform(runs(rows, lambda r: r["fence"]), outside))
+
+    return bound(F.transform(lines, marked), placed)
+
+
+def _sections(text: Column) -> Column:
+    """Sections of a text: ``start`` (line number), ``h1, h2, h3`` in force, and their ``lines``.
 
+    A section begins at each heading. Sections are gathered under their first-level heading, and
+    these runs again under the second level, so that every heading finds those above it at the head of
+    its runs: the work follows the lines and headings, not their product.
+    """
+
+    def title(row: Column, level: int) -> Column:
+        return F.when(row["level"] == level, row["title"])
+
+    def numbered(rows: Column) -> Column:
+        return F.transform(rows, lambda r, i: F.struct((i + 1).alias("no"), r["line"].alias("line"), r["level"].alias("level"), r["title"].alias("title")))
+
+    def under_first(run: Column) -> Column:
+        def under_second(inner: Column) -> Column:
+            def section(lines: Column) -> Column:
+                first = lines[0]
+                return F.struct(
+                    first["no"].alias("start"), title(run[0][0], 1).alias("h1"), title(inner[0][0], 2).alias("h2"), title(first, 3).alias("h3"),
+                    F.transform(lines, lambda r: r["line"]).alias("lines"),
+                )
+
+            return F.transform(inner, section)
 
-def _heading(number: Column) -> Column:
-    text = F.when(number > 0, F.element_at("_lines", F.greatest(number, F.lit(1))))
-    return strip(F.regexp_replace(text, r"^#{1,3} ", ""))
+        return F.flatten(F.transform(runs(run, lambda s: s[0]["level"].isin(1, 2)), under_second))
+
+    parts = bound(bound(_headed(lines_of(text)), numbered), lambda rows: runs(rows, lambda r: r["level"] > 0))
+    return F.flatten(F.transform(bound(parts, lambda p: runs(p, lambda s: s[0]["level"] == 1)), under_first))
 
 
 def header_path(documents: DataFrame, key: str = "source", text: str = "text") -> DataFrame:
     """Every line with the headings it stands under.
 
-    Works inside the row that holds the document, so nothing is shuffled.
+    Works inside the row that holds the document, so nothing is shuffled, and a line's row
+    carries its own headings only.
     """
-    lines = _heads(documents, text).select(
-        key, "_lines", "_l1", "_l2", "_l3", F.posexplode("_lines").alias("_pos", "line")
-    )
-    number = F.col("_pos") + 1
-    h1, h2, h3 = _path_at(number)
-    return lines.select(
-        key, number.alias("line_no"), "line",
-        _heading(h1).alias("h1"), _heading(h2).alias("h2"), _heading(h3).alias("h3"),
-    )
+    found = documents.select(key, F.explode(_sections(F.col(text))).alias("_s"))
+    # a section's lines are a column of their own, which its exploded rows then do not carry
+    found = found.select(key, "_s.start", "_s.h1", "_s.h2", "_s.h3", F.col("_s.lines").alias("_lines"))
+    lines = found.select(key, "start", "h1", "h2", "h3", F.posexplode("_lines").alias("_pos", "line"))
+    return lines.select(key, (F.col("start") + F.col("_pos")).alias("line_no"), "line", "h1", "h2", "h3")
 
 
 def sections(documents: DataFrame, key: str = "source", text: str = "text") -> DataFrame:
     """One row per heading section, its heading line kept -> ``seq, h1..h3, content``."""
-    heads = _heads(documents, text)
-    first_is_head = F.get("_heads", F.lit(0)) == 1
-    heads = heads.withColumn(
-        "_starts",
-        F.when(first_is_head, F.col("_heads")).otherwise(F.concat(F.array(F.lit(1)), "_heads")),
-    )
-    end = lambda j: F.coalesce(F.get("_starts", j + 1), F.size("_lines") + 1)
-    spans = F.transform("_starts", lambda s, j: F.struct(s.alias("start"), (end(j) - s).alias("n")))
-    cut = heads.withColumn("_span", F.explode(spans))
-    start = F.col("_span.start")
-    h1, h2, h3 = _path_at(start)
-    return cut.select(
-        key,
-        start.alias("seq"),
-        _heading(h1).alias("h1"), _heading(h2).alias("h2"), _heading(h3).alias("h3"),
-        F.array_join(F.slice("_lines", start, F.col("_span.n")), "\n").alias("content"),
-    ).where(~is_blank(F.col("content")))
+    found = documents.select(key, F.explode(_sections(F.col(text))).alias("_s"))
+    cut = found.select(key, F.col("_s.start").alias("seq"), "_s.h1", "_s.h2", "_s.h3", F.array_join("_s.lines", "\n").alias("content"))
+    return cut.where(~is_blank(F.col("content")))
 
 
 def needs_splitting(documents: DataFrame, flag: str = "pre_chunked") -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.functions.text import any_lines_of, parse_requirement, pick_version, strip
 from vulnlake.functions.versions import package_key, version_key
+from vulnlake.operators.ranking import number_rows
 
+STRETCH = 64  # versions of a package that a range meets together
 
 def parse_requirements(
     files: DataFrame, file: str = "file", text: str = "content"
@@ -85,9 +87,13 @@ def match_advisories(deps: DataFrame, ranges: DataFrame, ecosystem: str = "PyPI"
     """J1 + F8: dependencies with at least one advisory, plus ``cves array<string>``.
 
     The range test runs once per distinct (package, version): a package that a third
-    of all manifests pin shrinks to its few versions before the join. The join is an
-    equi-join on the package with the version bounds as residual condition; the result
+    of all manifests pin shrinks to its few versions before the join, and the result
     goes back to the dependency rows by (package, version).
+
+    A package's versions are put in order and cut into stretches of ``STRETCH``. A range becomes one
+    row for each stretch that it reaches, and meets the versions of that stretch alone: all
+    but its first and last stretch lie wholly inside, so the pairs looked at are not many more
+    than the pins, the ranges and the matches, however many versions and ranges a package has.
     """
     keyed, _ = range_keys(ranges.where(F.lower("ecosystem") == ecosystem.lower()))
     bounds = keyed.select(
@@ -102,16 +108,31 @@ def match_advisories(deps: DataFrame, ranges: DataFrame, ecosystem: str = "PyPI"
         .withColumn("_key", version_key(F.col("_ver")))
         .where(F.col("_key").isNotNull())
     )
+    ordered = number_rows(pins, ["_pkg"], [F.col("_key"), F.col("_ver")], "_nth", "pins")
+    ordered = ordered.withColumn("_stretch", F.floor((F.col("_nth") - 1) / STRETCH).cast("int"))
+    firsts = ordered.groupBy("_pkg", "_stretch").agg(F.min("_key").alias("_first"))
+    firsts = firsts.groupBy("_pkg").agg(F.sort_array(F.collect_list(F.struct("_stretch", "_first"))).alias("_s"))
+    firsts = firsts.select("_pkg", F.transform("_s", lambda x: x["_first"]).alias("_firsts"))
+
+    def before(bound: str, inclusive: bool) -> Column:
+        """Number of stretches that begin before a bound; null without one."""
+        reached = F.filter("_firsts", lambda f: (f <= F.col(bound)) if inclusive else (f < F.col(bound)))
+        return F.when(F.col(bound).isNotNull(), F.size(reached))
+
+    # equal versions may stand on both sides of a cut, so a range begins at the stretch before its bound
+    low = F.greatest(F.coalesce(before("_lo", False) - 1, F.lit(0)), F.lit(0))
+    high = F.least(F.size("_firsts"), before("_hi", False), before("_last", True)) - 1
+    reach = bounds.join(firsts, "_pkg").withColumns({"_from": low, "_to": high}).where("_to >= _from")
+    reach = reach.select("_pkg", "vuln_id", "_lo", "_hi", "_last", F.explode(F.sequence("_from", "_to")).alias("_stretch"))
     inside = (
-        (F.col("p._pkg") == F.col("r._pkg"))
-        & (F.col("_lo").isNull() | (F.col("_key") >= F.col("_lo")))
+        (F.col("_lo").isNull() | (F.col("_key") >= F.col("_lo")))
         & (F.col("_hi").isNull() | (F.col("_key") < F.col("_hi")))
         & (F.col("_last").isNull() | (F.col("_key") <= F.col("_last")))
     )
     hits = (
-        pins.alias("p")
-        .join(bounds.alias("r"), inside)
-        .groupBy("p._pkg", "_ver")
+        ordered.join(reach, ["_pkg", "_stretch"])
+        .where(inside)
+        .groupBy("_pkg", "_ver")
         .agg(F.array_sort(F.collect_set("vuln_id")).alias("cves"))
     )
     return (

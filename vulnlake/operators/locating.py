@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.domain import FUZZY_THRESHOLD, SEARCH_RADIUS
+from vulnlake.functions.folds import appended, empty_list, whole_list
 from vulnlake.functions.similarity import ratio_bound, sequence_ratio_above
 from vulnlake.functions.text import indent_of, is_blank, lines_of, lstrip, strip
 from vulnlake.operators.ranking import number_rows, top_k
@@ -50,36 +51,42 @@ def block_extent(files: DataFrame, key: str = "path", text: str = "content") ->
     """First and last line of every ``def``/``class`` block -> ``start, end``.
 
     A block ends before the next non-blank line indented no deeper than its head;
-    trailing blank lines do not belong to it. Computed in the row of the file.
+    trailing blank lines do not belong to it. One pass over the lines in the row of the file:
+    the open heads stand on a stack, each indented deeper than the one below it, and a line
+    closes those that it is not indented deeper than.
     """
-    numbered = files.select(
-        key,
-        F.filter(
-            F.transform(
-                source_lines(F.col(text)),
-                lambda line, i: F.struct(
-                    (i + 1).alias("no"),
-                    indent_of(line).alias("indent"),
-                    is_blank(line).alias("blank"),
-                    lstrip(line).rlike("^(def|class) ").alias("head"),
-                ),
+    code = F.filter(
+        F.transform(
+            source_lines(F.col(text)),
+            lambda line, i: F.struct(
+                (i + 1).alias("no"),
+                indent_of(line).alias("indent"),
+                is_blank(line).alias("blank"),
+                lstrip(line).rlike("^(def|class) ").alias("head"),
             ),
-            lambda r: ~r["blank"],
-        ).alias("_code"),
-    )
-    heads = numbered.select(
-        key, "_code", F.explode(F.filter("_code", lambda r: r["head"])).alias("_head")
+        ),
+        lambda r: ~r["blank"],
     )
-    no, indent = F.col("_head.no"), F.col("_head.indent")
-    after = F.array_min(
-        F.transform(
-            F.filter("_code", lambda r: (r["no"] > no) & (r["indent"] <= indent)), lambda r: r["no"]
+
+    def closed(heads: Column, last: Column) -> Column:
+        return F.transform(heads, lambda h: F.struct(h["no"].alias("start"), last.alias("end")))
+
+    def step(state: Column, r: Column) -> Column:
+        ended = F.filter(state["open"], lambda h: h["indent"] >= r["indent"])
+        left = F.filter(state["open"], lambda h: h["indent"] < r["indent"])
+        own = F.array(F.struct(r["no"].alias("no"), r["indent"].alias("indent")))
+        stays = F.size(state["open"]) == F.size(left)
+        block, blocks = appended(state, closed(ended, state["last"]))
+        return F.struct(
+            F.when(r["head"], F.concat(left, own)).otherwise(left).alias("open"),
+            r["no"].alias("last"),
+            F.when(stays, state["block"]).otherwise(block).alias("block"),
+            F.when(stays, state["blocks"]).otherwise(blocks).alias("blocks"),
         )
-    )
-    inner = F.filter("_code", lambda r: (r["no"] >= no) & (F.col("_after").isNull() | (r["no"] < F.col("_after"))))
-    return heads.withColumn("_after", after).select(
-        key, no.alias("start"), F.array_max(F.transform(inner, lambda r: r["no"])).alias("end")
-    )
+
+    start = F.struct(F.array().cast("array<struct<no:int,indent:int>>").alias("open"), F.lit(0).alias("last"), *empty_list("struct<start:int,end:int>"))
+    found = F.aggregate(code, start, step, lambda s: F.concat(whole_list(s), closed(s["open"], s["last"])))
+    return files.select(key, F.explode(found).alias("_b")).select(key, "_b.start", "_b.end")
 
 
 def normalise_code(code: Column) -> Column:
@@ -143,10 +150,26 @@ def _candidates(fixes: DataFrame, files: DataFrame, radius: int) -> DataFrame:
     return regions.select("fix_id", "path", "line", "snippet", F.col("_n").alias("n_lines"), windows.alias("windows"))
 
 
-def _exact(candidates: DataFrame) -> DataFrame:
-    wanted = normalise_code(F.col("snippet"))
-    same = F.filter("windows", lambda w: (F.col("_wanted") != "") & (normalise_code(w["text"]) == F.col("_wanted")))
-    return candidates.withColumn("_wanted", wanted).withColumn("start", F.get(same, F.lit(0))["start"])
+def _hashes(text: Column) -> list[Column]:
+    """Two independent 64-bit hashes: equal for equal texts, and for no others in practice (128 bits)."""
+    return [F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit("window"), text).alias("_h2")]
+
+
+def _window_hashes(files: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
+    """``path, _n, _start, _h1, _h2`` of every window of the line counts that a file's fixes need.
+
+    Texts stay where they are read: a window leaves the row of its file as two hashes.
+    """
+    lined = files.join(sizes, "path").select("path", "_sizes", source_lines(F.col("content")).alias("_lines"))
+    lined = lined.select("path", "_lines", F.explode("_sizes").alias("_n")).where(F.size("_lines") >= F.col("_n"))
+    starts = F.sequence(F.lit(1), F.size("_lines") - F.col("_n") + 1)
+
+    def hashed(at: Column) -> Column:
+        window = normalise_code(F.array_join(F.slice("_lines", at, F.col("_n")), "\n"))
+        return F.struct(at.alias("_start"), *_hashes(window))
+
+    found = lined.select("path", "_n", F.explode(F.transform(starts, hashed)).alias("_w"))
+    return found.select("path", "_n", "_w.*").withColumn("_stretch", F.floor(F.col("_start") / width))
 
 
 def locate_exact(fixes: DataFrame, files: DataFrame, radius: int = SEARCH_RADIUS) -> DataFrame:
@@ -154,12 +177,24 @@ def locate_exact(fixes: DataFrame, files: DataFrame, radius: int = SEARCH_RADIUS
 
     Reads ``fix_id, path, line, snippet`` and ``path, content``; one row per located fix
     with ``start, n_lines``.
+
+    Fixes and windows meet by hashes of their comparison form, so no text travels. The key holds
+    the stretch of lines too (as wide as a search range, which meets two at most): lines that
+    repeat through a long file, and fixes that look for them, meet only those nearby.
     """
-    return (
-        _exact(_candidates(fixes, files, radius))
-        .where(F.col("start").isNotNull())
-        .select("fix_id", "path", "line", "start", "n_lines")
-    )
+    width = 2 * radius + 1
+    wanted = normalise_code(F.col("snippet"))
+    asked = fixes.where(wanted != "").select(
+        "fix_id", "path", "line", F.size(lines_of(F.col("snippet"))).alias("_n"),
+        F.coalesce(F.col("line"), F.lit(1)).alias("_at"), *_hashes(wanted),
+    ).where(F.col("_at") + radius >= 1)
+    sizes = asked.groupBy("path").agg(F.collect_set("_n").alias("_sizes"))
+    stretches = F.array_distinct(F.array(*[F.floor(F.greatest(F.col("_at") + r, F.lit(1)) / width) for r in (-radius, radius)]))
+    spread = asked.withColumn("_stretch", F.explode(stretches))
+    met = spread.join(_window_hashes(files, sizes, width), ["path", "_n", "_h1", "_h2", "_stretch"])
+    near = met.where(F.abs(F.col("_start") - F.col("_at")) <= radius)
+    found = near.groupBy("fix_id").agg(F.min("_start").alias("start"), *[F.first(c).alias(c) for c in ("path", "line", "_n")])
+    return found.select("fix_id", "path", "line", "start", F.col("_n").alias("n_lines"))
 
 
 def locate_fuzzy(
@@ -178,7 +213,7 @@ def locate_fuzzy(
     """
     if similarity is None:
         similarity = sequence_ratio_above(threshold)
-    missed = _exact(_candidates(fixes, files, radius)).where(F.col("start").isNull())
+    missed = _candidates(fixes.join(locate_exact(fixes, files, radius).select("fix_id"), "fix_id", "left_anti"), files, radius)
     pairs = missed.select(
         "fix_id", "path", "line", "n_lines",
         strip(F.col("snippet")).alias("_a"), F.explode("windows").alias("_w"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from vulnlake.operators.ranking import top_k
 from vulnlake.session import stage
 
 _SLACK = 1e-5
-MAX_PIVOTS = 256
+PIVOT_SHARE = 4  # the root of the rows over this is the number of pivots
 BLOCK_ROWS = 1024
 SHARD_BLOCKS = 64
 
@@ -46,51 +47,162 @@ def _round6(x: np.ndarray) -> np.ndarray:
     return np.floor(x * 1e6 + 0.5) / 1e6
 
 
-def _per_cluster(values: dict[int, int]) -> Column:
-    """The value of the row's cluster; ``values`` has at most one entry per pivot."""
-    pairs = [F.lit(x) for pair in values.items() for x in pair]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("cluster")), F.lit(1)) if pairs else F.lit(1)
+@dataclass(frozen=True)
+class Pivots:
+    """Two levels of directions: groups, and the pivots (clusters) of each group.
+
+    Their number grows with the root of the rows, so this is what the driver holds. ``low`` and
+    ``high`` are the angles between a direction and the rows below it.
+    """
+
+    units: np.ndarray
+    group: np.ndarray
+    size: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    group_units: np.ndarray
+    group_low: np.ndarray
+    group_high: np.ndarray
+
+    @property
+    def members(self) -> list[np.ndarray]:
+        """Clusters with rows, by group."""
+        return [np.flatnonzero((self.group == g) & (self.size > 0)) for g in range(len(self.group_units))]
+
+
+@dataclass(frozen=True)
+class VectorIndex:
+    """``blocks(cluster, shard, ids, units)`` and the pivots they belong to."""
+
+    blocks: DataFrame
+    pivots: Pivots
+
+
+def _grouped(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group of each pivot, and the groups' directions: about the root of their number, each with a pivot."""
+    heads = units[: max(1, int(np.sqrt(len(units))))]
+    group = (units @ heads.T).argmax(axis=1)
+    used, group = np.unique(group, return_inverse=True)
+    return group.ravel(), heads[used]
+
+
+def _placed(units: DataFrame, pivot_units: np.ndarray, group: np.ndarray, group_units: np.ndarray) -> DataFrame:
+    """Rows with their cluster (nearest pivot of the nearest group) and both angles."""
+    members = [np.flatnonzero(group == g) for g in range(len(group_units))]
+
+    @F.pandas_udf("cluster int, angle double, group_angle double")
+    def assign(blobs: pd.Series) -> pd.DataFrame:
+        cluster = np.zeros(len(blobs), np.int64)
+        angle, group_angle = np.zeros(len(blobs)), np.zeros(len(blobs))
+        if len(blobs):
+            x = _matrix(blobs.tolist())
+            angles = _angles(x, group_units)
+            near = angles.argmin(axis=1)
+            group_angle = angles.min(axis=1)
+            for g in np.unique(near):
+                rows = np.flatnonzero(near == g)
+                inner = _angles(x[rows], pivot_units[members[g]])
+                cluster[rows], angle[rows] = members[g][inner.argmin(axis=1)], inner.min(axis=1)
+        return pd.DataFrame({"cluster": cluster.astype("int32"), "angle": angle, "group_angle": group_angle})
+
+    return units.withColumn("_at", assign("unit")).select("id", "unit", "_at.cluster", "_at.angle", "_at.group_angle")
+
+
+def _shape(placed: DataFrame, pivot_units: np.ndarray, group: np.ndarray, group_units: np.ndarray) -> Pivots:
+    """Sizes and angle ranges: one row per pivot comes to the driver."""
+    size = np.zeros(len(pivot_units), np.int64)
+    low, high = np.zeros(len(pivot_units)), np.zeros(len(pivot_units))
+    group_low, group_high = np.full(len(group_units), np.inf), np.zeros(len(group_units))
+    seen = placed.groupBy("cluster").agg(
+        F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.min("group_angle").alias("glo"), F.max("group_angle").alias("ghi")
+    )
+    for r in seen.collect():
+        c, g = r["cluster"], group[r["cluster"]]
+        size[c], low[c], high[c] = r["n"], r["lo"], r["hi"]
+        group_low[g], group_high[g] = min(group_low[g], r["glo"]), max(group_high[g], r["ghi"])
+    return Pivots(pivot_units, group, size, low, high, group_units, group_low, group_high)
 
 
-def _blocks(rows: DataFrame, sizes: dict[int, int], block_rows: int) -> DataFrame:
+def _counted_by(cluster: str, counts: np.ndarray) -> Column:
+    """A number of the row's cluster, looked up in an array of one number per pivot."""
+
+    @F.pandas_udf("int")
+    def look(clusters: pd.Series) -> pd.Series:
+        return pd.Series(counts[clusters.to_numpy()].astype("int32"))
+
+    return look(F.col(cluster))
+
+
+def _blocks(rows: DataFrame, sizes: np.ndarray, block_rows: int) -> DataFrame:
     """Rows packed per cluster into hash blocks of about ``block_rows`` rows each, so a
     cluster of any size becomes many bounded blocks."""
-    n_blocks = _per_cluster({c: -(-n // block_rows) for c, n in sizes.items()})
+    n_blocks = _counted_by("cluster", np.maximum(1, -(-sizes // block_rows)))
     block = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
     return rows.groupBy("cluster", block.alias("block")).agg(
         F.collect_list("id").alias("ids"), F.collect_list("unit").alias("units")
     )
 
 
-def _search(
-    routes: DataFrame, chunk_blocks: DataFrame, shards: dict[int, int], k: int, block_rows: int
-) -> DataFrame:
+def unit_rows(chunks: DataFrame, chunk_id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """``id, unit`` of the rows with a vector of some length."""
+    units = chunks.select(F.col(chunk_id).alias("id"), _unit_bytes(F.col(vector)).alias("unit"))
+    return units.where(F.col("unit").isNotNull())
+
+
+def vector_blocks(units: DataFrame, pivots: Pivots, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, Pivots]:
+    """Blocks of ``units`` under given pivots, and the pivots with the sizes and ranges of these rows."""
+    placed = stage(_placed(units, pivots.units, pivots.group, pivots.group_units), "vector-places")
+    shape = _shape(placed, pivots.units, pivots.group, pivots.group_units)
+    blocks = _blocks(placed.select("id", "unit", "cluster"), shape.size, block_rows)
+    shard = F.floor(F.col("block") / SHARD_BLOCKS).cast("int")
+    return blocks.select("cluster", shard.alias("shard"), "ids", "units"), shape
+
+
+def choose_pivots(units: DataFrame) -> Pivots | None:
+    """Pivots for a table of units (none where it is empty): rows taken by a hash of their id."""
+    total = units.count()
+    if total == 0:
+        return None
+    wanted = max(1, int(np.sqrt(total) / PIVOT_SHARE))
+    picked = _matrix([r["unit"] for r in units.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()])
+    group, heads = _grouped(picked)
+    none = np.zeros(len(picked))
+    return Pivots(picked, group, none.astype(np.int64), none, none, heads, np.zeros(len(heads)), np.zeros(len(heads)))
+
+
+def build_vectors(chunks: DataFrame, vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> VectorIndex | None:
+    """Index of the chunks' vectors for ``vector_topk``; None where no chunk has one."""
+    units = stage(unit_rows(chunks, vector=vector), "vector-units")
+    pivots = choose_pivots(units)
+    if pivots is None:
+        return None
+    blocks, pivots = vector_blocks(units, pivots, block_rows)
+    return VectorIndex(stage(blocks, "vector-blocks"), pivots)
+
+
+def _search(routes: DataFrame, index: VectorIndex, k: int, block_rows: int) -> DataFrame:
     """Best ``k`` per query block and chunk block of the same cluster.
 
     Joined rows are pairs of blocks; each emits at most ``k`` rows per query, never the
     pairs themselves. The join key is (cluster, shard): a large cluster has one shard per
     ``SHARD_BLOCKS`` blocks, and its query blocks go to each of them.
     """
-    sizes = {r["cluster"]: r["n"] for r in routes.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
-    query_blocks = _blocks(routes, sizes, block_rows).select(
+    sizes = np.zeros(len(index.pivots.size), np.int64)
+    for r in routes.groupBy("cluster").agg(F.count("*").alias("n")).collect():  # one row per pivot at most
+        sizes[r["cluster"]] = r["n"]
+    last = index.blocks.groupBy("cluster").agg(F.max("shard").alias("_last"))
+    query_blocks = _blocks(routes, sizes, block_rows).join(last, "cluster").select(
         "cluster",
-        F.explode(F.sequence(F.lit(0), _per_cluster(shards) - 1)).alias("shard"),
+        F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("shard"),
         F.col("ids").alias("query_ids"),
         F.col("units").alias("query_units"),
     )
-    pairs = query_blocks.join(
-        chunk_blocks.select(
-            "cluster",
-            F.floor(F.col("block") / SHARD_BLOCKS).cast("int").alias("shard"),
-            F.col("ids").alias("chunk_ids"),
-            F.col("units").alias("chunk_units"),
-        ),
-        ["cluster", "shard"],
-    )
+    chunk_blocks = index.blocks.select("cluster", "shard", F.col("ids").alias("chunk_ids"), F.col("units").alias("chunk_units"))
+    pairs = query_blocks.join(chunk_blocks, ["cluster", "shard"])
     schema = T.StructType(
         [
             T.StructField("query_id", routes.schema["id"].dataType),
-            T.StructField("chunk_id", chunk_blocks.schema["ids"].dataType.elementType),
+            T.StructField("chunk_id", index.blocks.schema["ids"].dataType.elementType),
             T.StructField("score", T.DoubleType()),
         ]
     )
@@ -116,95 +228,89 @@ def _search(
     return pairs.select(*columns).mapInPandas(best, schema)
 
 
+def _near(angles: np.ndarray, x: np.ndarray, p: Pivots, members: list[np.ndarray], k: int, probes: int) -> np.ndarray:
+    """Clusters that a query searches first: the nearest ones until they hold ``k`` rows (and are ``probes``)."""
+    chosen, rows, count = [], 0, 0
+    for g in np.argsort(angles, kind="stable"):
+        if rows >= k and count >= probes:
+            break
+        chosen.append(members[g])
+        rows, count = rows + p.size[members[g]].sum(), count + len(members[g])
+    clusters = np.concatenate(chosen)
+    clusters = clusters[np.argsort(_angles(x[None], p.units[clusters])[0], kind="stable")]
+    held = np.cumsum(p.size[clusters]) - p.size[clusters]
+    return clusters[(held < k) | (np.arange(len(clusters)) < probes)]
+
+
+def _gap(angles: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return np.clip(np.maximum(angles - high, low - angles), 0.0, np.pi)
+
+
+def _routes(p: Pivots, k: int, probes: int | None, first: bool):
+    """A column function giving the clusters of a query: the near ones, or all others that its limit allows.
+
+    Groups are ruled out before their clusters are looked at, and only clusters that can hold
+    something as good as the limit become rows.
+    """
+    members = p.members
+
+    @F.pandas_udf("array<int>")
+    def route(blobs: pd.Series, limits: pd.Series) -> pd.Series:
+        out = []
+        if len(blobs):
+            x = _matrix(blobs.tolist())
+            angles = _angles(x, p.group_units)
+            for q, limit in enumerate(limits):
+                near = _near(angles[q], x[q], p, members, k, probes or 0)
+                if first:
+                    out.append(near.tolist())
+                    continue
+                bounded = limit is not None and not np.isnan(limit)
+                groups = np.flatnonzero(np.cos(_gap(angles[q], p.group_low, p.group_high)) >= limit) if bounded else np.arange(len(members))
+                clusters = np.concatenate([members[g] for g in groups]) if len(groups) else near[:0]
+                if bounded and len(clusters):
+                    own = _angles(x[q][None], p.units[clusters])[0]
+                    clusters = clusters[np.cos(_gap(own, p.low[clusters], p.high[clusters])) >= limit]
+                out.append(np.setdiff1d(clusters, near).tolist())
+        return pd.Series(out, dtype="object")
+
+    return route
+
+
 def vector_topk(
     queries: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | None = None,
     k: int = VECTOR_FETCH_K,
     vector: str = "embedding",
     probes: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    index: VectorIndex | None = None,
 ) -> DataFrame:
     """The ``k`` chunks of highest cosine per query -> ``query_id, chunk_id, score, rank``.
 
     Exact unless ``probes`` is given. ``score`` is rounded to six decimals, ties go to
     the smaller chunk id; missing and zero vectors never match.
 
-    Chunks are assigned to the nearest of at most 256 pivots. A query first searches
-    the clusters around its nearest pivots until it has ``k`` rows; its k-th score then
-    rules out every cluster whose angle range (triangle inequality on the sphere)
-    cannot hold anything as good, and only the others are searched. Within a cluster
-    the work is block by block, so a cluster with a third of the rows is just more
-    blocks. ``probes`` searches the nearest clusters only, and further ones until they hold ``k``
-    rows: approximate, one pass.
+    Chunks belong to pivots, whose number grows with the root of the rows, and pivots to groups.
+    A query first searches the clusters around its nearest pivots until it has ``k`` rows; its
+    k-th score then rules out every group, and every cluster of the other groups, whose angle
+    range (triangle inequality on the sphere) cannot hold anything as good. What is ruled out
+    is never a row. Within a cluster the work is block by block, so a cluster with a third of the
+    rows is just more blocks. ``probes`` searches the nearest clusters only, and further ones until
+    they hold ``k`` rows: approximate, one pass. ``index`` is searched as it is; without it one is
+    built of ``chunks``.
     """
-    spark = chunks.sparkSession
-    units = chunks.select(F.col("chunk_id").alias("id"), _unit_bytes(F.col(vector)).alias("unit"))
-    units = stage(units.where(F.col("unit").isNotNull()), "vector-units")
-    asked = queries.select(F.col("query_id").alias("id"), _unit_bytes(F.col(vector)).alias("unit"))
-    asked = asked.where(F.col("unit").isNotNull())
-    schema = T.StructType(
-        [
-            T.StructField("query_id", asked.schema["id"].dataType),
-            T.StructField("chunk_id", units.schema["id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    total = units.count()
-    if total == 0:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    n_pivots = max(1, min(MAX_PIVOTS, int(np.sqrt(total) / 4)))
-    picked = units.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
-    pivots = _matrix([r["unit"] for r in picked])
-
-    @F.pandas_udf("cluster int, angle double")
-    def assign(blobs: pd.Series) -> pd.DataFrame:
-        if len(blobs) == 0:
-            return pd.DataFrame({"cluster": pd.Series(dtype="int32"), "angle": pd.Series(dtype="float64")})
-        angles = _angles(_matrix(blobs.tolist()), pivots)
-        nearest = angles.argmin(axis=1)
-        return pd.DataFrame({"cluster": nearest.astype("int32"), "angle": angles.min(axis=1)})
-
-    placed = units.withColumn("_at", assign("unit")).select("id", "unit", "_at.cluster", "_at.angle")
-    # One row per pivot: at most MAX_PIVOTS.
-    shape = {
-        r["cluster"]: r
-        for r in placed.groupBy("cluster")
-        .agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
-        .collect()
-    }
-    sizes = np.array([shape[c]["n"] if c in shape else 0 for c in range(n_pivots)])
-    lows = np.array([shape[c]["lo"] if c in shape else 0.0 for c in range(n_pivots)])
-    highs = np.array([shape[c]["hi"] if c in shape else 0.0 for c in range(n_pivots)])
-    shards = {c: -(-r["n"] // (block_rows * SHARD_BLOCKS)) for c, r in shape.items()}
-    blocks = stage(
-        _blocks(placed.select("id", "unit", "cluster"), {c: r["n"] for c, r in shape.items()}, block_rows),
-        "vector-blocks",
-    )
-
-    @F.pandas_udf("array<struct<cluster int, near boolean, bound double>>")
-    def route(blobs: pd.Series) -> pd.Series:
-        """Clusters by distance: `near` ones give the first k rows, `bound` caps the cosine."""
-        if len(blobs) == 0:
-            return pd.Series([], dtype="object")
-        angles = _angles(_matrix(blobs.tolist()), pivots)
-        out = []
-        for row in angles:
-            gap = np.maximum(0.0, np.maximum(row - highs, lows - row))
-            order = [c for c in np.argsort(row, kind="stable") if sizes[c] > 0]
-            held = np.cumsum([0] + [sizes[c] for c in order[:-1]])
-            near = [h < k or (probes is not None and i < probes) for i, h in enumerate(held)]
-            out.append(
-                [
-                    {"cluster": int(c), "near": bool(f), "bound": float(np.cos(gap[c]))}
-                    for c, f in zip(order, near)
-                ]
-            )
-        return pd.Series(out)
-
-    routed = asked.withColumn("_to", F.explode(route("unit"))).select("id", "unit", "_to.*")
-    routed = stage(routed, "vector-routes")
+    asked = stage(unit_rows(queries, "query_id", vector), "vector-queries")
+    if index is None:
+        index = build_vectors(chunks, vector, block_rows)
+    if index is None:
+        chunk_type = T.LongType() if chunks is None else chunks.schema["chunk_id"].dataType
+        schema = T.StructType([T.StructField("query_id", asked.schema["id"].dataType), T.StructField("chunk_id", chunk_type), T.StructField("score", T.DoubleType())])
+        return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
+    near = _routes(index.pivots, k, probes, True)
     order = [F.desc("score"), F.col("chunk_id")]
-    first = _search(routed.where("near").select("id", "unit", "cluster"), blocks, shards, k, block_rows)
+    no_limit = F.lit(None).cast("double")
+    first = _search(asked.select("id", "unit", F.explode(near("unit", no_limit)).alias("cluster")), index, k, block_rows)
     best = top_k(first, ["query_id"], order, k)
     if probes is not None:
         return best
@@ -212,13 +318,10 @@ def vector_topk(
     limits = best.groupBy("query_id").agg(
         F.when(F.count("*") == k, F.min("score") - _SLACK).alias("limit")
     )
-    far = (
-        routed.where(~F.col("near"))
-        .join(limits.withColumnRenamed("query_id", "id"), "id", "left")
-        .where(F.col("limit").isNull() | (F.col("bound") >= F.col("limit")))
-        .select("id", "unit", "cluster")
-    )
-    rest = _search(far, blocks, shards, k, block_rows)
+    bounded = asked.join(limits.withColumnRenamed("query_id", "id"), "id", "left")
+    far = _routes(index.pivots, k, None, False)
+    routes = stage(bounded.select("id", "unit", F.explode(far("unit", "limit")).alias("cluster")), "vector-routes")
+    rest = _search(routes, index, k, block_rows)
     return top_k(best.drop("rank").unionByName(rest), ["query_id"], order, k)
 
 

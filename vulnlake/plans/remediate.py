@@ -6,17 +6,20 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vulnlake import domain
-from vulnlake.functions.vectors import embed_hashed
+from vulnlake.functions.vectors import embed_hashed, norm
 from vulnlake.operators import remediation as rem
 from vulnlake.operators.bm25 import Index
-from vulnlake.operators.cache import cache_append, cache_key, cache_lookup
+from vulnlake.operators.cache import cache_key, fifo_retain
 from vulnlake.operators.findings import normalise_finding, select_origin, severity_at_least
+from vulnlake.operators.replay import replay
 from vulnlake.operators.retrieval import assemble_context
 from vulnlake.plans.retrieve import retrieve
 from vulnlake.session import stage
+from vulnlake.sources.index import StoredIndex
 
 
 SOURCES = "array<struct<rank: int, source: string, doc_type: string>>"
@@ -33,7 +36,7 @@ class RemediationResult:
 
 def remediate(
     findings: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | StoredIndex,
     generator: Callable[[DataFrame], DataFrame],
     index: Index | None = None,
     cache: DataFrame | None = None,
@@ -55,9 +58,13 @@ def remediate(
     ``position`` (= finding id) and ``choice``.
 
     A cached result holds the answer and its source documents, so both return on a hit.
-    ``attempted`` keeps each finding's ``error`` where the generator gives one. Findings
-    are asked once per distinct cache key: equal keys share retrieval, prompt
-    and answer.
+    ``attempted`` keeps each finding's ``error`` where the generator gives one.
+
+    With a cache, findings are answered as if one by one in the order of ``finding_id``: each
+    takes the answer of the first similar entry, else it is asked and becomes the newest entry
+    (see ``operators.replay``); which are asked is settled before any is, so a failed answer is
+    shared with its followers and only left out of the new cache. Without a cache, findings are
+    asked once per distinct key.
     """
     chosen = select_origin(findings, sast_only, cve_only)
     if severity is not None:
@@ -72,44 +79,53 @@ def remediate(
     )
     shaped = stage(shaped, "findings")
     lead_columns = ["finding_type", "line_number", "file_path", "level", "cwe", "code", "text"]
-    leads = shaped.groupBy("key").agg(
-        F.min("finding_id").alias("query_id"),
-        F.min_by(F.struct(*lead_columns), "finding_id").alias("_lead"),
-    ).select("query_id", "key", "_lead.*")
-    leads = stage(leads.withColumn("embedding", embedder(F.col("key"))), "leads")
     if cache is None:
-        hits, misses = None, leads
+        leads = shaped.groupBy("key").agg(
+            F.min("finding_id").alias("query_id"),
+            F.min_by(F.struct(*lead_columns), "finding_id").alias("_lead"),
+        ).select("query_id", "key", "_lead.*")
+        asked = stage(leads, "asked")
+        lead_of = shaped.select("finding_id", "key").join(asked.select("key", F.col("query_id").alias("lead_id")), "key")
+        lead_of = lead_of.select("finding_id", "lead_id", F.lit(False).alias("shared"), F.lit(None).cast("string").alias("stored"))
     else:
-        hits, misses = cache_lookup(leads, cache, cache_threshold, cache_size)
+        keyed = shaped.select(F.col("finding_id").alias("query_id"), "key", *lead_columns).withColumn("embedding", embedder(F.col("key")))
+        replayed = stage(replay(keyed, cache, cache_threshold, cache_size), "replayed")
+        asked = replayed.where("source = number")
+        newest = F.row_number().over(W.orderBy(F.desc("seq"))).cast("long")
+        entries = fifo_retain(cache, cache_size).select((-newest).alias("source"), F.col("result").alias("stored"))
+        sources_of = asked.select(F.col("number").alias("source"), F.col("query_id").alias("lead_id"))
+        lead_of = replayed.select(F.col("query_id").alias("finding_id"), "source", (F.col("source") != F.col("number")).alias("shared"))
+        lead_of = lead_of.join(sources_of, "source", "left").join(F.broadcast(entries), "source", "left")  # at most cache_size entries
+    misses = asked
     ranked = stage(retrieve(misses.select("query_id", "text"), chunks, index, embedder=embedder, **retrieval), "ranked")
     prompts = rem.render_prompt(assemble_context(misses, ranked)).withColumnRenamed("query_id", "finding_id")
     given = generator(prompts.select("finding_id", "prompt"))
     error = F.col("error") if "error" in given.columns else F.lit(None).cast("string")
     answers = stage(given.select("finding_id", "answer", error.alias("error")), "answers")
+    chunks = chunks.chunks if isinstance(chunks, StoredIndex) else chunks
     labels = [c if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in ("source", "doc_type")]
     sources = (
         ranked.join(chunks.select("chunk_id", *labels), "chunk_id")
         .groupBy("query_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "source", "doc_type"))).alias("sources"))
     )
-    stored = F.from_json("result", STORED)
-    if hits is not None:
-        # an entry that holds a bare answer (of another writer) has no sources
-        known_hits = hits.select(F.col("query_id").alias("finding_id"), stored.alias("_stored"), F.coalesce(stored["answer"], "result").alias("result"))
-        leads_with = leads.withColumnRenamed("query_id", "finding_id").join(known_hits.select("finding_id", "_stored"), "finding_id", "left")
-    else:
-        known_hits, leads_with = None, leads.withColumnRenamed("query_id", "finding_id").withColumn("_stored", F.lit(None).cast(STORED))
-    asked = (
-        rem.attach_responses(leads_with, answers, known_hits)
-        .join(answers.select("finding_id", "error"), "finding_id", "left")
-        .select(F.col("finding_id").alias("query_id"), "key", "answer", "from_cache", "error", "_stored")
+    stored = F.from_json("stored", STORED)
+    # an entry that holds a bare answer (of another writer) has no sources
+    given_by = lead_of.withColumn("_stored", stored).withColumn("result", F.coalesce("_stored.answer", "stored"))
+    by_lead = answers.join(sources.withColumnRenamed("query_id", "finding_id"), "finding_id", "left").withColumnRenamed("finding_id", "lead_id")
+    of_each = given_by.join(by_lead, "lead_id", "left")
+    known = stage(
+        of_each.select(
+            "finding_id", "shared", "answer", "error", "result",
+            F.coalesce("sources", "_stored.sources", F.expr(f"cast(array() as {SOURCES})")).alias("sources"),
+        ),
+        "given",
     )
-    known = asked.join(sources, "query_id", "left").withColumn(
-        "sources",
-        F.coalesce("sources", "_stored.sources", F.expr(f"cast(array() as {SOURCES})")),
-    ).drop("_stored")
+    hits = known.where(F.col("result").isNotNull()).select("finding_id", "result")
+    known = rem.attach_responses(known.select("finding_id", "shared", "error", "sources"), known.select("finding_id", "answer"), hits)
+    known = known.withColumn("from_cache", F.col("from_cache") | F.col("shared")).drop("shared")
     attempted = stage(
-        shaped.join(known.drop("query_id"), "key").withColumn("parsed", rem.parse_response(F.col("answer"))),
+        shaped.join(known, "finding_id").withColumn("parsed", rem.parse_response(F.col("answer"))),
         "attempted",
     )
     report_columns = [c for c in ("type", "file", "line", "severity", "snippet", "package", "version") if c in findings.columns]
@@ -122,9 +138,12 @@ def remediate(
     summary = rem.remediation_summary(attempted, records, model_label)
     updated = None
     if cache is not None:
-        fresh = misses.join(answers.withColumnRenamed("finding_id", "query_id").where(F.col("answer").isNotNull()), "query_id").join(sources, "query_id", "left").select(
-            F.col("query_id").alias("arrival"), "key", F.col("embedding").cast("array<double>").alias("embedding"),
+        fresh = asked.where(norm(F.col("embedding")) > 0).join(answers.withColumnRenamed("finding_id", "query_id").where(F.col("answer").isNotNull()), "query_id")
+        newest = fresh.join(sources, "query_id", "left").orderBy(F.desc("number")).limit(cache_size)
+        base = cache.agg(F.coalesce(F.max("seq"), F.lit(-1))).scalar()
+        entered = newest.select(
+            (base + 1 + F.col("number")).cast("bigint").alias("seq"), "key", F.col("embedding").cast("array<double>").alias("embedding"),
             F.to_json(F.struct("answer", "sources")).alias("result"),
         )
-        updated = cache_append(cache, fresh.where(F.col("result").isNotNull()), cache_size)
+        updated = fifo_retain(cache.select("seq", "key", F.col("embedding").cast("array<double>").alias("embedding"), "result").unionByName(entered), cache_size)
     return RemediationResult(attempted, records, summary, updated)

@@ -13,11 +13,12 @@ from vulnlake.operators.bm25 import Index, bm25_topk
 from vulnlake.operators.retrieval import needs_bm25, rerank, token_overlap, union_retrieved
 from vulnlake.operators.vectors import mmr, vector_topk
 from vulnlake.session import stage
+from vulnlake.sources.index import StoredIndex
 
 
 def retrieve(
     queries: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | StoredIndex,
     index: Index | None = None,
     vector_k: int = domain.VECTOR_K,
     fetch_k: int = domain.VECTOR_FETCH_K,
@@ -33,10 +34,16 @@ def retrieve(
 
     Vector candidates, MMR, BM25 for queries with fewer than ``min_docs`` vector rows,
     then a reranker. ``chunks`` holds ``chunk_id, content, embedding``. Each step
-    narrows the next; texts join only after the top-k.
+    narrows the next; texts join only after the top-k. ``chunks`` may be an opened index: its
+    chunks, postings and vectors are searched as they are stored, and belong together by its version.
     """
+    vectors = None
+    if isinstance(chunks, StoredIndex):
+        if index is not None:
+            raise ValueError("a stored index comes with its own postings")
+        chunks, index, vectors = chunks.chunks, chunks.bm25, chunks.vectors
     asked = queries.select("query_id", "text", embedder(F.col("text")).alias("embedding"))
-    near = vector_topk(asked, chunks, fetch_k)
+    near = vector_topk(asked, chunks, fetch_k, index=vectors)
     with_vectors = near.join(chunks.select("chunk_id", "embedding"), "chunk_id")
     contents = chunks.select("chunk_id", "content")
     chosen = stage(

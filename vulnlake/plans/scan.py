@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from vulnlake.operators.dependencies import match_advisories, unmatched
 from vulnlake.operators.findings import common_root, exclude, map_results, min_level, scan_summary
+from vulnlake.session import stage
 
 
 @dataclass(frozen=True)
@@ -34,14 +35,15 @@ def scan(
 
     ``results`` comes from ``read_scanner_output``, ``dependencies`` from
     ``read_manifests`` and ``ranges`` from ``read_advisories``. Write the outcome with
-    ``write_report``. Pins and ranges that cannot be ordered are rows of ``unmatched``.
+    ``write_report``. Pins and ranges that cannot be ordered are rows of ``unmatched``. Both lists
+    are staged, as summary, root and report read them.
     """
     kept = exclude(results, skip_ids, exclude_paths, file="filename")
     mapped, quarantine = map_results(kept)
-    findings = min_level(mapped, severity, confidence)
+    findings = stage(min_level(mapped, severity, confidence), "scan-findings")
     spark = results.sparkSession
     if dependencies is not None and ranges is not None:
-        vulnerable = match_advisories(dependencies, ranges).select("package", "version", "cves", "file")
+        vulnerable = stage(match_advisories(dependencies, ranges).select("package", "version", "cves", "file"), "scan-dependencies")
         left_out = unmatched(dependencies, ranges)
     else:
         left_out = spark.createDataFrame([], "kind string, package string, text string, error string")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import json
 from collections.abc import Iterator
 
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 from vulnlake.domain import CHUNK_OVERLAP, CHUNK_SIZE
 from vulnlake.functions.text import cve_aliases, guide_title, suffix_of
 from vulnlake.operators.corpus import chunk_recursive, render_advisory, render_weakness, sections
+from vulnlake.sources.csv_records import csv_rows
 from vulnlake.sources.schemas import ADVISORY, CORPUS_SUFFIXES, DOCUMENT, WEAKNESS_COLUMNS
 
 
@@ -23,6 +22,11 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:(//)?", "")
 
 
+def file_name(uri: Column) -> Column:
+    """Path of a file from its percent-encoded URI."""
+    return plain_path(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))))
+
+
 def _any_case(suffix: str) -> str:
     return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
 
@@ -172,26 +176,6 @@ def guide_documents(guides: DataFrame, size: int = CHUNK_SIZE, overlap: int = CH
     )
 
 
-def _csv_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """CSV files with a header each -> (weakness rows, failed)."""
-    columns = ["source", *WEAKNESS_COLUMNS.values(), "error"]
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, blob in zip(batch["path"], batch["content"]):
-                try:
-                    records = list(csv.DictReader(io.StringIO(bytes(blob).decode("utf-8"), newline="")))
-                    rows = [(path, *[r.get(old) for old in WEAKNESS_COLUMNS], None) for r in records]
-                except (UnicodeDecodeError, csv.Error) as exc:
-                    rows = [(path, *[None] * len(WEAKNESS_COLUMNS), str(exc))]
-                yield pd.DataFrame(rows, columns=columns)
-
-    schema = ", ".join(f"{c} string" for c in columns)
-    parsed = files.select("path", "content").mapInPandas(parse, schema)
-    failed = parsed.where(F.col("error").isNotNull()).select(F.col("source").alias("path"), "error")
-    return parsed.where(F.col("error").isNull()).drop("error"), failed
-
-
 def load_corpus(
     spark: SparkSession, path: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
 ) -> tuple[DataFrame, DataFrame]:
@@ -199,10 +183,10 @@ def load_corpus(
 
     A file that cannot be read becomes a ``(path, error)`` row and the others go on;
     failed reads are retried as Spark tasks. Documents have the columns of
-    ``schemas.DOCUMENT``.
+    ``schemas.DOCUMENT``. CSV files are read by many tasks each, the others one per row.
     """
-    files = corpus_scan(spark, path)
-    weaknesses, bad_csv = _csv_rows(files.where(F.col("ext") == ".csv"))
+    files = scan_files(spark, path, tuple(s for s in CORPUS_SUFFIXES if s != ".csv"))
+    weaknesses, bad_csv = csv_rows(spark, path, f"*{_any_case('.csv')}", WEAKNESS_COLUMNS, file_name(F.col("file")))
     advisories, _, bad_yaml = read_advisories(files.where(F.col("ext").isin(".yaml", ".yml")))
     markdown = files.where(F.col("ext") == ".md").withColumn("_text", F.col("content").cast("string"))
     readable = F.is_valid_utf8("_text")

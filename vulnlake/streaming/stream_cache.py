@@ -68,11 +68,17 @@ class _CacheProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         shelf = _Shelf(self.threshold, self.size, [tuple(e) for e in self.state.get()])
+        before = [seq for seq, _ in shelf.entries]
         # All rows of the key and trigger, so that the order does not depend on Arrow batches;
         # the source's rate limit bounds them.
         asked = sorted(((s, v) for batch in rows for s, v in zip(batch["seq"], batch["embedding"])), key=lambda r: r[0])
         yield _frame([(key[0], s, *shelf.ask(s, v)) for s, v in asked], self.key)
-        self.state.put([(int(s), v.tolist()) for s, v in shelf.entries])
+        # entries that came are appended; the list is written anew only where some had to leave
+        entries = [(int(s), v.tolist()) for s, v in shelf.entries]
+        if [s for s, _ in entries[: len(before)]] != before:
+            self.state.put(entries)
+        elif len(entries) > len(before):
+            self.state.appendList(entries[len(before) :])
 
     def close(self) -> None:
         pass
