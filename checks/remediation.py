@@ -192,7 +192,7 @@ def remediate_findings(spark, d):
 
 # Every vulnerable dependency in turn, with its token counts; the cache first holds an answer with
 # sources under the key of the smallest finding, and another writer's bare answer.
-BUCKETS = "list_transform(list_filter(regexp_split_to_array(lower({0}), '\\\\s+'), lambda t: t <> ''), lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64)"
+BUCKETS = "list_transform(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda t: t <> ''), lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64)"
 CACHED = """,
 keyed AS (SELECT dep_id, row_number() OVER (ORDER BY dep_id) - 1 AS number,
   substr('Vulnerable Dependency: ' || package, 1, 999) || '|' || substr(package || '==' || version || chr(10) || 'CVEs: ' || replace(cves, ',', ', '), 1, 200) AS key FROM vulnerable),

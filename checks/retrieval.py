@@ -314,7 +314,7 @@ def stream_cache_batch(spark, d):
 
 # Whole retrieval: token-count vectors of chunks and queries, four picks of the twelve nearest, keyword rows of other content,
 # and the two best by token overlap.
-WORDS = "list_filter(regexp_split_to_array(lower({0}), '\\\\s+'), lambda t: t <> '')"
+WORDS = "list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda t: t <> '')"
 COUNTS = "list_transform(range(0, 64), lambda b: len(list_filter(buckets, lambda x: x = b))::DOUBLE)"
 BUCKETS = "list_transform(" + WORDS + ", lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64)"
 HYBRID_ALL = (
