@@ -263,6 +263,12 @@ def _ordered(spans: Column) -> Column:
     return F.transform(by_start, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
+def count_of(spans: str, kind: int) -> Column:
+    """Number of spans of a kind (a number of ``KINDS``)."""
+    # the function has one parameter only: Spark would give a second one the place in the array
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def written(spans: Column) -> Column:
     """kind:start:end, joined by commas."""
     names = F.array(*[F.lit(k) for k in KINDS])
