@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from checks import views as v
 from checks.registry import query
 from checks.views import sql
-from vulnlake.functions.similarity import levenshtein_ratio
+from vulnlake.domain import FUZZY_THRESHOLD
+from vulnlake.functions.similarity import levenshtein_bound, levenshtein_ratio_above
 from vulnlake.operators import locating as lc, patching as pt
 from vulnlake.plans.changes import prepare_changes
 
@@ -64,7 +65,7 @@ QUALIFY row_number() OVER (PARTITION BY fix_id ORDER BY ratio DESC, start) = 1""
 def locate_fuzzy_levenshtein(spark, d):
     """Edit distance in place of the matcher, which SQL does not have."""
     found = lc.locate_fuzzy(
-        v.fixes(spark, d), v.files(spark, d), similarity=lambda a, b: F.round(levenshtein_ratio(a, b), 6), bound=None
+        v.fixes(spark, d), v.files(spark, d), similarity=levenshtein_ratio_above(FUZZY_THRESHOLD), bound=levenshtein_bound
     )
     return found.select("fix_id", long("start"), "ratio")
 

@@ -216,3 +216,40 @@ def test_prepare_changes(spark):
     assert text.count("| XSS |") == 1 and "### /r/a.py line 2\n\nFix 2 for SQLi" in text
     assert [r.number for r in report if r.section == 5] == [1, 3]
     assert ch.any_rows(ch.change_worthy(remediations(spark).limit(0))).first().worthy is False
+
+
+def test_ratio_bounds_never_cut_a_result(spark):
+    """Both cheap bounds lie above the true ratio, and values of the threshold or more are exact."""
+    import random
+    from difflib import SequenceMatcher
+
+    from vulnlake.functions import similarity as sm
+
+    rng = random.Random(8)
+    texts = ["", "a", "ab", "abc", "é😀x"] + ["".join(rng.choice("abcd é😀") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    pairs = [(x, "".join(c for c in x if rng.random() > p) + "z" * rng.randint(0, 3)) for x in texts for p in (0, 0.05, 0.1, 0.3)]
+    pairs += [(rng.choice(texts), rng.choice(texts)) for _ in range(200)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    rows = df.select("a", "b", F.round(sm.levenshtein_ratio(a, b), 6).alias("r"), sm.levenshtein_ratio_above(0.85)(a, b).alias("fast"),
+                     sm.levenshtein_bound(a, b).alias("bound"), sm.sequence_ratio_above(0.85)(a, b).alias("matched")).collect()
+    for r in rows:
+        assert r.r <= r.bound
+        assert (r.fast if r.fast is not None and r.fast >= 0.85 else None) == (r.r if r.r >= 0.85 else None), r
+        want = SequenceMatcher(None, r.a, r.b).ratio()
+        assert r.matched == (want if want >= 0.85 else None)
+
+
+def test_the_distance_is_worked_out_once_and_only_so_far(spark):
+    """The plan holds the distance with its limit, and no file block is gathered per fix."""
+    fixes = spark.createDataFrame([(1, "f", 150, "x = 12345678"), (2, "f", 3, "\n".join(["line 9"] * 70))], "fix_id bigint, path string, line int, snippet string")
+    body = [f"line {i}" for i in range(1, 401)]
+    body[150] = "x = 12345679"
+    files = spark.createDataFrame([("f", "\n".join(body))], "path string, content string")
+    from vulnlake.functions import similarity as sm
+
+    found = lc.locate_fuzzy(fixes, files, similarity=sm.levenshtein_ratio_above(0.85), bound=sm.levenshtein_bound)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "levenshtein(" in plan
+    near = {r.fix_id: (r.start, r.ratio) for r in found.collect()}
+    assert near[1] == (151, 0.916667)

@@ -97,44 +97,37 @@ def normalise_code(code: Column) -> Column:
 def _candidates(fixes: DataFrame, files: DataFrame, radius: int) -> DataFrame:
     """Fixes with the windows near their line: ``windows array<struct<start, text>>``.
 
-    Files are cut into blocks of lines, and a fix fetches only the blocks its search
-    range touches, by (path, block). Neither a long file nor a file with very many fixes
-    is ever copied whole to each fix.
+    Files are cut into blocks of lines that overlap by as much as a search range needs, so a
+    fix meets the one block in which its range begins, by (path, width, block). Neither a long
+    file nor a file with very many fixes is ever copied whole to each fix. Blocks of long
+    snippets are wider, by powers of two, so the overlap of a width is a few times its lines.
     """
-    blocks = files.select("path", source_lines(F.col("content")).alias("_lines")).select(
+    at = F.coalesce(F.col("line"), F.lit(1))
+    wanted = (
+        fixes.withColumn("_n", F.size(lines_of(F.col("snippet"))))
+        .withColumns({"_first": F.greatest(at - radius, F.lit(1)), "_last": at + radius})
+        .where(F.col("_last") >= 1)
+        .withColumn("_width", F.greatest(F.pow(F.lit(2.0), F.ceil(F.log2("_n"))).cast("int"), F.lit(_BLOCK_LINES)))
+        .withColumn("block", F.floor((F.col("_first") - 1) / F.col("_width")).cast("int"))
+    )
+    widths = wanted.groupBy("path").agg(F.collect_set("_width").alias("_widths"))
+    lined = files.join(widths, "path").select("path", F.explode("_widths").alias("_width"), source_lines(F.col("content")).alias("_lines"))
+    blocks = lined.select(
         "path",
+        "_width",
         F.size("_lines").alias("file_lines"),
         F.posexplode(
             F.transform(
-                F.sequence(F.lit(1), F.size("_lines"), F.lit(_BLOCK_LINES)),
-                lambda first: F.slice("_lines", first, F.lit(_BLOCK_LINES)),
+                F.sequence(F.lit(1), F.size("_lines"), F.col("_width")),
+                lambda first: F.slice("_lines", first, 2 * (F.col("_width") + radius)),
             )
-        ).alias("block", "lines"),
-    )
-    first = F.greatest(F.coalesce(F.col("line"), F.lit(1)) - radius, F.lit(1))
-    last = F.coalesce(F.col("line"), F.lit(1)) + radius
-    wanted = (
-        fixes.withColumn("_n", F.size(lines_of(F.col("snippet"))))
-        .withColumns({"_first": first, "_last": last})
-        .where(F.col("_last") >= 1)
-        .withColumn(
-            "block",
-            F.explode(
-                F.sequence(
-                    F.floor((F.col("_first") - 1) / _BLOCK_LINES).cast("int"),
-                    F.floor((F.col("_last") + F.col("_n") - 2) / _BLOCK_LINES).cast("int"),
-                )
-            ),
-        )
+        ).alias("block", "_region"),
     )
     regions = (
-        wanted.join(blocks, ["path", "block"])
-        .groupBy("fix_id", "path", "line", "snippet", "_n", "_first", "_last", "file_lines")
-        .agg(F.array_sort(F.collect_list(F.struct("block", "lines"))).alias("_blocks"))
+        wanted.join(blocks, ["path", "_width", "block"])
         .withColumns(
             {
-                "_offset": F.col("_blocks")[0]["block"] * _BLOCK_LINES,
-                "_region": F.flatten(F.transform("_blocks", lambda b: b["lines"])),
+                "_offset": F.col("block") * F.col("_width"),
                 "_stop": F.least(F.col("_last"), F.col("file_lines") - F.col("_n") + 1),
             }
         )
@@ -216,15 +209,20 @@ def locate_fuzzy(
     missed = _candidates(fixes.join(locate_exact(fixes, files, radius).select("fix_id"), "fix_id", "left_anti"), files, radius)
     pairs = missed.select(
         "fix_id", "path", "line", "n_lines",
-        strip(F.col("snippet")).alias("_a"), F.explode("windows").alias("_w"),
+        # no window is missing; of the plain form Spark would build the windows twice, to see whether there are any
+        strip(F.col("snippet")).alias("_a"), F.explode_outer("windows").alias("_w"),
     ).withColumn("_b", strip(F.col("_w.text")))
     if bound is not None:
         pairs = pairs.where(bound(F.col("_a"), F.col("_b")) >= threshold)
+    # a pair is slow and its row small, so the pairs are dealt to tasks that adaptive execution keeps
+    tasks = int(fixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.select("fix_id", "path", "line", "n_lines", F.col("_w.start").alias("start"), "_a", "_b").repartition(tasks, "fix_id", "start")
     scored = pairs.select(
-        "fix_id", "path", "line", "n_lines",
-        F.col("_w.start").alias("start"), similarity(F.col("_a"), F.col("_b")).alias("ratio"),
-    ).where(F.col("ratio") >= threshold)
-    return top_k(scored, ["fix_id"], [F.desc("ratio"), F.col("start")], 1, rank="_nth").drop("_nth")
+        "fix_id", "path", "line", "n_lines", "start", similarity(F.col("_a"), F.col("_b")).alias("ratio")
+    )
+    # the threshold comes after the choice, as Spark would move it, and the similarity, before the shuffle
+    best = top_k(scored, ["fix_id"], [F.desc("ratio"), F.col("start")], 1, rank="_nth")
+    return best.where(F.col("ratio") >= threshold).drop("_nth")
 
 
 def reindent(code: Column, base: Column) -> Column:
