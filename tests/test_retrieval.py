@@ -195,3 +195,26 @@ def test_retrieve(spark):
     assert all(2 <= sum(r.query_id == q for r in rows) <= 4 for q in (1, 2))
     assert retrieve(queries, chunks, None, vector_k=2).count() == 4
     assert retrieve(queries, chunks, index, use_reranking=True).count() == 4
+
+
+def test_equal_queries_are_searched_once(spark, monkeypatch):
+    """Queries of equal texts have the same results, of one search; a repeated id counts its words again."""
+    searched = []
+    inner = bm25._searched
+
+    def counted(queries, *args):
+        searched.append(queries.select("query_id").distinct().count())
+        return inner(queries, *args)
+
+    monkeypatch.setattr(bm25, "_searched", counted)
+    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "a b c", "z", "q r", "s"])], "chunk_id bigint, content string")
+    rows = [(i, ["r q", "zz", None][i % 3]) for i in range(30)] + [(40, "s"), (41, "s"), (41, "s"), (None, "s")]
+    queries = spark.createDataFrame(rows, "query_id bigint, text string")
+    found = bm25.bm25_topk(queries, bm25.build_bm25(chunks)).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score, r.rank))
+    assert searched == [5] and len(got) == 32
+    assert all(got[i] == got[i % 3] for i in range(30))
+    assert [c for c, _, _ in got[0]] == [3, 0] and [c for c, _, _ in got[1]] == [0, 1]
+    assert got[41][0][0] == got[40][0][0] == 4 and got[41][0][1] == pytest.approx(2 * got[40][0][1], abs=2e-6)

@@ -150,8 +150,17 @@ def bm25_topk(
     full scores come from the chunks' own rows.
 
     ``pad_zero`` fills up with zero-score chunks, smallest id first, when a query has
-    fewer than ``k`` scoring chunks.
+    fewer than ``k`` scoring chunks. Queries of equal texts are searched once.
     """
+    texts = queries.where("query_id is not null").groupBy("query_id").agg(F.sort_array(F.collect_list("text")).alias("_texts"))
+    leads = texts.groupBy("_texts").agg(F.min("query_id").alias("_lead"))
+    of_each = stage(texts.join(leads, "_texts").select("query_id", "_lead", "_texts"), "bm25-leads")
+    asked = of_each.where("query_id = _lead").select("query_id", F.explode_outer("_texts").alias("text"))
+    best = _searched(asked, index, k, pad_zero, seed_postings, light_share).withColumnRenamed("query_id", "_lead")
+    return of_each.join(best, "_lead").select("query_id", *[c for c in best.columns if c != "_lead"])
+
+
+def _searched(queries: DataFrame, index: Index, k: int, pad_zero: bool, seed_postings: int, light_share: float) -> DataFrame:
     postings = index.postings.select("term", "chunk_id", "gain")
     by_df = W.partitionBy("query_id").orderBy("df", "term")
     by_best = W.partitionBy("query_id").orderBy("best", "term")
@@ -238,8 +247,9 @@ def _zero_padding(queries: DataFrame, scored: DataFrame, index: Index, k: int) -
     short = queries.select("query_id").distinct().join(better, "query_id", "left_anti")
     numbered = number_rows(index.doc_stats.select("chunk_id"), [], [F.col("chunk_id")], "_number", "bm25-numbers")
     held = scored.select("query_id", "chunk_id").join(short, "query_id").join(numbered, "chunk_id")
-    gap = F.col("_number") - F.row_number().over(W.partitionBy("query_id").orderBy("_number"))
-    before = held.select("query_id", gap.alias("_gap")).where(F.col("_gap") < k).groupBy("query_id", "_gap").agg(F.count("*").alias("_c"))
+    # a query may hold nearly every chunk, so its numbers are not gathered in one task
+    held = number_rows(held.select("query_id", "_number"), ["query_id"], [F.col("_number")], "_place", "bm25-held")
+    before = held.select("query_id", (F.col("_number") - F.col("_place")).alias("_gap")).where(F.col("_gap") < k).groupBy("query_id", "_gap").agg(F.count("*").alias("_c"))
     steps = short.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_m"))
     missing = (
         steps.join(before, "query_id", "left")
