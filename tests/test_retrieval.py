@@ -3,12 +3,15 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vulnlake.operators import bm25, retrieval as rt, vectors as vc
 from vulnlake.operators.ranking import number_rows, top_k
+from vulnlake.operators.streamed import Best
 from vulnlake.plans.retrieve import retrieve
+from vulnlake.session import stage
 
 
 def brute_bm25(chunks, query):
@@ -94,6 +97,50 @@ def test_vector_topk_equals_brute_force(spark, skew, monkeypatch):
     assert got == brute_nearest(queries, chunks, 7)
 
 
+def test_queries_are_not_copied_to_clusters(spark, monkeypatch):
+    """Where no cluster is ruled out: no stored table has a row per query and cluster, whatever the shards and splits."""
+    rng = np.random.default_rng(5)
+    chunks = rng.normal(size=(900, 24))
+    asked, given, staged = vectors_frame(spark, chunks, "query_id"), vectors_frame(spark, chunks, "chunk_id"), []
+
+    def counted(df, label):
+        out = stage(df, label)
+        staged.append(out.count())
+        return out
+
+    monkeypatch.setattr(vc, "stage", counted)
+    monkeypatch.setattr(vc, "PIVOT_SHARE", 1)
+    want = brute_nearest(chunks, chunks, 3)
+    for pairs, held in ((1 << 28, 32 << 20), (20_000, 100_000)):
+        monkeypatch.setattr(vc, "TASK_PAIRS", pairs, raising=False)
+        monkeypatch.setattr(vc, "HELD_BYTES", held, raising=False)
+        got = {}
+        for r in sorted(vc.vector_topk(asked, given, 3).collect(), key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append(r.chunk_id)
+        assert got == want
+    assert max(staged) <= 3 * 900
+
+
+def test_best_of_streamed_candidates():
+    rng = np.random.default_rng(6)
+    best = Best(5, 2)
+    best._room = 7  # cut again and again
+    seen = []
+    for _ in range(40):
+        q, s, i = rng.integers(4, size=9), rng.integers(6, size=9) / 4, rng.integers(100, size=9)
+        reached = s >= best.limit[q]
+        best.add(q[reached], s[reached], i[reached])
+        best._room = 7
+        seen += zip(q, s, i)
+    got = [r for b in best.batches(pa.array([f"q{n}" for n in range(5)]), pa.int64()) for r in b.to_pylist()]
+    want = [(f"q{n}", i, s) for n in range(4) for s, i in sorted(((s, i) for q, s, i in seen if q == n), key=lambda x: (-x[0], x[1]))[:2]]
+    assert [(r["query_id"], r["chunk_id"], r["score"]) for r in got] == want
+    named = Best(1, 2)
+    named.add(np.zeros(3, int), np.ones(3), np.array(["b", "c", "a"], object))
+    assert [b["chunk_id"].to_pylist() for b in named.batches(pa.array([1]), pa.string())] == [["a", "b"]]
+    assert list(Best(3, 2).batches(pa.array([1, 2, 3]), pa.int64())) == []
+
+
 def test_vector_edge_cases(spark):
     chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "chunk_id bigint, embedding array<double>")
     queries = spark.createDataFrame([(1, [1.0, 1.0]), (2, [0.0, 0.0]), (3, None)], "query_id bigint, embedding array<double>")

@@ -7,18 +7,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vulnlake.domain import MMR_LAMBDA, VECTOR_FETCH_K, VECTOR_K
 from vulnlake.operators.ranking import top_k
+from vulnlake.operators.streamed import Best, meet, sides
 from vulnlake.session import stage
 
 _SLACK = 1e-5
 PIVOT_SHARE = 4  # the root of the rows over this is the number of pivots
 BLOCK_ROWS = 1024
 SHARD_BLOCKS = 64
+HELD_BYTES = 32 << 20  # queries and results of a task of the exact search
+TASK_PAIRS = 1 << 28  # pairs that are worth a task of it
+TASK_ROWS = 1 << 16  # or rows
+SCAN_TASKS = 4  # tasks a core
+TILE = 512
 
 
 @F.pandas_udf(T.BinaryType())
@@ -246,37 +253,85 @@ def _gap(angles: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.clip(np.maximum(angles - high, low - angles), 0.0, np.pi)
 
 
-def _routes(p: Pivots, k: int, probes: int | None, first: bool):
-    """A column function giving the clusters of a query: the near ones, or all others that its limit allows.
-
-    Groups are ruled out before their clusters are looked at, and only clusters that can hold
-    something as good as the limit become rows.
-    """
+def _near_clusters(p: Pivots, k: int, probes: int | None):
+    """A column function giving the clusters that a query searches first."""
     members = p.members
 
     @F.pandas_udf("array<int>")
-    def route(blobs: pd.Series, limits: pd.Series) -> pd.Series:
+    def route(blobs: pd.Series) -> pd.Series:
         out = []
         if len(blobs):
             x = _matrix(blobs.tolist())
             angles = _angles(x, p.group_units)
-            for q, limit in enumerate(limits):
-                near = _near(angles[q], x[q], p, members, k, probes or 0)
-                if first:
-                    out.append(near.tolist())
-                    continue
-                bounded = limit is not None and not np.isnan(limit)
-                groups = np.flatnonzero(np.cos(_gap(angles[q], p.group_low, p.group_high)) >= limit) if bounded else np.arange(len(members))
-                clusters = np.concatenate([members[g] for g in groups]) if len(groups) else near[:0]
-                if bounded and len(clusters):
-                    own = _angles(x[q][None], p.units[clusters])[0]
-                    clusters = clusters[np.cos(_gap(own, p.low[clusters], p.high[clusters])) >= limit]
-                out.append(np.setdiff1d(clusters, near).tolist())
+            out = [_near(angles[q], x[q], p, members, k, probes or 0).tolist() for q in range(len(x))]
         return pd.Series(out, dtype="object")
 
     return route
 
 
+def _scanned(asked: DataFrame, index: VectorIndex, k: int) -> DataFrame:
+    """Best ``k`` per query (``id, unit, limit``) and task, among all rows that reach the limit.
+
+    A task holds a shard of the queries, at most ``HELD_BYTES`` with their results, and the blocks
+    of a split pass by in the order of their clusters. A cluster meets only the queries whose limit, by
+    the triangle inequality, it can reach; limits rise as better rows are found. Queries are not copied to
+    clusters, and no row is made for a pair.
+    """
+    pivots, width = index.pivots, 8 * index.pivots.units.shape[1]
+    n, against = asked.count(), int(pivots.size.sum())
+    tasks = min(SCAN_TASKS * asked.sparkSession.sparkContext.defaultParallelism, max(1, n * against // TASK_PAIRS, against // TASK_ROWS))
+    # rows travel once a shard, queries and their results once a split: as many shards as make the least of it
+    even = np.sqrt(tasks * n * (width + 20 * k) / max(1, against * width))
+    shards = max(1, -(-n * (width + 16 * k) // HELD_BYTES), min(tasks, round(even)))
+    splits = -(-tasks // shards)
+    queries = asked.select(F.col("id").alias("query_id"), "limit", F.array("unit").alias("units"))
+    blocks = index.blocks.select("cluster", F.col("ids").alias("chunk_ids"), "units")
+    shard = F.pmod(F.xxhash64("query_id"), F.lit(shards))
+    split = F.pmod(F.xxhash64("cluster", F.get("chunk_ids", F.lit(0))), F.lit(splits))
+    met = meet(queries, blocks, shard, shards, split, splits, "cluster")
+    rows = met.select("_side", "query_id", "limit", "cluster", "chunk_ids", F.posexplode("units").alias("_i", "unit"))
+    rows = rows.select("_side", "query_id", "limit", "cluster", F.get("chunk_ids", F.col("_i")).alias("chunk_id"), "unit")
+    schema = T.StructType(
+        [T.StructField("query_id", asked.schema["id"].dataType), T.StructField("chunk_id", rows.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())]
+    )
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, found = [], None
+        for side, batch in sides(batches):
+            if side == 0:
+                held.append(batch)
+                continue
+            if found is None:
+                if not held:
+                    return
+                table = pa.Table.from_batches(held).combine_chunks()
+                query_ids, units = table["query_id"].combine_chunks(), _matrix(table["unit"].to_pylist())
+                limit = table["limit"].to_numpy().astype(np.float64)
+                found = Best(len(units), k, np.where(np.isnan(limit), -np.inf, limit))
+                id_type = batch.schema.field("chunk_id").type
+            x, ids = _matrix(batch["unit"].to_pylist()), batch["chunk_id"].to_numpy(zero_copy_only=False)
+            clusters = batch["cluster"].to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, clusters[1:] != clusters[:-1]))
+            for start, end in zip(starts, np.append(starts[1:], len(clusters))):
+                c = clusters[start]
+                near = _gap(_angles(units, pivots.units[c][None])[:, 0], pivots.low[c], pivots.high[c])
+                reached = np.flatnonzero(np.cos(near) >= found.limit)
+                for a in range(0, len(reached), TILE):
+                    some = reached[a:a + TILE]
+                    own = units[some]
+                    for b in range(start, end, 2 * TILE):
+                        rows = slice(b, min(b + 2 * TILE, end))
+                        scores = own @ x[rows].T
+                        hits = np.flatnonzero(scores >= found.limit[some][:, None])
+                        if len(hits):
+                            q, r = np.divmod(hits, scores.shape[1])
+                            found.add(some[q], _round6(scores.ravel()[hits]), ids[rows][r])
+        if found is not None:
+            yield from found.batches(query_ids, id_type)
+
+    return rows.mapInArrow(best, schema)
+
+
 def vector_topk(
     queries: DataFrame,
     chunks: DataFrame | None = None,
@@ -293,12 +348,11 @@ def vector_topk(
 
     Chunks belong to pivots, whose number grows with the root of the rows, and pivots to groups.
     A query first searches the clusters around its nearest pivots until it has ``k`` rows; its
-    k-th score then rules out every group, and every cluster of the other groups, whose angle
-    range (triangle inequality on the sphere) cannot hold anything as good. What is ruled out
-    is never a row. Within a cluster the work is block by block, so a cluster with a third of the
-    rows is just more blocks. ``probes`` searches the nearest clusters only, and further ones until
-    they hold ``k`` rows: approximate, one pass. ``index`` is searched as it is; without it one is
-    built of ``chunks``.
+    k-th score is then the limit with which it meets all blocks (see ``_scanned``): a cluster whose
+    angle range (triangle inequality on the sphere) cannot hold anything as good is not compared. Within
+    a cluster the work is block by block, so a cluster with a third of the rows is just more blocks.
+    ``probes`` searches the nearest clusters only, and further ones until they hold ``k`` rows:
+    approximate, one pass. ``index`` is searched as it is; without it one is built of ``chunks``.
     """
     asked = stage(unit_rows(queries, "query_id", vector), "vector-queries")
     if index is None:
@@ -307,22 +361,18 @@ def vector_topk(
         chunk_type = T.LongType() if chunks is None else chunks.schema["chunk_id"].dataType
         schema = T.StructType([T.StructField("query_id", asked.schema["id"].dataType), T.StructField("chunk_id", chunk_type), T.StructField("score", T.DoubleType())])
         return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    near = _routes(index.pivots, k, probes, True)
+    near = _near_clusters(index.pivots, k, probes)
     order = [F.desc("score"), F.col("chunk_id")]
-    no_limit = F.lit(None).cast("double")
-    first = _search(asked.select("id", "unit", F.explode(near("unit", no_limit)).alias("cluster")), index, k, block_rows)
+    first = _search(asked.select("id", "unit", F.explode(near("unit")).alias("cluster")), index, k, block_rows)
     best = top_k(first, ["query_id"], order, k)
     if probes is not None:
         return best
-    best = stage(best, "vector-first")
     limits = best.groupBy("query_id").agg(
         F.when(F.count("*") == k, F.min("score") - _SLACK).alias("limit")
     )
     bounded = asked.join(limits.withColumnRenamed("query_id", "id"), "id", "left")
-    far = _routes(index.pivots, k, None, False)
-    routes = stage(bounded.select("id", "unit", F.explode(far("unit", "limit")).alias("cluster")), "vector-routes")
-    rest = _search(routes, index, k, block_rows)
-    return top_k(best.drop("rank").unionByName(rest), ["query_id"], order, k)
+    # a few rows a query, which callers read several times
+    return stage(top_k(_scanned(bounded, index, k), ["query_id"], order, k), "vector-best")
 
 
 def mmr(
