@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vulnlake.operators import bm25, retrieval as rt, vectors as vc
+from vulnlake.operators import bm25, postings as ps, retrieval as rt, vectors as vc
 from vulnlake.operators.ranking import number_rows, top_k
 from vulnlake.operators.streamed import Best
 from vulnlake.plans.retrieve import retrieve
@@ -265,3 +265,50 @@ def test_equal_queries_are_searched_once(spark, monkeypatch):
     assert all(got[i] == got[i % 3] for i in range(30))
     assert [c for c, _, _ in got[0]] == [3, 0] and [c for c, _, _ in got[1]] == [0, 1]
     assert got[41][0][0] == got[40][0][0] == 4 and got[41][0][1] == pytest.approx(2 * got[40][0][1], abs=2e-6)
+
+
+@pytest.mark.parametrize("pad_zero", [True, False])
+def test_bm25_makes_no_row_per_chunk_and_query(spark, monkeypatch, pad_zero):
+    """Where all chunks share a term with all queries, results of many small tasks are those of brute force, and few rows are stored."""
+    rng, staged = random.Random(8), []
+    words = ["the"] * 20 + ["of"] * 10 + [f"w{i}" for i in range(40)]
+    chunks = [(i, "the " + " ".join(rng.choices(words, k=rng.randint(1, 20)))) for i in range(400)] + [(400, ""), (401, None), (402, "alone")]
+    queries = [(i, "the of " + " ".join(rng.choices(words, k=5))) for i in range(40)] + [(40, "unknown"), (41, "alone")]
+    index = bm25.build_bm25(spark.createDataFrame(chunks, "chunk_id bigint, content string").repartition(3))
+
+    def counted(df, label):
+        out = stage(df, label)
+        staged.append(out.count())
+        return out
+
+    monkeypatch.setattr(bm25, "stage", counted)
+    monkeypatch.setattr(ps, "stage", counted, raising=False)
+    for name, value in (("SHARD_QUERIES", 15), ("TASK_CHUNKS", 100), ("CELLS", 64)):
+        monkeypatch.setattr(ps, name, value, raising=False)
+    rows = bm25.bm25_topk(spark.createDataFrame(queries, "query_id bigint, text string"), index, 3, pad_zero).collect()
+    held = [(i, t or "") for i, t in chunks]
+    for qid, text in queries:
+        want = ranked(brute_bm25(held, text), 3)
+        if not pad_zero:
+            shared = {i for i, t in held if set(t.split()) & set(text.split())}
+            want = [(s, i) for s, i in ranked(brute_bm25(held, text), len(held)) if i in shared][:3]
+        got = sorted((r["rank"], r.chunk_id, r.score) for r in rows if r.query_id == qid)
+        assert [(i, pytest.approx(s, abs=2e-6)) for _, i, s in got] == [(i, -s) for s, i in want], text
+    assert max(staged) <= 10 * len(queries)
+
+
+def test_rows_of_one_chunk_add_up(spark, monkeypatch):
+    """An index in memory takes rows of one id as one chunk, whose scores add up, also where a task's batches cut between them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        chunks = [(1, "a"), (1, "a"), (1, "a"), (2, "a a"), (3, "b"), (3, "c"), (5, "d"), (6, "d"), (7, "d"), (8, "d")]
+        index = bm25.build_bm25(spark.createDataFrame(chunks, "chunk_id bigint, content string"))
+        asked = spark.createDataFrame([(1, "a"), (2, "c b"), (3, "zz")], "query_id int, text string")
+        single = {r.chunk_id: r.score for r in bm25.bm25_topk(asked.where("query_id = 1"), bm25.build_bm25(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(chunks)], "chunk_id bigint, content string")), 4).collect()}
+        got = {}
+        for r in sorted(bm25.bm25_topk(asked, index, 2).collect(), key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+        assert got[1][0] == (1, pytest.approx(3 * single[0], abs=3e-6)) and got[1][1] == (2, pytest.approx(single[3], abs=2e-6))
+        assert got[2][0][0] == 3 and got[2][1] == (1, 0.0) and [c for c, _ in got[3]] == [1, 1]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

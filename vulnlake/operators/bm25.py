@@ -5,22 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vulnlake.domain import BM25_B, BM25_EPSILON, BM25_K1, BM25_TOP_K
 from vulnlake.functions.text import tokens
-from vulnlake.operators.postings import counted_terms, scored_by_blocks
-from vulnlake.operators.ranking import number_rows, top_k
+from vulnlake.operators.postings import best_of_chunks, counted_terms
+from vulnlake.operators.ranking import top_k
 from vulnlake.session import stage
 
-# Slack that keeps rounding of scores from cutting a chunk at the threshold.
-_SLACK = 1e-5
-# A term with more than this share of all postings is hot: there are at most
-# 1 / HOT_SHARE of them. Each is spread over HOT_SALTS join keys.
-HOT_SHARE = 0.001
-HOT_SALTS = 64
-
 
 @dataclass(frozen=True)
 class Index:
@@ -29,8 +21,8 @@ class Index:
     ``postings(term, chunk_id, tf, length, gain)``: one row per term of a chunk; ``gain``
     is the saturated term frequency, so ``idf * gain`` is what one query occurrence adds.
     ``terms(term, df, idf, top_gain)``; ``doc_stats(chunk_id, length)``;
-    ``corpus_stats(n, avgdl, avg_idf)``, one row. A stored index has ``blocks`` and ``forward``
-    (see ``postings``) too, and ``bm25_topk`` reads these.
+    ``corpus_stats(n, avgdl, avg_idf)``, one row. ``forward(chunk_id, length, terms)`` is what
+    ``bm25_topk`` reads (see ``postings``); a stored index has ``blocks`` too.
     """
 
     postings: DataFrame
@@ -53,11 +45,12 @@ def build_bm25(
     words = chunks.select(
         F.col(chunk_id).alias("chunk_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_words")
     )
-    doc_stats = words.select("chunk_id", F.size("_words").alias("length"))
-    counted = counted_terms(words).select("chunk_id", "length", F.inline("terms"))
-    sizes = chunks.agg(F.count("*").alias("n"))
+    forward = counted_terms(words)
     if durable:
-        counted = stage(counted, "bm25-postings")
+        forward = stage(forward, "bm25-forward")
+    doc_stats = forward.select("chunk_id", "length")
+    counted = forward.select("chunk_id", "length", F.inline("terms"))
+    sizes = forward.agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("avgdl", F.try_divide(counted.agg(F.sum("tf")).scalar(), "n"))
     if durable:
         sizes = stage(sizes, "bm25-corpus")
@@ -75,7 +68,7 @@ def build_bm25(
     if durable:
         terms = stage(terms, "bm25-terms")
     corpus_stats = sizes.withColumn("avg_idf", avg_idf)
-    return Index(postings, terms, doc_stats, corpus_stats)
+    return Index(postings, terms, doc_stats, corpus_stats, forward=forward)
 
 
 def query_terms(queries: DataFrame, index: Index, query_id: str = "query_id", text: str = "text") -> DataFrame:
@@ -108,152 +101,35 @@ def bm25_score(pairs: DataFrame, queries: DataFrame, index: Index) -> DataFrame:
     )
 
 
-def _join_postings(terms: DataFrame, index: Index) -> DataFrame:
-    """Rows with a ``term`` joined with its postings; hot terms are salted.
-
-    The list of hot terms is bounded by its definition, so it can be broadcast.
-    """
-    total = index.terms.agg(F.sum("df")).scalar()
-    hot = F.broadcast(
-        index.terms.where(F.col("df") > HOT_SHARE * total).select("term", F.lit(True).alias("_hot"))
-    )
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("chunk_id"), F.lit(HOT_SALTS)).cast("int")).otherwise(0)
-    spread = terms.join(hot, "term", "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    postings = index.postings.select("term", "chunk_id", "gain").join(hot, "term", "left")
-    return spread.join(postings.withColumn("_salt", salt).drop("_hot"), ["term", "_salt"]).drop("_salt")
-
-
 def bm25_topk(
     queries: DataFrame,
     index: Index,
     k: int = BM25_TOP_K,
     pad_zero: bool = True,
-    seed_postings: int = 200,
-    light_share: float = 0.5,
+    seed_postings: int | None = None,
+    light_share: float | None = None,
 ) -> DataFrame:
     """K3: exact ``k`` best chunks per query -> ``query_id, chunk_id, score, rank``.
 
-    Scores are rounded to six decimals; ties go to the smaller chunk id. Scoring all
-    chunks that share a frequent term with a query would be a product of the two, so
-    the work is bounded by score limits, without giving up any result:
-
-    1. the rarest terms of a query (about ``seed_postings`` postings, always at least
-       one term) name some chunks; their full scores give a lower limit for the k-th
-       best score (used only when positive);
-    2. terms whose best possible contributions together stay below ``light_share`` of
-       that limit cannot carry a chunk, so only postings of the other terms are read;
-    3. of those chunks, the ones whose partial score plus the best case of the left-out
-       terms reaches the limit get their full score.
-
-    Over a stored index whole blocks of postings are left out by their best possible gain, and
-    full scores come from the chunks' own rows.
+    Scores are rounded to six decimals; ties go to the smaller chunk id. A chunk's terms lie in one
+    row of the index, so its scores need no shuffle of postings: bounded numbers of queries meet the
+    rows in tasks that keep ``k`` chunks a query (see ``best_of_chunks``).
 
     ``pad_zero`` fills up with zero-score chunks, smallest id first, when a query has
-    fewer than ``k`` scoring chunks. Queries of equal texts are searched once.
+    fewer than ``k`` scoring chunks. Queries of equal texts are searched once. ``seed_postings`` and
+    ``light_share`` bounded an earlier search by postings and change nothing now.
     """
     texts = queries.where("query_id is not null").groupBy("query_id").agg(F.sort_array(F.collect_list("text")).alias("_texts"))
     leads = texts.groupBy("_texts").agg(F.min("query_id").alias("_lead"))
     of_each = stage(texts.join(leads, "_texts").select("query_id", "_lead", "_texts"), "bm25-leads")
     asked = of_each.where("query_id = _lead").select("query_id", F.explode_outer("_texts").alias("text"))
-    best = _searched(asked, index, k, pad_zero, seed_postings, light_share).withColumnRenamed("query_id", "_lead")
+    best = _searched(asked, index, k, pad_zero).withColumnRenamed("query_id", "_lead")
     return of_each.join(best, "_lead").select("query_id", *[c for c in best.columns if c != "_lead"])
 
 
-def _searched(queries: DataFrame, index: Index, k: int, pad_zero: bool, seed_postings: int, light_share: float) -> DataFrame:
-    postings = index.postings.select("term", "chunk_id", "gain")
-    by_df = W.partitionBy("query_id").orderBy("df", "term")
-    by_best = W.partitionBy("query_id").orderBy("best", "term")
-    part = F.col("weight") * F.col("gain")
-    weighted = stage(
-        query_terms(queries, index)
-        .withColumn("reach", F.sum("df").over(by_df))
-        .withColumn("nth", F.row_number().over(by_df))
-        .withColumn("below", F.sum("best").over(by_best)),
-        "bm25-query-terms",
-    )
-    if index.blocks is not None:
-        avgdl = index.corpus_stats.select("avgdl").scalar()
-        scored = scored_by_blocks(weighted, index.blocks, index.forward, avgdl, k, seed_postings, light_share, _SLACK)
-        return _best(queries, scored, index, k, pad_zero)
-    terms = weighted.select("query_id", "term", "weight")
-    rarest = weighted.where((F.col("nth") == 1) | (F.col("reach") <= seed_postings))
-    seeds = (
-        _join_postings(rarest.select("query_id", "term"), index)
-        .select("query_id", "chunk_id")
-        .distinct()
-    )
-    seed_scores = (
-        seeds.join(terms, "query_id")
-        .join(postings, ["chunk_id", "term"])
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum(part).alias("score"))
-    )
-    limits = (
-        top_k(seed_scores, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
-        .groupBy("query_id")
-        .agg(F.count("*").alias("_n"), F.min("score").alias("_kth"))
-        .where((F.col("_n") == k) & (F.col("_kth") > _SLACK))
-        .select("query_id", (F.col("_kth") - _SLACK).alias("limit"))
-    )
-    cut = weighted.join(limits, "query_id", "left").select(
-        "query_id", "term", "weight", "best", "limit",
-        F.coalesce(F.col("below") < light_share * F.col("limit"), F.lit(False)).alias("light"),
-    )
-    cut = stage(cut, "bm25-cut")
-    heavy = cut.where(~F.col("light")).select("query_id", "term", "weight")
-    light = cut.where(F.col("light")).select("query_id", "term", "weight")
-    reserve = cut.groupBy("query_id").agg(
-        F.sum(F.when(F.col("light"), F.col("best")).otherwise(0.0)).alias("_reserve"),
-        F.max("limit").alias("limit"),
-    )
-    reachable = F.col("limit").isNull() | (F.col("part") + F.col("_reserve") >= F.col("limit"))
-    partial = (
-        _join_postings(heavy, index)
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum(part).alias("part"))
-        .join(reserve, "query_id")
-        .where(reachable)
-        .select("query_id", "chunk_id", "part")
-    )
-    partial = stage(partial, "bm25-survivors")
-    rest = (
-        partial.select("query_id", "chunk_id")
-        .join(light, "query_id")
-        .join(postings, ["chunk_id", "term"])
-        .select("query_id", "chunk_id", part.alias("part"))
-    )
-    parts = partial.unionByName(rest)
-    scored = parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return _best(queries, scored, index, k, pad_zero)
-
-
-def _best(queries: DataFrame, scored: DataFrame, index: Index, k: int, pad_zero: bool) -> DataFrame:
-    if pad_zero:
-        scored = stage(scored, "bm25-scored")
-        scored = scored.unionByName(_zero_padding(queries, scored, index, k))
-    return top_k(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
-
-
-def _zero_padding(queries: DataFrame, scored: DataFrame, index: Index, k: int) -> DataFrame:
-    """The ``k`` smallest chunk ids without a term of the query, for queries with fewer than ``k`` positive scores.
-
-    For these no chunk was ruled out, so ``scored`` holds every chunk that shares a term.
-    With the chunks numbered by id, the m-th number missing from a query's numbers is m
-    plus how many of its numbers stand before it; the i-th of them, r, stands before it
-    where r - i < m.
-    """
-    better = scored.where("score > 0").groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k)
-    short = queries.select("query_id").distinct().join(better, "query_id", "left_anti")
-    numbered = number_rows(index.doc_stats.select("chunk_id"), [], [F.col("chunk_id")], "_number", "bm25-numbers")
-    held = scored.select("query_id", "chunk_id").join(short, "query_id").join(numbered, "chunk_id")
-    # a query may hold nearly every chunk, so its numbers are not gathered in one task
-    held = number_rows(held.select("query_id", "_number"), ["query_id"], [F.col("_number")], "_place", "bm25-held")
-    before = held.select("query_id", (F.col("_number") - F.col("_place")).alias("_gap")).where(F.col("_gap") < k).groupBy("query_id", "_gap").agg(F.count("*").alias("_c"))
-    steps = short.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_m"))
-    missing = (
-        steps.join(before, "query_id", "left")
-        .groupBy("query_id", "_m")
-        .agg((F.col("_m") + F.coalesce(F.sum(F.when(F.col("_gap") < F.col("_m"), F.col("_c"))), F.lit(0))).alias("_number"))
-    )
-    return missing.join(numbered, "_number").select("query_id", "chunk_id", F.lit(0.0).alias("score"))
+def _searched(queries: DataFrame, index: Index, k: int, pad_zero: bool) -> DataFrame:
+    terms = query_terms(queries, index).select("query_id", "term", "weight")
+    asked = stage(queries.select("query_id").distinct().join(terms, "query_id", "left"), "bm25-query-terms")
+    avgdl = index.corpus_stats.select("avgdl").scalar()
+    best = best_of_chunks(asked, index.forward, avgdl, k, pad_zero, as_one=index.blocks is None)
+    return top_k(best, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)

@@ -1,13 +1,12 @@
-"""Postings in blocks, and exact BM25 top-k that leaves out blocks by their best possible gain.
+"""Postings in blocks, chunks with their counted terms, and exact BM25 top-k over these.
 
 The postings of a term are ordered by impact (frequency falling, then length) and cut into blocks
 of at most ``BLOCK``. A block holds its largest frequency and smallest length. As the gain of a
 posting rises with the frequency and falls with the length, these two bound every gain of the
-block, whatever the corpus' mean length is by the time of the search. A block is read only if its
-bound, together with the best that the query's other terms can add, reaches the query's limit.
+block, whatever the corpus' mean length is by the time of the search.
 
-Beside the blocks stands the forward table, one row a chunk with its counted terms: the full score
-of a chosen chunk is taken from its own row, and no postings are searched for it.
+Beside the blocks stands the forward table, one row a chunk with its counted terms. Searches read
+this one: the full score of a chunk is taken from its own row, and only the best leave a task.
 """
 
 from __future__ import annotations
@@ -18,19 +17,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vulnlake.domain import BM25_B, BM25_EPSILON, BM25_K1
 from vulnlake.functions.folds import bound
 from vulnlake.functions.text import tokens
-from vulnlake.operators.ranking import top_k
-from vulnlake.session import stage
+from vulnlake.operators.streamed import ROUNDING, Best, meet, sides
 
 BLOCK = 128
 SPREAD = 64  # join keys over which the blocks of one term are spread
 LISTED = 5_000  # query terms up to which they are named in the scan's filter
+SHARD_QUERIES = 2048  # queries of a task
+TASK_CHUNKS = 4096  # chunks that are worth a task
+TASKS_A_CORE = 4
+CELLS = 1 << 20  # scores held at a time
 
 
 def counted_terms(words: DataFrame) -> DataFrame:
@@ -141,50 +142,110 @@ def blocks_of(terms: DataFrame, blocks: DataFrame) -> DataFrame:
     return spread.join(blocks.withColumn("_part", part), ["term", "_part"]).drop("_part")
 
 
-def full_scores(pairs: DataFrame, terms: DataFrame, forward: DataFrame, avgdl: Column) -> DataFrame:
-    """``query_id, chunk_id, score``: whole scores of given pairs, from the chunks' own rows.
+def best_of_chunks(asked: DataFrame, forward: DataFrame, avgdl: Column, k: int, pad_zero: bool, as_one: bool) -> DataFrame:
+    """``query_id, chunk_id, score`` (rounded): the best ``k`` of each query in each task, which the best of all are among.
 
-    ``terms`` holds ``query_id, term, weight``. A query's terms and a chunk's terms meet as two
-    arrays of one row.
+    ``asked`` holds ``query_id, term, weight``, with a null term for a query without any known one.
+    A task holds a shard of the queries, and chunks pass by with all their terms, in the order of their
+    ids: a chunk's score is whole in its own row, so no postings are shuffled and no row is made for a
+    chunk and query. With ``pad_zero`` a chunk without any term of a query scores 0, else it is left out.
+    ``as_one``: rows of one chunk id are one chunk, whose scores add up.
     """
-    asked = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "weight")).alias("_q"))
-    met = pairs.select("query_id", "chunk_id").join(asked, "query_id").join(forward, "chunk_id")
-    names = F.transform("_q", lambda q: q["term"])
-    common = F.filter("terms", lambda t: F.array_contains(F.col("_names"), t["term"]))
-    met = met.withColumn("_names", names).withColumn("_common", common).withColumn("_avgdl", avgdl)
-
-    def part(q: Column) -> Column:
-        tf = F.filter("_common", lambda t: t["term"] == q["term"])[0]["tf"]
-        return F.coalesce(q["weight"] * gain_of(tf, F.col("length"), F.col("_avgdl")), F.lit(0.0))
-
-    held = F.filter("_q", lambda q: F.exists("_common", lambda t: t["term"] == q["term"]))
-    score = F.aggregate(F.transform(held, part), F.lit(0.0), lambda a, x: a + x)
-    return met.select("query_id", "chunk_id", score.alias("score"))
-
-
-def scored_by_blocks(weighted: DataFrame, blocks: DataFrame, forward: DataFrame, avgdl: Column, k: int, seed_postings: int, light_share: float, slack: float) -> DataFrame:
-    """``query_id, chunk_id, score`` (rounded) of all chunks that can be among a query's ``k`` best.
+    queries, chunks = asked.select(F.count_distinct("query_id")).first()[0], forward.count()
+    shards = max(1, -(-queries // SHARD_QUERIES))
+    tasks = min(TASKS_A_CORE * asked.sparkSession.sparkContext.defaultParallelism, max(1, chunks // TASK_CHUNKS))
+    splits = max(1, -(-tasks // shards))
+    rows = forward.where("chunk_id is not null").select("chunk_id", "length", "terms")
+    shard, split = F.pmod(F.xxhash64("query_id"), F.lit(shards)), F.pmod(F.xxhash64("chunk_id"), F.lit(splits))
+    met = meet(asked.select("query_id", "term", "weight", avgdl.alias("_avgdl")), rows, shard, shards, split, splits, "chunk_id")
+    schema = T.StructType(
+        [T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("chunk_id", forward.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())]
+    )
 
-    ``weighted``: ``query_id, term, weight, best, df`` with ``reach, nth, below`` (see ``bm25_topk``).
-    """
-    terms = weighted.select("query_id", "term", "weight")
-    rarest = weighted.where((F.col("nth") == 1) | (F.col("reach") <= seed_postings)).select("query_id", "term")
-    seeds = blocks_of(rarest, blocks).select("query_id", F.explode("chunk_ids").alias("chunk_id")).distinct()
-    best = top_k(full_scores(seeds, terms, forward, avgdl), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
-    limits = best.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").alias("_kth"))
-    limits = limits.where((F.col("_n") == k) & (F.col("_kth") > slack)).select("query_id", (F.col("_kth") - slack).alias("limit"))
-    of_query = W.partitionBy("query_id")
-    light = F.coalesce(F.col("below") < light_share * F.col("limit"), F.lit(False))
-    cut = weighted.join(limits, "query_id", "left").withColumn("light", light)
-    cut = cut.withColumn("_all", F.sum("best").over(of_query)).withColumn("_reserve", F.sum(F.when(F.col("light"), F.col("best")).otherwise(0.0)).over(of_query))
-    cut = stage(cut.select("query_id", "term", "weight", "best", "limit", "light", "_all", "_reserve"), "bm25-cut")
-    met = blocks_of(cut.where(~F.col("light")), blocks).withColumn("_avgdl", avgdl)
-    bound = F.greatest(F.col("weight") * gain_of(F.col("top_tf"), F.col("least_length"), F.col("_avgdl")), F.lit(0.0))
-    open_ = met.where(F.col("limit").isNull() | (bound + F.col("_all") - F.col("best") >= F.col("limit")))
-    rows = open_.select("query_id", "weight", "limit", "_reserve", "_avgdl", F.explode(F.arrays_zip("chunk_ids", "tfs", "lengths")).alias("_p"))
-    part = F.col("weight") * gain_of(F.col("_p.tfs"), F.col("_p.lengths"), F.col("_avgdl"))
-    partial = rows.select("query_id", F.col("_p.chunk_ids").alias("chunk_id"), part.alias("part"), "limit", "_reserve")
-    partial = partial.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("part"), F.first("limit").alias("limit"), F.first("_reserve").alias("_reserve"))
-    survivors = partial.where(F.col("limit").isNull() | (F.col("part") + F.col("_reserve") >= F.col("limit"))).select("query_id", "chunk_id")
-    scored = full_scores(stage(survivors, "bm25-survivors"), terms, forward, avgdl)
-    return scored.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, search, left = [], None, None
+        for side, batch in sides(batches):
+            if side == 0:
+                held.append(batch)
+                continue
+            if search is None:
+                if not held:
+                    return
+                search = _Search(pa.Table.from_batches(held), k, pad_zero)
+            if as_one:
+                if left is not None:
+                    batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+                ids = batch["chunk_id"].to_numpy(zero_copy_only=False)
+                last = int(np.argmax(ids == ids[-1]))
+                batch, left = batch.slice(0, last), batch.slice(last)
+            search.add(batch, as_one)
+        if left is not None:
+            search.add(left, True)
+        if search is not None:
+            yield from search.best.batches(search.ids, search.id_type)
+
+    return met.select("_side", "query_id", "term", "weight", "_avgdl", "chunk_id", "length", "terms").mapInArrow(best, schema)
+
+
+class _Search:
+    """The queries of a task by term, and their best chunks so far."""
+
+    def __init__(self, asked: pa.Table, k: int, pad_zero: bool):
+        named = asked["query_id"].combine_chunks().dictionary_encode()
+        self.ids, query = named.dictionary, named.indices.to_numpy()
+        known = asked["term"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+        terms = asked["term"].combine_chunks().filter(pa.array(known)).dictionary_encode()
+        term = terms.indices.to_numpy()
+        order = np.argsort(term, kind="stable")
+        self.vocabulary = terms.dictionary
+        self.query, self.weight = query[known][order], asked["weight"].to_numpy()[known][order]
+        self.first = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
+        self.avgdl = asked["_avgdl"][0].as_py()
+        self.best, self.pad_zero, self.started, self.id_type = Best(len(self.ids), k, in_order=True), pad_zero, False, None
+
+    def add(self, chunks: pa.RecordBatch, as_one: bool) -> None:
+        if not len(chunks):
+            return
+        ids, self.id_type = chunks["chunk_id"].to_numpy(zero_copy_only=False), chunks.schema.field("chunk_id").type
+        place = np.arange(len(ids))
+        if as_one:
+            new = np.append(True, ids[1:] != ids[:-1])
+            place, ids = np.cumsum(new) - 1, ids[new]
+        copies = np.bincount(place)
+        term, tf = chunks["terms"].flatten().flatten()
+        row = np.repeat(np.arange(len(chunks)), pc.fill_null(pc.list_value_length(chunks["terms"]), 0).to_numpy(zero_copy_only=False))
+        term = pc.fill_null(pc.index_in(term, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False)
+        some = np.flatnonzero(term >= 0)
+        term, row, tf = term[some], row[some], tf.to_numpy(zero_copy_only=False)[some].astype(np.float64)
+        length = chunks["length"].to_numpy(zero_copy_only=False)[row]
+        gain = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / self.avgdl)) if len(some) else tf
+        place, step = place[row], max(1, CELLS // len(self.ids))
+        for low in range(0, len(ids), step):
+            a, b = np.searchsorted(place, [low, low + step])
+            self._add(ids[low:low + step], copies[low:low + step], place[a:b] - low, term[a:b], gain[a:b])
+
+    def _add(self, ids: np.ndarray, copies: np.ndarray, place: np.ndarray, term: np.ndarray, gain: np.ndarray) -> None:
+        n, width = len(ids), len(self.ids)
+        times = self.first[term + 1] - self.first[term]
+        of = np.repeat(np.arange(len(term)), times)
+        asked = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times) + self.first[term[of]]
+        cell = place[of] * width + self.query[asked]
+        scores = np.bincount(cell, self.weight[asked] * gain[of], n * width).astype(np.float64).reshape(n, width)
+        shared = None
+        if not self.pad_zero or copies.max() > 1:
+            shared = (np.bincount(cell, minlength=n * width) > 0).reshape(n, width)
+            if not self.pad_zero:
+                scores[~shared] = -np.inf
+        k, limit = self.best.k, self.best.limit
+        if not self.started and n >= k:
+            np.maximum(limit, np.partition(scores, n - k, axis=0)[n - k] - 2 * ROUNDING, out=limit)
+        hits = np.flatnonzero((scores >= limit) & (scores > -np.inf))
+        r, q = np.divmod(hits, width)
+        if shared is not None and self.pad_zero:
+            times = np.where(shared[r, q], 1, copies[r])  # each copy of a chunk without a term fills a place
+            r, q, hits = np.repeat(r, times), np.repeat(q, times), np.repeat(hits, times)
+        if len(hits):
+            self.best.add(q, np.floor(scores.ravel()[hits] * 1e6 + 0.5) / 1e6, ids[r])
+        if not self.started:
+            self.best.settle()
+            self.started = True

@@ -41,11 +41,13 @@ def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBat
 class Best:
     """The ``k`` best of each query among candidates that pass by: highest score first, ties to the smaller id.
 
-    ``limit`` is what a candidate must reach; it rises as better ones are found.
+    ``limit`` is what a candidate must reach; it rises as better ones are found. Where candidates come
+    ``in_order`` of their ids, later ones must be better, not equal.
     """
 
-    def __init__(self, queries: int, k: int, limit: np.ndarray | None = None):
+    def __init__(self, queries: int, k: int, limit: np.ndarray | None = None, in_order: bool = False):
         self.k = k
+        self.in_order = in_order
         self.limit = np.full(queries, -np.inf) if limit is None else limit
         self._found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self._held = 0
@@ -55,16 +57,22 @@ class Best:
         self._found.append((query, score, ids))
         self._held += len(query)
         if self._held > self._room:
-            self._cut()
+            self.settle()
 
-    def _cut(self) -> None:
+    def settle(self) -> None:
+        """Drop what cannot stay, and raise the limits."""
+        if not self._found:
+            return
         query, score, ids = (np.concatenate(x) for x in zip(*self._found))
-        rank = np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
-        order = np.lexsort((rank, -score, query))
+        if self.in_order:
+            order = np.lexsort((-score, query))  # stable
+        else:
+            rank = np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
+            order = np.lexsort((rank, -score, query))
         query, score, ids = query[order], score[order], ids[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
         last = place == self.k - 1
-        self.limit[query[last]] = np.maximum(self.limit[query[last]], score[last] - ROUNDING)
+        self.limit[query[last]] = np.maximum(self.limit[query[last]], score[last] + (0.4 if self.in_order else -1.0) * ROUNDING)
         kept = place < self.k
         self._found = [(query[kept], score[kept], ids[kept])]
         self._held = int(kept.sum())
@@ -74,7 +82,7 @@ class Best:
         """``query_id, chunk_id, score`` of the best."""
         if not self._found:
             return
-        self._cut()
+        self.settle()
         query, score, ids = self._found[0]
         for at in range(0, len(query), OUT_ROWS):
             part = slice(at, at + OUT_ROWS)
