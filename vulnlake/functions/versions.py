@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vulnlake.functions.folds import bound
+
 # --- Fixed values: release phases in order --------------------------------
 PHASE_DEV, PHASE_ALPHA, PHASE_BETA, PHASE_RC, PHASE_FINAL, PHASE_POST = 0, 1, 2, 3, 4, 5
 NO_MORE_PARTS = -1
@@ -29,13 +31,20 @@ def version_key(version: Column) -> Column:
     groups = F.split(
         F.regexp_replace(F.lower(version), _VERSION, "$1|$2|$3|$4|$5|$6|$7|$8|$9"), r"\|", -1
     )
-    is_version = F.lower(version).rlike(_VERSION)
+    # bound, as every mention of the groups and of the numbers would else be worked out anew
+    return F.when(F.lower(version).rlike(_VERSION), bound(groups, lambda g: bound(_numbers(g), lambda n: _key(g, n))))
+
+
+def _numbers(groups: Column) -> Column:
+    return F.transform(F.split(F.get(groups, F.lit(1)), r"\."), lambda part: part.try_cast("bigint"))
+
+
+def _key(groups: Column, numbers: Column) -> Column:
+    """Key of a version text from its groups and its release parts as numbers."""
 
     def group(i: int) -> Column:
         return F.get(groups, F.lit(i - 1))
 
-    release = group(2)
-    numbers = F.transform(F.split(release, r"\."), lambda part: part.try_cast("bigint"))
     # the last part that is not zero ends the release
     used = F.coalesce(F.array_max(F.transform(numbers, lambda n, i: F.when(n != 0, i + 1))), F.lit(0))
     parts = F.slice(numbers, F.lit(1), used)
@@ -79,8 +88,7 @@ def version_key(version: Column) -> Column:
         F.array(F.lit(NO_MORE_PARTS).cast("bigint"), phase.cast("bigint"), F.when(pre.isNotNull(), number(4)).otherwise(0), post, dev),
     )
     valid = (
-        is_version
-        & known
+        known
         & ~F.exists(numbers, lambda n: n.isNull())
         & ~(oversize(1) | oversize(4) | oversize(5) | oversize(7) | oversize(9))
     )

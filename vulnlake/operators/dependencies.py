@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vulnlake.functions.text import any_lines_of, parse_requirement, pick_version, strip
 from vulnlake.functions.versions import package_key, version_key
 from vulnlake.operators.ranking import number_rows
+from vulnlake.session import stage
 
 STRETCH = 64  # versions of a package that a range meets together
 
@@ -102,12 +103,9 @@ def match_advisories(deps: DataFrame, ranges: DataFrame, ecosystem: str = "PyPI"
     wanted = deps.select(
         package_key(F.col("package")).alias("_pkg"), F.col("version").alias("_ver")
     )
-    pins = (
-        wanted.where(F.col("_pkg").isNotNull() & F.col("_ver").isNotNull())
-        .distinct()
-        .withColumn("_key", version_key(F.col("_ver")))
-        .where(F.col("_key").isNotNull())
-    )
+    # stored, as the filter on the key would else move below the distinct and order every row's version
+    pins = stage(wanted.where(F.col("_pkg").isNotNull() & F.col("_ver").isNotNull()).distinct(), "distinct-pins")
+    pins = pins.withColumn("_key", version_key(F.col("_ver"))).where(F.col("_key").isNotNull())
     ordered = number_rows(pins, ["_pkg"], [F.col("_key"), F.col("_ver")], "_nth", "pins")
     ordered = ordered.withColumn("_stretch", F.floor((F.col("_nth") - 1) / STRETCH).cast("int"))
     firsts = ordered.groupBy("_pkg", "_stretch").agg(F.min("_key").alias("_first"))

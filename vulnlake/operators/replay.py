@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vulnlake.domain import CACHE_SIZE, CACHE_THRESHOLD
+from vulnlake.functions.folds import bound
 from vulnlake.functions.vectors import norm
 from vulnlake.operators.cache import fifo_retain
 from vulnlake.operators.ranking import number_rows
@@ -56,15 +57,16 @@ def _walk(numbers, units, entry_numbers: list[int], entries: list[np.ndarray], t
 
 def _with_unit(rows: DataFrame, vector: str) -> DataFrame:
     """Rows with a vector of some length, and that vector as ``unit``."""
-    placed = rows.withColumn("_length", norm(F.col(vector))).where("_length > 0")
-    return placed.withColumn("unit", F.transform(F.col(vector), lambda x: x.cast("double") / F.col("_length"))).drop("_length")
+    # the length is bound, as it would else be worked out again for every component
+    unit = bound(norm(F.col(vector)), lambda n: F.when(n > 0, F.transform(F.col(vector), lambda x: x.cast("double") / n)))
+    return rows.withColumn("unit", unit).where(F.col("unit").isNotNull())
 
 
-def _entries(leaders: DataFrame, stretches: DataFrame, max_size: int) -> DataFrame:
+def _entries(leaders: DataFrame, units: DataFrame, stretches: DataFrame, max_size: int) -> DataFrame:
     """(stretch, entries, mark): the last ``max_size`` leaders before each stretch, oldest first.
 
-    Leaders are ranked once over all; a stretch needs a range of ranks, found from the counts of
-    the stretches before it (one row per stretch with leaders).
+    Leaders (``stretch, number``) are ranked once over all; a stretch needs a range of ranks, found from
+    the counts of the stretches before it (one row per stretch with leaders). Only these few take their ``units``.
     """
     ranked = stage(number_rows(leaders, [], [F.col("number")], "place", "leaders"), "ranked-leaders")
     counts = ranked.groupBy("stretch").agg(F.max("place").alias("last"))
@@ -73,7 +75,7 @@ def _entries(leaders: DataFrame, stretches: DataFrame, max_size: int) -> DataFra
     upto = upto.withColumn("last", F.coalesce(F.max("last").over(before), F.lit(0)))
     places = F.when(F.col("last") > 0, F.sequence(F.greatest(F.col("last") - max_size + 1, F.lit(1)), F.col("last")))
     wanted = upto.join(stretches.select("stretch"), "stretch", "left_semi").select("stretch", F.explode(places).alias("place"))
-    found = wanted.join(ranked.drop("stretch"), "place")
+    found = wanted.join(ranked.drop("stretch"), "place").join(units.select("number", "unit"), "number")
     held = found.groupBy("stretch").agg(F.array_sort(F.collect_list(F.struct("number", "unit"))).alias("entries"))
     held = stretches.select("stretch").join(held, "stretch", "left")
     return held.withColumn("mark", F.coalesce(F.xxhash64("entries.number"), F.lit(0)))
@@ -113,9 +115,10 @@ def replay(
         walked = _walk(own["number"].tolist(), [np.asarray(u) for u in own["unit"]], [e["number"] for e in entries], [np.asarray(e["unit"]) for e in entries], threshold, max_size)
         return pd.DataFrame(walked, columns=["number", "source", "similarity"]).astype({"similarity": "float64"})
 
-    marks, found, leaders = None, None, first
+    units = first.unionByName(rows)
+    marks, found, leaders = None, None, first.select("stretch", "number")
     while True:
-        state = stage(_entries(leaders, stretches, max_size), "entries")
+        state = stage(_entries(leaders, units, stretches, max_size), "entries")
         if marks is None:
             open_ = state
         else:
@@ -130,8 +133,7 @@ def replay(
         if found is not None:
             fresh = fresh.unionByName(found.join(again, "stretch", "left_anti"))
         found, marks = stage(fresh, "replayed"), state.select("stretch", "mark")
-        own_leaders = found.where("source = number").select("number").join(rows, "number")
-        leaders = first.unionByName(own_leaders.select("stretch", "number", "unit"))
+        leaders = first.select("stretch", "number").unionByName(found.where("source = number").select("stretch", "number"))
     if found is None:  # no row has a vector
         return numbered.withColumn("source", F.col("number")).withColumn("similarity", F.lit(None).cast("double"))
     out = numbered.join(found.select("number", "source", "similarity"), "number", "left")
