@@ -14,7 +14,9 @@ from checks.remediation import PARSED
 from checks.views import sql
 from vulnlake.functions.vectors import embed_hashed
 from vulnlake.operators import findings as fd, remediation as rm
+from vulnlake.operators.dependencies import match_advisories
 from vulnlake.operators.patching import patch_files
+from vulnlake.operators.ranking import number_rows
 from vulnlake.session import shared_dir, stage
 from vulnlake.sources import corpus, findings as sf, index, manifests, sinks
 
@@ -63,9 +65,13 @@ def load_corpus(spark, d):
 
 
 def json_files(spark, rows, key, label):
-    """One JSON document per file; ``rows`` holds ``part`` and the document."""
+    """One JSON document per file; ``rows`` holds ``part``, different in each row, and the document.
+
+    Rows are sorted before the documents are written out as text, so that only what ``key`` is made of is moved.
+    """
     path = folder(spark, label)
-    rows.select("part", F.to_json(F.col(key)).alias("value")).repartition("part").write.partitionBy("part").text(path)
+    key = F.col(key) if isinstance(key, str) else key
+    rows.sortWithinPartitions("part").select("part", F.to_json(key).alias("value")).write.partitionBy("part").text(path, compression="gzip")
     return path
 
 
@@ -86,12 +92,23 @@ def read_scanner_output(spark, d):
 
 @query(sql("SELECT 'sast' AS origin, file, type || severity || line AS what FROM findings UNION ALL SELECT 'cve', file, package || version || cves FROM vulnerable", "findings", "vulnerable"))
 def read_report(spark, d):
-    code = v.findings(spark, d).withColumn("part", F.floor(F.col("finding_id") / 500))
-    code = code.groupBy("part").agg(F.collect_list(F.struct("type", "line", "severity", "confidence", "snippet", "file")).alias("sast_findings"))
-    deps = v.vulnerable(spark, d).withColumn("part", F.floor(F.col("dep_id") / 500))
-    deps = deps.groupBy("part").agg(F.collect_list(F.struct("package", "version", "cves", "file")).alias("cve_findings"))
-    both = code.join(deps, "part", "full").select("part", F.struct("sast_findings", "cve_findings").alias("doc"))
-    rows, _ = sf.read_report(spark, json_files(spark, both, "doc", "reports"))
+    """Reports of at most 500 findings of each kind.
+
+    Advisories are matched per report and pin, and an entry's list of them is repeated for each
+    manifest when its file is written. Equal pins stand together, so the files compress.
+    """
+    fields = F.struct("type", "line", "severity", "confidence", "snippet", "file")
+    code = v.findings(spark, d).select(F.floor(F.col("finding_id") / 500).alias("part"), fields.alias("code"))
+    order = [F.col(c) for c in ("package", "version", "dep_id")]
+    deps = number_rows(v.deps(spark, d), [], order, "number", "report-deps")
+    pins = deps.groupBy(F.floor((F.col("number") - 1) / 500).alias("part"), "package", "version").agg(F.collect_list("file").alias("files"))
+    pins = match_advisories(pins, v.ranges(spark, d)).select("part", F.struct("package", "version", "cves", "files").alias("pin"))
+    both = code.unionByName(pins, allowMissingColumns=True)
+    both = both.groupBy("part").agg(F.collect_list("code").alias("codes"), F.collect_list("pin").alias("pins"))
+    filled = lambda rows: F.when(F.size(rows) > 0, rows)
+    of_pin = lambda p: F.transform(p["files"], lambda f: F.struct(p["package"].alias("package"), p["version"].alias("version"), p["cves"].alias("cves"), f.alias("file")))
+    doc = F.struct(filled(F.col("codes")).alias("sast_findings"), F.flatten(F.transform(filled(F.col("pins")), of_pin)).alias("cve_findings"))
+    rows, _ = sf.read_report(spark, json_files(spark, both, doc, "reports"))
     return rows.select("origin", "file", what())
 
 
