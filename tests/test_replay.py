@@ -92,8 +92,8 @@ def test_long_columns_do_not_travel(spark, monkeypatch):
 
     monkeypatch.setattr(rp, "stage", staged)
     monkeypatch.setattr(rm, "stage", staged)
-    columns = "finding_id bigint, origin string, type string, snippet string"
-    findings = spark.createDataFrame([(1, "sast", "T", "a b"), (2, "sast", "T", "a b"), (2, "sast", "U", "c d")], columns)
+    columns = "finding_id bigint, origin string, type string, snippet string, severity string, file string, line int"
+    findings = spark.createDataFrame([(i, "sast", t, code, "high", "f", 1) for i, t, code in ((1, "T", "a b"), (2, "T", "a b"), (2, "U", "c d"))], columns)
     chunks = spark.createDataFrame([(1, "a guide", "s", "guide")], "chunk_id bigint, content string, source string, doc_type string")
     chunks = chunks.withColumn("embedding", embed_hashed(F.col("content")))
     answer = lambda p: p.select("finding_id", F.to_json(F.struct(F.col("prompt").alias("suggested_fix"))).alias("answer"))
