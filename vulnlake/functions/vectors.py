@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,10 +51,12 @@ def token_buckets(text: Column, dim: int = EMBED_DIM) -> Column:
 def embed_hashed(text: Column, dim: int = EMBED_DIM) -> Column:
     """T5, built in: bag of hashed tokens as ``array<float>``; no shuffle."""
 
-    @F.pandas_udf("array<float>")
-    def counts(buckets: pd.Series) -> pd.Series:
-        return buckets.map(
-            lambda b: np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float32)
-        )
+    @F.arrow_udf("array<float>")
+    def counts(words: pa.Array) -> pa.Array:
+        named = words.flatten().dictionary_encode()  # a word that comes often in a batch is hashed once
+        bucket = np.array([int(md5(w.encode()).hexdigest()[:8], 16) % dim for w in named.dictionary.to_pylist()], np.int64)
+        row = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        cells = np.bincount(row * dim + bucket[named.indices.to_numpy()], minlength=len(words) * dim) if len(row) else np.zeros(len(words) * dim)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * dim, pa.int32()), pa.array(cells.astype(np.float32)))
 
-    return counts(token_buckets(F.coalesce(text, F.lit("")), dim))
+    return counts(tokens(F.coalesce(text, F.lit(""))))
